@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["queries_signal"]
+MODULES = ["queries_signal", "queries_features"]
 
 
 def load_queries():

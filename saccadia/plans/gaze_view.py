@@ -44,7 +44,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg()
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
     return users.select(
         F.col("user_id").cast("string").alias(KEY),
         F.concat(F.lit("s"), F.col("user_id")).alias("session_id"),
@@ -52,3 +52,15 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("user_id") % 3).alias("condition"),
         F.concat(F.lit("t"), F.col("user_id") % 2).alias("trial"),
     )
+
+
+def heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second signal: view events, 3.7 ms late, with a rate from the event value."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'view'")
+    return events.select(
+        F.col("user_id").cast("string").alias(KEY),
+        F.col("event_id").alias("sample_seq"),
+        ((F.unix_micros(F.col("ts").cast("timestamp")) - ORIGIN_US) / US_PER_MS + 3.7).alias("timestamp_ms"),
+        (60.0 + F.col("value") / 10.0).alias("heart_rate_bpm"),
+    )

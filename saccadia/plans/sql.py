@@ -110,7 +110,7 @@ BASE_EVENTS = [GAZE, VELOCITY, THRESHOLD_RUNS, EVENTS]
 # preprocessed samples and the events of the full pipeline (labels where the recording has them)
 PRE = [GAZE, interpolated_samples("gi"), smoothed("p", "gi")]
 PRE_EVENTS = PRE + [
-    velocity("pv"),
+    velocity("pv", "p"),
     "pl AS (SELECT *, count(event_label) OVER (PARTITION BY recording_id) > 0 AS from_labels FROM pv)",
     runs("pr", "pl", f"CASE WHEN from_labels THEN {label_kind()} ELSE {kind_of()} END"),
     events("pe", "pr", "from_labels"),
