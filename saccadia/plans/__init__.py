@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["queries_signal", "queries_features"]
+MODULES = ["queries_signal", "queries_features", "queries_space"]
 
 
 def load_queries():
