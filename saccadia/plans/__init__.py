@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["queries_signal", "queries_features", "queries_space"]
+MODULES = ["queries_sources", "queries_signal", "queries_features", "queries_space", "queries_fusion"]
 
 
 def load_queries():

@@ -17,7 +17,7 @@ MIN_SIDE = 8.0
 
 def parse_time_ranges(df: DataFrame, text: str, ids: list[str]) -> DataFrame:
     """One row per range of a text such as ``0-800; 1200 to 2000``; a bad range fails."""
-    chunks = F.filter(F.transform(F.split(text, "[;\\n]+"), F.trim), lambda c: c != "")
+    chunks = F.filter(F.transform(F.split(text, "[;\\n]+"), lambda c: F.trim(c)), lambda c: c != "")
     none = F.raise_error(F.lit("no time range given")).cast("array<string>")
     rows = df.select(*ids, F.posexplode(F.when(F.size(chunks) == 0, none).otherwise(chunks)).alias("_at", "_chunk"))
     start = F.regexp_extract("_chunk", TIME_RANGE, 1).try_cast("double")
