@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import (
-    join_recording,
+    is_split,
     ordinal,
     reblock,
     running_sum,
@@ -20,7 +20,7 @@ from saccadia.functions.ordered import (
 )
 from saccadia.functions.ranks import recording_quantiles
 from saccadia.operators import events as ev
-from saccadia.operators.pupil import frame_size, pupil_load_features, pupil_trace
+from saccadia.operators.pupil import pupil_load_features, pupil_trace, with_frame_rows
 from saccadia.operators.signal import with_velocity
 from saccadia.schema import INDEX, KEY
 
@@ -69,85 +69,118 @@ def base_features(samples: DataFrame) -> DataFrame:
     return df.groupBy(KEY).agg(*base_aggregates())
 
 
-def event_aggregates() -> list[Column]:
-    def of(kind, column):
-        return F.when(F.col("kind") == kind, F.col(column))
-
-    def number(kind):
-        return F.count_if(F.col("kind") == kind)
+def event_counts(events: DataFrame) -> DataFrame:
+    """Counts, durations and amplitudes per kind, and the mean saccade latency.
 
-    return [
-        number("fixation").alias("fixation_count"),
-        F.avg(of("fixation", "duration_ms")).alias("fixation_duration_mean"),
-        F.sum(of("fixation", "duration_ms")).alias("fixation_duration_total"),
-        number("saccade").alias("saccade_count"),
-        F.avg(of("saccade", "amplitude")).alias("saccade_amplitude_mean"),
-        F.avg(of("saccade", "peak_velocity")).alias("saccade_peak_velocity_mean"),
-        number("blink").alias("blink_count"),
-        F.avg(of("blink", "duration_ms")).alias("blink_duration_mean"),
-    ]
-
-
-def saccade_latency(events: DataFrame) -> DataFrame:
-    """Mean of (start of i-th saccade − end of i-th fixation) over the pairs a recording has."""
-    df = events.filter("kind IN ('fixation', 'saccade')")
+    The latency pairs the i-th saccade with the i-th fixation, so events are first summed
+    by their place within their kind, then over the recording.
+    """
+    df = events.filter("kind IN ('fixation', 'saccade', 'blink')")
     df = running_sum(
         df,
         {f"_{k}": F.when(F.col("kind") == k, 1).otherwise(0) for k in ("fixation", "saccade")},
         ["start_index"],
     )
-    df = df.withColumn("_nth", F.when(F.col("kind") == "fixation", F.col("_fixation")).otherwise(F.col("_saccade")))
-    pairs = df.groupBy(KEY, "_nth").agg(
-        F.max(F.when(F.col("kind") == "saccade", F.col("start_time_ms"))).alias("_start"),
-        F.max(F.when(F.col("kind") == "fixation", F.col("end_time_ms"))).alias("_end"),
+    nth = F.when(F.col("kind") == "fixation", F.col("_fixation")).when(F.col("kind") == "saccade", F.col("_saccade")).otherwise(0)
+
+    def of(kind, column):
+        return F.when(F.col("kind") == kind, F.col(column))
+
+    kinds = ("fixation", "saccade", "blink")
+    by_place = df.groupBy(KEY, nth.alias("_nth")).agg(
+        *[F.count_if(F.col("kind") == k).alias(f"_n_{k}") for k in kinds],
+        *[F.sum(of(k, "duration_ms")).alias(f"_d_{k}") for k in kinds],
+        F.sum(of("saccade", "amplitude")).alias("_amplitude"),
+        F.sum(of("saccade", "peak_velocity")).alias("_peak"),
+        (F.max(of("saccade", "start_time_ms")) - F.max(of("fixation", "end_time_ms"))).alias("_latency"),
+    )
+
+    def mean(total, kind):
+        return F.sum(total) / F.nullif(F.sum(f"_n_{kind}"), F.lit(0))
+
+    return by_place.groupBy(KEY).agg(
+        *[F.sum(f"_n_{k}").alias(f"{k}_count") for k in kinds],
+        mean("_d_fixation", "fixation").alias("fixation_duration_mean"),
+        F.sum("_d_fixation").alias("fixation_duration_total"),
+        mean("_amplitude", "saccade").alias("saccade_amplitude_mean"),
+        mean("_peak", "saccade").alias("saccade_peak_velocity_mean"),
+        F.avg("_latency").alias("saccade_latency_mean"),
+        mean("_d_blink", "blink").alias("blink_duration_mean"),
+    )
+
+
+EVENT_COLUMNS = [
+    "fixation_count", "fixation_duration_mean", "fixation_duration_total", "fixation_density",
+    "saccade_count", "saccade_amplitude_mean", "saccade_peak_velocity_mean", "saccade_latency_mean",
+    "blink_count", "blink_rate_hz", "blink_duration_mean",
+]
+
+
+def with_event_rates(df: DataFrame) -> DataFrame:
+    """Add the densities, which need ``duration_ms``; recordings without events get zeros."""
+    seconds = F.greatest(F.col("duration_ms") / 1000.0, F.lit(1e-6))
+    filled = df.fillna(0, [c for c in EVENT_COLUMNS if c in df.columns])
+    return filled.withColumns(
+        {"fixation_density": F.col("fixation_count") / seconds, "blink_rate_hz": F.col("blink_count") / seconds}
     )
-    return pairs.groupBy(KEY).agg(F.avg(F.col("_start") - F.col("_end")).alias("saccade_latency_mean"))
 
 
 def event_features(samples: DataFrame, events: DataFrame) -> DataFrame:
     """Fixation, saccade and blink features for every recording, also those without events."""
-    duration = samples.groupBy(KEY).agg((F.max("timestamp_ms") - F.min("timestamp_ms")).alias("_ms"))
-    found = (
-        duration.join(events.groupBy(KEY).agg(*event_aggregates()), KEY, "left")
-        .join(saccade_latency(events), KEY, "left")
-    )
-    seconds = F.greatest(F.col("_ms") / 1000.0, F.lit(1e-6))
-    found = found.withColumns(
-        {
-            "fixation_density": F.col("fixation_count") / seconds,
-            "blink_rate_hz": F.col("blink_count") / seconds,
-        }
-    ).drop("_ms")
-    return found.fillna(0)
+    duration = samples.groupBy(KEY).agg((F.max("timestamp_ms") - F.min("timestamp_ms")).alias("duration_ms"))
+    return with_event_rates(duration.join(event_counts(events), KEY, "left")).select(KEY, *EVENT_COLUMNS)
 
 
-def corrected_skewness(c: str) -> Column:
+def corrected_skewness(c: Column) -> Column:
     n = F.count(c)
     return F.when(n >= 3, F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
 
 
-def corrected_kurtosis(c: str) -> Column:
+def corrected_kurtosis(c: Column) -> Column:
     n = F.count(c)
-    return F.when(
-        n >= 4, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)) * ((n + 1) * F.kurtosis(c) + 6)
-    )
+    excess = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)) * ((n + 1) * F.kurtosis(c) + 6)
+    return F.when((n >= 4) & (F.stddev_pop(c) > 0), excess)
+
+
+QUARTILES = {f"{c}_{n}": (f"_valid_{c}", p) for c in SIGNALS for n, p in (("q25", 0.25), ("q75", 0.75))}
+
+
+def with_valid_signals(samples: DataFrame) -> DataFrame:
+    return samples.withColumns({f"_valid_{c}": F.when(F.col("valid"), F.col(c)) for c in SIGNALS})
+
+
+def moment_aggregates(quartiles: bool) -> list[Column]:
+    out = []
+    for name in SIGNALS:
+        c = F.col(f"_valid_{name}")
+        out += [
+            F.avg(c).alias(f"{name}_mean"),
+            F.stddev_pop(c).alias(f"{name}_std"),
+            F.min(c).alias(f"{name}_min"),
+            F.max(c).alias(f"{name}_max"),
+            finite(corrected_skewness(c)).alias(f"{name}_skew"),
+            finite(corrected_kurtosis(c)).alias(f"{name}_kurtosis"),
+        ]
+    if quartiles:
+        out += [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in QUARTILES.items()]
+    return out
+
+
+def sample_aggregates(samples: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """``aggregates`` and the moments of valid samples, in one aggregation.
+
+    Quartiles join it while recordings are of bounded length; in the block layout they
+    are counted apart.
+    """
+    df = with_valid_signals(samples)
+    split = is_split(df)
+    out = df.groupBy(KEY).agg(*aggregates, *moment_aggregates(quartiles=not split))
+    return out.join(recording_quantiles(df, [KEY], QUARTILES), KEY, "left") if split else out
 
 
 def moment_features(samples: DataFrame) -> DataFrame:
     """Mean, SD, extremes, quartiles, skewness and kurtosis of x, y and pupil over valid samples."""
-    valid = samples.filter("valid")
-    simple = []
-    for c in SIGNALS:
-        simple += [
-            F.avg(c).alias(f"{c}_mean"),
-            F.stddev_pop(c).alias(f"{c}_std"),
-            F.min(c).alias(f"{c}_min"),
-            F.max(c).alias(f"{c}_max"),
-            finite(corrected_skewness(c)).alias(f"{c}_skew"),
-            finite(F.when(F.stddev_pop(c) > 0, corrected_kurtosis(c))).alias(f"{c}_kurtosis"),
-        ]
-    wanted = {f"{c}_{n}": (c, p) for c in SIGNALS for n, p in (("q25", 0.25), ("q75", 0.75))}
-    return valid.groupBy(KEY).agg(*simple).join(recording_quantiles(valid, [KEY], wanted), KEY)
+    return sample_aggregates(samples, [])
 
 
 def valid_sequence(samples: DataFrame) -> DataFrame:
@@ -156,18 +189,44 @@ def valid_sequence(samples: DataFrame) -> DataFrame:
     return reblock(valid, INDEX)
 
 
-def rolling_features(samples: DataFrame, window_ms: float = 500.0) -> DataFrame:
-    """SD of trailing means and mean of trailing SDs, the frame sized by each recording's median step."""
-    valid = valid_sequence(samples)
-    df = join_recording(valid, frame_size(valid, window_ms, window_ms))
+def valid_frames(samples: DataFrame, window_ms: float) -> DataFrame:
+    """Valid samples with step time, pupil rate, pupil rank and trailing means and SDs."""
+    df = shift(valid_sequence(samples), {"_t": F.col("timestamp_ms"), "_p": F.col("pupil")})
+    df = df.withColumn("_dt", F.col("timestamp_ms") - F.col("_t"))
+    seconds = F.nullif("_dt", F.lit(0.0)) / 1000.0
+    df = df.withColumn("_rate", F.abs(F.col("pupil") - F.col("_p")) / seconds)
+    df = running_sum(df, {"_k": F.when(F.col("pupil").isNotNull(), 1).otherwise(0)})
+    df = with_recording_values(df, {"_pupils": F.count("pupil")})
+    df = with_frame_rows(df, window_ms, window_ms)
     frames = {}
     for c in SIGNALS:
         frames |= {f"_m_{c}": f"avg({c})", f"_s_{c}": f"stddev_samp({c})"}
-    df = trailing(df, frames, "frame_rows")
-    return df.groupBy(KEY).agg(
+    return trailing(df, frames, "frame_rows")
+
+
+def rolling_aggregates() -> list[Column]:
+    return [
         *[F.stddev_pop(f"_m_{c}").alias(f"{c}_rolling_mean_std") for c in SIGNALS],
         *[F.avg(F.coalesce(f"_s_{c}", F.lit(0.0))).alias(f"{c}_rolling_std_mean") for c in SIGNALS],
-    )
+    ]
+
+
+def pupil_aggregates() -> list[Column]:
+    early = F.col("_k") <= F.greatest(F.floor(F.col("_pupils") * 0.1), F.lit(1))
+    return [
+        F.coalesce(F.avg(F.when(early, F.col("pupil"))), F.lit(0.0)).alias("pupil_baseline"),
+        F.coalesce(F.avg("_rate"), F.lit(0.0)).alias("pupil_change_rate"),
+    ]
+
+
+def rolling_features(samples: DataFrame, window_ms: float = 500.0) -> DataFrame:
+    """SD of trailing means and mean of trailing SDs, the frame sized by each recording's median step."""
+    return valid_frames(samples, window_ms).groupBy(KEY).agg(*rolling_aggregates())
+
+
+def pupil_features(samples: DataFrame) -> DataFrame:
+    """Baseline (mean of the first tenth) and mean absolute rate of change over valid samples."""
+    return valid_frames(samples, 500.0).groupBy(KEY).agg(*pupil_aggregates())
 
 
 def approximate_entropy(values: np.ndarray, m: int = 2) -> float:
@@ -187,45 +246,27 @@ def approximate_entropy(values: np.ndarray, m: int = 2) -> float:
 
 
 def entropy_features(samples: DataFrame) -> DataFrame:
-    """Approximate entropy of x, y and pupil; long series are thinned to 2,000 even points by Spark."""
-    outs = []
-    for c in SIGNALS:
-        one = ordinal(samples.filter(F.col("valid") & F.col(c).isNotNull()), "_k").withColumn("_k", F.col("_k") - 1)
-        one = with_recording_values(one, {"_n": F.count(F.lit(1))})
-        step = F.col("_n") / float(ENTROPY_POINTS)
-        slot = F.ceil(F.col("_k") / step)
-        picked = (F.floor(slot * step) == F.col("_k")) & (slot < ENTROPY_POINTS - 1)
-        one = one.filter((F.col("_n") <= ENTROPY_POINTS) | picked | (F.col("_k") == F.col("_n") - 1))
-        outs.append(one.select(KEY, F.lit(c).alias("signal"), "_k", F.col(c).alias("v")))
-    points = outs[0].unionByName(outs[1]).unionByName(outs[2])
-
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("_k")["v"].to_numpy()
-        found = approximate_entropy(values) if len(values) >= ENTROPY_MIN_POINTS else None
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "signal": [pdf["signal"].iloc[0]], "apen": [found]})
-
-    found = points.groupBy(KEY, "signal").applyInPandas(one_series, f"{KEY} string, signal string, apen double")
-    return found.groupBy(KEY).agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("signal") == c, F.col("apen"))), F.lit(0.0)).alias(f"{c}_approx_entropy")
-            for c in SIGNALS
-        ]
-    )
+    """Approximate entropy of x, y and pupil over valid samples.
 
+    Long recordings are thinned to 2,000 evenly spaced samples before they are grouped, so
+    a group handed to Python is bounded.
+    """
+    df = with_recording_values(valid_sequence(samples), {"_n": F.count(F.lit(1))})
+    step = F.col("_n") / float(ENTROPY_POINTS)
+    slot = F.ceil(F.col(INDEX) / step)
+    picked = (F.floor(slot * step) == F.col(INDEX)) & (slot < ENTROPY_POINTS - 1)
+    kept = df.filter((F.col("_n") <= ENTROPY_POINTS) | picked | (F.col(INDEX) == F.col("_n") - 1))
 
-def pupil_features(samples: DataFrame) -> DataFrame:
-    """Baseline (mean of the first tenth) and mean absolute rate of change over valid samples."""
-    valid = valid_sequence(samples)
-    df = shift(valid, {"_t": F.col("timestamp_ms"), "_p": F.col("pupil")})
-    seconds = F.nullif(F.col("timestamp_ms") - F.col("_t"), F.lit(0.0)) / 1000.0
-    df = df.withColumn("_rate", F.abs(F.col("pupil") - F.col("_p")) / seconds)
-    df = running_sum(df, {"_k": F.when(F.col("pupil").isNotNull(), 1).otherwise(0)})
-    df = with_recording_values(df, {"_n": F.count("pupil")})
-    early = F.col("_k") <= F.greatest(F.floor(F.col("_n") * 0.1), F.lit(1))
-    return df.groupBy(KEY).agg(
-        F.coalesce(F.avg(F.when(early, F.col("pupil"))), F.lit(0.0)).alias("pupil_baseline"),
-        F.coalesce(F.avg("_rate"), F.lit(0.0)).alias("pupil_change_rate"),
-    )
+    def one_recording(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(INDEX)
+        out = {KEY: [pdf[KEY].iloc[0]]}
+        for c in SIGNALS:
+            values = pdf[c].dropna().to_numpy()
+            out[f"{c}_approx_entropy"] = [approximate_entropy(values) if len(values) >= ENTROPY_MIN_POINTS else 0.0]
+        return pd.DataFrame(out)
+
+    schema = ", ".join([f"{KEY} string", *[f"{c}_approx_entropy double" for c in SIGNALS]])
+    return kept.select(KEY, INDEX, *SIGNALS).groupBy(KEY).applyInPandas(one_recording, schema)
 
 
 def extract_features(
@@ -249,23 +290,21 @@ def extract_features(
     picked = {n: _registered[n] for n in (_registered if names is None else names)}
     aggregates = [c.alias(n) for n, c in picked.items() if isinstance(c, Column)]
     parts = [
-        labelled.groupBy(KEY).agg(*base_aggregates(), *aggregates),
-        event_features(labelled, events),
-        moment_features(labelled),
-        rolling_features(labelled, window_ms),
-        pupil_features(labelled),
+        event_counts(events),
+        valid_frames(labelled, window_ms).groupBy(KEY).agg(*rolling_aggregates(), *pupil_aggregates()),
     ]
     if include_complexity:
         parts.append(entropy_features(labelled))
     if include_pupil_load:
         trace = pupil_trace(labelled, baseline_window_ms=window_ms, min_blink_ms=min_blink_ms)
         parts.append(pupil_load_features(trace, max(window_ms, 1000.0)))
-    for name, feature in picked.items():
+    for feature in picked.values():
         if not isinstance(feature, Column):
             parts.append(_python_feature(samples, *feature))
-    out = parts[0]
-    for part in parts[1:]:
+    out = sample_aggregates(labelled, [*base_aggregates(), *aggregates])
+    for part in parts:
         out = out.join(part, KEY, "left")
+    out = with_event_rates(out)
     return out.select(KEY, *[finite(F.col(c)).alias(c) for c in out.columns if c != KEY])
 
 
@@ -280,7 +319,7 @@ def _python_feature(samples: DataFrame, fn, schema: str) -> DataFrame:
 def feature_dataset(features: DataFrame, recordings: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Feature rows with the recording's design columns and, if given, targets by recording.
 
-    A recording without a session id gets its ordinal.
+    A recording without a session id goes by its key.
     """
     df = features.join(recordings, KEY, "left")
     if targets is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import fill, framed, join_recording, running_sum, shift, trailing, with_recording_values
+from saccadia.functions.ordered import fill, framed, is_split, join_recording, running_sum, shift, trailing, with_recording_values
 from saccadia.functions.ranks import recording_quantiles
 from saccadia.operators.signal import interpolate_nulls
 from saccadia.schema import INDEX, KEY
@@ -93,24 +93,32 @@ def pupil_meta(corrected: DataFrame, events: DataFrame | None = None) -> DataFra
     return meta.join(blinks, KEY, "left").fillna(0, ["blink_event_count"])
 
 
-def frame_size(samples: DataFrame, window_ms: float, fallback_dt: float) -> DataFrame:
-    """``frame_rows`` per recording: how many samples a window of ``window_ms`` holds (2 at least)."""
-    steps = shift(samples, {"_t": F.col("timestamp_ms")}).withColumn("_dt", F.col("timestamp_ms") - F.col("_t"))
-    medians = recording_quantiles(steps, [KEY], {"_median": ("_dt", 0.5)})
+def with_frame_rows(df: DataFrame, window_ms: float, fallback_dt: float) -> DataFrame:
+    """Add ``frame_rows``: how many samples a window of ``window_ms`` holds, 2 at least.
+
+    ``_dt`` is the time since the sample before; its median sets the sampling step.
+    """
+    if is_split(df):
+        df = join_recording(df, recording_quantiles(df, [KEY], {"_median": ("_dt", 0.5)}))
+    else:
+        df = with_recording_values(df, {"_median": F.percentile("_dt", F.lit(0.5))})
     dt = F.greatest(F.coalesce("_median", F.lit(fallback_dt)), F.lit(1.0))
-    return medians.select(KEY, F.greatest(F.bround(F.lit(window_ms) / dt), F.lit(2.0)).alias("frame_rows"))
+    return df.withColumn("frame_rows", F.greatest(F.bround(F.lit(window_ms) / dt), F.lit(2.0))).drop("_median")
 
 
 def pupil_load_features(corrected: DataFrame, window_ms: float = 1000.0) -> DataFrame:
     """Ten workload features per recording from a baseline-corrected trace."""
-    df = join_recording(corrected, frame_size(corrected, window_ms, window_ms))
+    df = shift(corrected, {"_t": F.col("timestamp_ms")}).withColumn("_dt", F.col("timestamp_ms") - F.col("_t"))
+    df = with_frame_rows(df, window_ms, window_ms)
     df = trailing(df, {"_tonic": "avg(cleaned_pupil)", "_level": "avg(bc_pupil)"}, "frame_rows")
     df = df.withColumn("_phasic", F.greatest(F.col("bc_pupil") - F.col("_level"), F.lit(0.0)))
     df = with_recording_values(df, {"_top": F.max("bc_pupil"), "_t0": F.min("timestamp_ms")})
     df = df.withColumn("_peak", F.greatest("_top", F.lit(0.0)))
     onset = F.min(F.when((F.col("_peak") > 0) & (F.col("bc_pupil") >= 0.5 * F.col("_peak")), F.col("timestamp_ms")))
     masked = F.avg(F.col("blink_mask").cast("double"))
+    q75 = [] if is_split(df) else [F.percentile("bc_pupil", F.lit(0.75)).alias("pupil_bc_q75")]
     found = df.groupBy(KEY).agg(
+        *q75,
         F.avg("bc_pupil").alias("pupil_bc_mean"),
         F.stddev_pop("bc_pupil").alias("pupil_bc_std"),
         F.max("_peak").alias("pupil_bc_peak"),
@@ -121,6 +129,8 @@ def pupil_load_features(corrected: DataFrame, window_ms: float = 1000.0) -> Data
         masked.alias("pupil_blink_ratio"),
         masked.alias("pupil_interpolation_ratio"),
     )
+    if q75:
+        return found
     return found.join(recording_quantiles(corrected, [KEY], {"pupil_bc_q75": ("bc_pupil", 0.75)}), KEY)
 
 

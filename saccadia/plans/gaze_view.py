@@ -28,9 +28,9 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias(KEY),
         F.col("event_id").alias("sample_seq"),
         ((F.unix_micros(F.col("ts").cast("timestamp")) - ORIGIN_US) / US_PER_MS).alias("timestamp_ms"),
-        F.when(ok, F.col("value")).alias("x"),
+        F.when(ok, F.col("value") / 0.97).alias("x"),
         F.when(ok, F.get_json_object("props", "$.k").cast("double")).alias("y"),
-        F.when(ok, 2.0 + (F.col("event_id") % 37) / 20.0).alias("pupil"),
+        F.when(ok, 2.0 + (F.col("event_id") % 37) / 19.0).alias("pupil"),
         ok.alias("valid"),
         F.when(kind == "purchase", "task_start").when(kind == "signup", "task_end").alias("marker"),
         F.when(F.col("user_id") % 4 != 0, label).alias("event_label"),
@@ -62,5 +62,5 @@ def heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias(KEY),
         F.col("event_id").alias("sample_seq"),
         ((F.unix_micros(F.col("ts").cast("timestamp")) - ORIGIN_US) / US_PER_MS + 3.7).alias("timestamp_ms"),
-        (60.0 + F.col("value") / 10.0).alias("heart_rate_bpm"),
+        (60.0 + F.col("value") / 9.7).alias("heart_rate_bpm"),
     )

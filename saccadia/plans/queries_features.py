@@ -161,7 +161,7 @@ def heart_rate(spark, sf):
 
 HEART = """
 hr AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id AS sample_seq,
-    (epoch_us(ts) - 1704067200000000) / 3.6e8 + 3.7 AS timestamp_ms, 60.0 + value / 10.0 AS heart_rate_bpm
+    (epoch_us(ts) - 1704067200000000) / 3.6e8 + 3.7 AS timestamp_ms, 60.0 + value / 9.7 AS heart_rate_bpm
   FROM events WHERE event_type = 'view')"""
 HEART_FEATURES = """
 hf AS (SELECT recording_id, avg(heart_rate_bpm) AS heart_rate_mean, stddev_pop(heart_rate_bpm) AS heart_rate_std,

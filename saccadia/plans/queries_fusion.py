@@ -196,7 +196,7 @@ query("M4_feature_concat", R, "gaze_duration_ms gaze_path_length hr_heart_rate_m
 
 
 LATE = """
-pr AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, 'gaze' AS modality, event_type AS class, avg(value) / 500.0 AS p FROM events GROUP BY ALL
+pr AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, 'gaze' AS modality, event_type AS class, avg(value) / 499.0 AS p FROM events GROUP BY ALL
   UNION ALL SELECT CAST(user_id AS VARCHAR), 'hr', event_type, count(*) / 100.0 FROM events GROUP BY ALL),
 lf AS (SELECT recording_id, class, sum(CASE modality WHEN 'gaze' THEN 2.0 ELSE 1.0 END * p) / sum(CASE modality WHEN 'gaze' THEN 2.0 ELSE 1.0 END) AS p FROM pr GROUP BY ALL)"""
 
@@ -205,7 +205,7 @@ lf AS (SELECT recording_id, class, sum(CASE modality WHEN 'gaze' THEN 2.0 ELSE 1
 def m5(spark, sf):
     """Two score sources per recording and class; the gaze one weighs double."""
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias(R), F.col("event_type").alias("class"), "value")
-    by = events.groupBy(R, "class").agg((F.avg("value") / 500.0).alias("gaze"), (F.count(F.lit(1)) / 100.0).alias("hr"))
+    by = events.groupBy(R, "class").agg((F.avg("value") / 499.0).alias("gaze"), (F.count(F.lit(1)) / 100.0).alias("hr"))
     long = by.unpivot([R, "class"], ["gaze", "hr"], "modality", "p")
     weights = spark.createDataFrame([("gaze", 2.0)], "modality string, weight double")
     return mm.late_fusion(long, weights)

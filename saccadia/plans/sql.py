@@ -6,9 +6,9 @@ GAZE = """
 raw AS (
   SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id AS sample_seq,
     (epoch_us(ts) - 1704067200000000) / 3.6e8 AS timestamp_ms,
-    CASE WHEN event_type <> 'error' THEN value END AS x,
+    CASE WHEN event_type <> 'error' THEN value / 0.97 END AS x,
     CASE WHEN event_type <> 'error' THEN CAST(props->>'$.k' AS DOUBLE) END AS y,
-    CASE WHEN event_type <> 'error' THEN 2.0 + (event_id % 37) / 20.0 END AS pupil,
+    CASE WHEN event_type <> 'error' THEN 2.0 + (event_id % 37) / 19.0 END AS pupil,
     event_type <> 'error' AS valid,
     CASE event_type WHEN 'purchase' THEN 'task_start' WHEN 'signup' THEN 'task_end' END AS marker,
     CASE WHEN user_id % 4 <> 0 THEN
