@@ -21,6 +21,8 @@ def value_counts(df: DataFrame, by: list[str], value: str, extra: dict | None =
 
     ``extra`` adds further aggregates per value. Null values are left out.
     """
+    if not by:
+        return value_counts(df.withColumn("_all", F.lit(0)), ["_all"], value, extra).drop("_all")
     size = int(df.sparkSession.conf.get(CELL_ROWS_CONF, str(DEFAULT_CELL_ROWS)))
     aggregates = [F.count(F.lit(1)).alias("n")] + [c.alias(k) for k, c in (extra or {}).items()]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggregates)
