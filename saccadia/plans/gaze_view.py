@@ -1,8 +1,8 @@
 """The driver's ``events`` table read as gaze recordings.
 
-A user is a recording; 30 days of events are scaled to 7,200 ms; the value and the ``k``
-property are the gaze position; ``error`` rows are lost samples. Every fourth recording
-has no event labels.
+A user is a recording; 30 days of events are scaled to 7,200 ms; the value (taken off the
+decimal grid, so that rounded means have no ties) and the ``k`` property are the gaze
+position; ``error`` rows are lost samples. Every fourth recording has no event labels.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ ORIGIN_US = 1704067200000000
 US_PER_MS = 3.6e8
 
 
-def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def gaze_columns(events: DataFrame) -> DataFrame:
     ok = F.col("event_type") != "error"
     kind = F.col("event_type")
     labels = {"click": "fix", "view": "Fixation", "purchase": "SACC", "signup": "SP", "error": "blink_start"}
@@ -39,6 +37,11 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return gaze_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lay_out(raw_samples(spark, sf_dir))
 
