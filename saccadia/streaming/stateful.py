@@ -43,6 +43,12 @@ def _values(row) -> tuple:
     return (float(t), int(seq), x, y, pupil, bool(valid))
 
 
+def _restart_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_ms)
+
+
 class SlidingBuffer(StatefulProcessor):
     """Keeps the last ``window_ms`` of a recording and emits the buffer every ``step_ms``.
 
@@ -54,8 +60,9 @@ class SlidingBuffer(StatefulProcessor):
         self.window_ms, self.step_ms = window_ms, step_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("buffer", SAMPLE, IDLE_MS)
-        self.last_emit = handle.getValueState("last_emit", T.StructType([T.StructField("ms", T.DoubleType())]), IDLE_MS)
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", SAMPLE)
+        self.last_emit = handle.getValueState("last_emit", T.StructType([T.StructField("ms", T.DoubleType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buffer = sorted(tuple(r) for r in self.buffer.get()) if self.buffer.exists() else []
@@ -77,8 +84,14 @@ class SlidingBuffer(StatefulProcessor):
                 out += [(key[0], newest, *s) for s in buffer]
         self.buffer.put(buffer)
         self.last_emit.update((last,))
+        _restart_timer(self.handle, int(buffer[-1][0]) + IDLE_MS)
         yield pd.DataFrame(out, columns=[KEY, "emit_ms", *NAMES])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.buffer.clear()
+        self.last_emit.clear()
+        yield pd.DataFrame([], columns=[KEY, "emit_ms", *NAMES])
+
     def close(self) -> None:
         pass
 
@@ -86,10 +99,10 @@ class SlidingBuffer(StatefulProcessor):
 BUFFER_ROWS = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("emit_ms", T.DoubleType()), *SAMPLE_FIELDS])
 
 
-def sliding_buffers(samples: DataFrame, window_ms: float = 1500.0, step_ms: float = 250.0) -> DataFrame:
-    """Samples of every emitted buffer, marked with the time of emission."""
-    return samples.select(KEY, *NAMES).groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=SlidingBuffer(window_ms, step_ms), outputStructType=BUFFER_ROWS, outputMode="Append", timeMode="ProcessingTime"
+def sliding_buffers(timed: DataFrame, window_ms: float = 1500.0, step_ms: float = 250.0) -> DataFrame:
+    """Samples of every emitted buffer of a stream with ``event_time``, marked with the time of emission."""
+    return timed.select(KEY, "event_time", *NAMES).groupBy(KEY).transformWithStateInPandas(
+        statefulProcessor=SlidingBuffer(window_ms, step_ms), outputStructType=BUFFER_ROWS, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -175,9 +188,7 @@ class OpenRun(StatefulProcessor):
             before = sample
         self.run.update(run)
         self.before.update(before)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(before[0]) + self.idle_ms)
+        _restart_timer(self.handle, int(before[0]) + self.idle_ms)
         yield pd.DataFrame(out, columns=[f.name for f in EVENT.fields])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -73,7 +73,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[
     base = scratch_dir(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = transform(batch) if transform else batch
+        rows = batch
+        if transform:
+            # a transform reads the batch several times, and a stateful operator must run once
+            batch.write.mode("overwrite").parquet(f"{base}/staged/batch={number}")
+            rows = transform(spark.read.schema(batch.schema).parquet(f"{base}/staged/batch={number}"))
         # a batch that is run again replaces its own folder, so results are exactly once
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
