@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["queries_sources", "queries_signal", "queries_features", "queries_space", "queries_fusion", "queries_stats", "queries_insight", "queries_models", "queries_streaming"]
+MODULES = ["queries_sources", "queries_signal", "queries_features", "queries_space", "queries_fusion", "queries_stats", "queries_insight", "queries_models", "queries_streaming", "queries_plugins"]
 
 
 def load_queries():
