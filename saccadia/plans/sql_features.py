@@ -38,12 +38,19 @@ def event_features(dst, src, evs):
 
 
 def moments(dst, src):
+    """Skewness and kurtosis from centred powers: sums of raw powers lose the digits compared here."""
+    centred = ", ".join(f"{c} - avg({c}) OVER u AS c_{c}" for c in SIGNALS)
     parts = []
     for c in SIGNALS:
+        n, m2, m3, m4 = f"count({c})", f"avg(c_{c} * c_{c})", f"avg(c_{c} * c_{c} * c_{c})", f"avg(c_{c} * c_{c} * c_{c} * c_{c})"
+        skew = f"CASE WHEN {n} >= 3 THEN sqrt({n} * ({n} - 1.0)) / ({n} - 2.0) * {m3} / pow({m2}, 1.5) END"
+        kurt = f"CASE WHEN {n} >= 4 THEN ({n} - 1.0) / (({n} - 2.0) * ({n} - 3.0)) * (({n} + 1.0) * ({m4} / ({m2} * {m2}) - 3.0) + 6.0) END"
         parts.append(f"""avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std, min({c}) AS {c}_min, max({c}) AS {c}_max,
     quantile_cont({c}, 0.25) AS {c}_q25, quantile_cont({c}, 0.75) AS {c}_q75,
-    coalesce(skewness({c}), 0) AS {c}_skew, coalesce(kurtosis({c}), 0) AS {c}_kurtosis""")
-    return f"{dst} AS (SELECT recording_id, {', '.join(parts)} FROM {src} WHERE valid GROUP BY 1)"
+    coalesce({skew}, 0) AS {c}_skew, coalesce({kurt}, 0) AS {c}_kurtosis""")
+    return f"""
+{dst}_c AS (SELECT *, {centred} FROM {src} WHERE valid WINDOW u AS (PARTITION BY recording_id)),
+{dst} AS (SELECT recording_id, {', '.join(parts)} FROM {dst}_c GROUP BY 1)"""
 
 
 def rolling(dst, src, window_ms=500.0):
