@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saccadia.functions.storage import materialize
 from saccadia.schema import BLOCK, INDEX, KEY
 
 ROWS_PER_BLOCK_CONF = "spark.saccadia.rowsPerBlock"
@@ -38,6 +39,15 @@ def is_split(df: DataFrame) -> bool:
     return BLOCK in df.columns
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """In the block layout, write the rows out before they are read more than once.
+
+    Carrying values across blocks joins a table with its own summary; without a cut a chain
+    of such steps would double its plan at each one.
+    """
+    return materialize(df, "blocks") if is_split(df) else df
+
+
 def _asc(order):
     return [F.col(c).asc() for c in order]
 
@@ -117,6 +127,7 @@ def reblock(df: DataFrame, index: str) -> DataFrame:
 
 def _with_block_carry(df: DataFrame, summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
     """Join per-block values, moved across the blocks of a recording, back to its rows."""
+    df = settle(df)
     moved = (
         df.groupBy(KEY, BLOCK)
         .agg(*[c.alias(n) for n, c in summary.items()])
@@ -256,4 +267,5 @@ def with_recording_values(df: DataFrame, columns: dict[str, Column]) -> DataFram
     if not is_split(df):
         w = Window.partitionBy(KEY)
         return df.withColumns({n: c.over(w) for n, c in columns.items()})
+    df = settle(df)
     return join_recording(df, df.groupBy(KEY).agg(*[c.alias(n) for n, c in columns.items()]))

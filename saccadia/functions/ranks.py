@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import is_split, join_small
+from saccadia.functions.ordered import is_split, join_small, settle
 
 CELL_ROWS_CONF = "spark.saccadia.valuesPerCell"
 DEFAULT_CELL_ROWS = 1_000_000
@@ -95,6 +95,7 @@ def recording_quantiles(df: DataFrame, by: list[str], columns: dict[str, tuple[s
         return df.groupBy(*by).agg(
             *[F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in columns.items()]
         )
+    df = settle(df)
     out = df.select(*by).distinct()
     for column in dict.fromkeys(c for c, _ in columns.values()):
         wanted = {n: p for n, (c, p) in columns.items() if c == column}

@@ -14,6 +14,7 @@ from saccadia.functions.ordered import (
     ordinal,
     reblock,
     running_sum,
+    settle,
     shift,
     trailing,
     with_recording_values,
@@ -172,7 +173,7 @@ def sample_aggregates(samples: DataFrame, aggregates: list[Column]) -> DataFrame
     Quartiles join it while recordings are of bounded length; in the block layout they
     are counted apart.
     """
-    df = with_valid_signals(samples)
+    df = settle(with_valid_signals(samples))
     split = is_split(df)
     out = df.groupBy(KEY).agg(*aggregates, *moment_aggregates(quartiles=not split))
     return out.join(recording_quantiles(df, [KEY], QUARTILES), KEY, "left") if split else out
@@ -286,6 +287,7 @@ def extract_features(
     """
     if labelled is None:
         labelled = ev.label_samples(samples)
+    labelled = settle(labelled)
     events = ev.runs_to_events(labelled, min_fixation_ms, min_blink_ms)
     picked = {n: _registered[n] for n in (_registered if names is None else names)}
     aggregates = [c.alias(n) for n, c in picked.items() if isinstance(c, Column)]

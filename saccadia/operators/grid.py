@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import is_split, join_recording, ordinal, with_recording_values
+from saccadia.functions.ordered import is_split, join_recording, ordinal, settle, with_recording_values
 from saccadia.functions.ranks import quantiles, recording_quantiles
 from saccadia.schema import BLOCK, KEY
 
@@ -33,11 +33,11 @@ def placed_fixations(fixations: DataFrame) -> DataFrame:
 
 def fixation_seeds(fixations: DataFrame) -> DataFrame:
     """Fixation centres weighted by duration relative to the recording's median (40 ms at least)."""
-    placed = placed_fixations(fixations)
+    placed = settle(placed_fixations(fixations))
     medians = recording_quantiles(placed, [KEY], {"_median": ("duration_ms", 0.5)})
     df = join_recording(placed, medians)
     weight = F.greatest("duration_ms", F.lit(40.0)) / F.greatest("_median", F.lit(40.0))
-    return df.select(KEY, "event_index", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"), weight.alias("weight"))
+    return df.select(KEY, "event_index", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"), weight.alias("weight"), *([BLOCK] if is_split(df) else []))
 
 
 def padded_extent(samples: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma:
     per recording and batch); the partial rows are then added up by Spark, so the seeds of
     one recording may lie in any number of tasks.
     """
-    placed = join_small_extent(seeds.select(KEY, "x", "y", "weight"), extent)
+    block = [BLOCK] if is_split(seeds) else []
+    placed = join_recording(seeds.select(KEY, *block, "x", "y", "weight"), extent).drop(BLOCK)
     schema = f"{KEY} string, gy int, cells array<double>"
 
     def partial_grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,10 +83,6 @@ def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma:
     )
 
 
-def join_small_extent(seeds: DataFrame, extent: DataFrame) -> DataFrame:
-    return join_recording(seeds, extent)
-
-
 def attention_density(fixations: DataFrame, samples: DataFrame, bins: int = 140) -> DataFrame:
     """Attention map per recording, its peak scaled to 1."""
     grid = kernel_density(fixation_seeds(fixations), padded_extent(samples), bins)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import fill, framed, is_split, join_recording, running_sum, shift, trailing, with_recording_values
+from saccadia.functions.ordered import fill, framed, is_split, join_recording, running_sum, settle, shift, trailing, with_recording_values
 from saccadia.functions.ranks import recording_quantiles
 from saccadia.operators.signal import interpolate_nulls
 from saccadia.schema import INDEX, KEY
@@ -69,6 +69,7 @@ def baseline_correct(
     cleaned: DataFrame, mode: str = "trial_start", window_ms: float = 500.0, zscore: bool = False
 ) -> DataFrame:
     """Add ``baseline_value`` and ``bc_pupil``; ``zscore`` scales it within the recording."""
+    cleaned = settle(cleaned)
     df = join_recording(cleaned, pupil_baseline(cleaned, mode, window_ms))
     df = df.withColumn("bc_pupil", F.col("cleaned_pupil") - F.col("baseline_value"))
     if not zscore:
@@ -99,6 +100,7 @@ def with_frame_rows(df: DataFrame, window_ms: float, fallback_dt: float) -> Data
     ``_dt`` is the time since the sample before; its median sets the sampling step.
     """
     if is_split(df):
+        df = settle(df)
         df = join_recording(df, recording_quantiles(df, [KEY], {"_median": ("_dt", 0.5)}))
     else:
         df = with_recording_values(df, {"_median": F.percentile("_dt", F.lit(0.5))})
@@ -108,6 +110,7 @@ def with_frame_rows(df: DataFrame, window_ms: float, fallback_dt: float) -> Data
 
 def pupil_load_features(corrected: DataFrame, window_ms: float = 1000.0) -> DataFrame:
     """Ten workload features per recording from a baseline-corrected trace."""
+    corrected = settle(corrected)
     df = shift(corrected, {"_t": F.col("timestamp_ms")}).withColumn("_dt", F.col("timestamp_ms") - F.col("_t"))
     df = with_frame_rows(df, window_ms, window_ms)
     df = trailing(df, {"_tonic": "avg(cleaned_pupil)", "_level": "avg(bc_pupil)"}, "frame_rows")
