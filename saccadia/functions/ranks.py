@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import is_split, join_small, settle
+from saccadia.functions.storage import materialize
 
 CELL_ROWS_CONF = "spark.saccadia.valuesPerCell"
 DEFAULT_CELL_ROWS = 1_000_000
@@ -26,6 +27,8 @@ def value_counts(df: DataFrame, by: list[str], value: str, extra: dict | None =
     size = int(df.sparkSession.conf.get(CELL_ROWS_CONF, str(DEFAULT_CELL_ROWS)))
     aggregates = [F.count(F.lit(1)).alias("n")] + [c.alias(k) for k, c in (extra or {}).items()]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggregates)
+    # read three times below (group sizes, cell sums, places), so computed once
+    counts = materialize(counts, "counts")
     groups = (
         counts.groupBy(*by)
         .agg(

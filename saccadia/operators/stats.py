@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from saccadia.functions import distributions as dist
 from saccadia.functions.ranks import average_rank, quantiles, value_counts
+from saccadia.functions.storage import materialize
 from saccadia.operators.quality import fixed
 
 # Test names, effect words, conclusion words.
@@ -362,6 +363,8 @@ def compare_conditions(
     pair = sorted(conditions) if conditions else conditions_of(summary, condition)
     chosen = summary.filter(F.col(condition).isin(pair))
     rows = check_granularity_long(long_form(chosen, metrics, [subject, condition]), subject, condition)
+    # one row per subject, condition and metric; read by every test and both normality checks
+    rows = materialize(rows, "comparison")
     if paired:
         both = pairs(rows, pair, subject, condition)
         tested = both.select("metric", F.lit(pair[0]).alias(condition), F.col("first").alias("value")).union(
