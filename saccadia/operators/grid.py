@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import is_split, join_recording, ordinal, settle, with_recording_values
-from saccadia.functions.ranks import quantiles, recording_quantiles
+from saccadia.functions.ranks import recording_quantiles
 from saccadia.schema import BLOCK, KEY
 
 
@@ -173,9 +173,11 @@ def grid_summary(grid: DataFrame, image: str = KEY) -> DataFrame:
 def robust_normalize(grid: DataFrame, image: str = KEY) -> DataFrame:
     """Clip each map to its 2nd–98th percentile and scale to 0–1; a flat map is divided by its peak."""
     df = grid.withColumn("s", F.coalesce(F.nanvl("s", F.lit(0.0)), F.lit(0.0)))
-    limits = quantiles(df, [image], "s", {"_low": 0.02, "_high": 0.98})
-    peaks = df.groupBy(image).agg(F.max("s").alias("_peak"))
-    df = df.join(limits, image).join(peaks, image)
+    # a map has as many values as cells, however much data it was made from
+    limits = df.groupBy(image).agg(
+        F.percentile("s", F.lit(0.02)).alias("_low"), F.percentile("s", F.lit(0.98)).alias("_high"), F.max("s").alias("_peak")
+    )
+    df = df.join(limits, image)
     span = F.col("_high") - F.col("_low")
     clipped = F.least(F.greatest("s", F.col("_low")), F.col("_high"))
     flat = F.when(F.col("_peak") > 0, F.col("s") / F.col("_peak")).otherwise(0.0)

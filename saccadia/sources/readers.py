@@ -59,18 +59,15 @@ def read_tabular(
     Files are grouped by separator and header line, as one reader applies one header to
     all its files; the groups are read side by side and united by column name.
     """
-    groups = (
-        first_lines(spark, paths)
-        .withColumn("sep", separator(F.col("header")))
-        .groupBy("sep", "header")
-        .agg(F.collect_list("file_path").alias("files"))
-        .collect()
-    )
+    # one row per file, as many as Spark's own file index keeps on the driver
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in first_lines(spark, paths).select("file_path", "header", separator(F.col("header")).alias("sep")).collect():
+        groups.setdefault((r["sep"], r["header"]), []).append(r["file_path"])
     parts = []
-    for g in groups:
-        names = [n.strip().strip('"').lstrip("﻿") for n in g["header"].split(g["sep"])]
+    for (sep, header), files in sorted(groups.items()):
+        names = [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).csv(g["files"], sep=g["sep"], header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        raw = spark.read.schema(schema).csv(files, sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         raw = raw.withColumns({KEY: F.col("_metadata.file_path"), "sample_seq": file_position()})
         parts.append(synthesize_timestamps(normalize_columns(raw, column_map), sampling_rate_hz))
     if not parts:
