@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from saccadia.llm import bpe, classifier, licenses, packing, rules, token_counts
+from saccadia.llm import bpe, classifier, graph_index, jaccard, licenses, lines, packing, rules, substrings, token_counts
+from saccadia.llm import oracles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op2_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -40,7 +46,25 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_quality_classifier, op4_quality_rules, op5_bpe, op6_token_counts, op7_license_scan)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35, carry=["doc_id"]))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.clean(docs).select("rest.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join_texts(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return joined.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_packing, op2_graph_neighbours, op3_quality_classifier, op4_quality_rules, op5_bpe, op6_token_counts, op7_license_scan,
+    op8_substring_dedup, op9_line_dedup, op10_ngram_jaccard,
+)}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.QUALITY_RULES, "op8_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_line_dedup": oracles.LINE_DEDUP,
+    "op10_ngram_jaccard": oracles.NGRAM_JACCARD,
 }
-ORACLES: dict[str, str] = {}
