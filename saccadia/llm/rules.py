@@ -67,8 +67,8 @@ def _measure_slice(t: arrays.Texts) -> dict[str, np.ndarray]:
     newline = np.flatnonzero(t.data == 10)
     line_starts = np.unique(np.concatenate([t.bounds[:-1], newline + 1]))
     line_starts = line_starts[line_starts < len(t.data)]
-    stops = np.unique(np.concatenate([newline, t.bounds[1:]]))
-    line_ends = stops[np.searchsorted(stops, line_starts)]
+    row_end = t.bounds[np.searchsorted(t.bounds, line_starts, "right")]
+    line_ends = np.minimum(np.append(newline, len(t.data))[np.searchsorted(newline, line_starts)], row_end)
     with_word = np.searchsorted(w.starts, line_ends) > np.searchsorted(w.starts, line_starts)
     line_starts, line_ends = line_starts[with_word], line_ends[with_word]
     line_bounds = np.searchsorted(line_starts, t.bounds)
@@ -157,9 +157,5 @@ def keep_good(docs: DataFrame, policy: str = NEWEST) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns."""
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("text"))
     # the row travels as one column beside its text, so no name can clash with a measurement
-    judged = apply_policy(ledger(_measure_struct(tagged)), policy)
+    judged = apply_policy(ledger(measure(tagged)), policy)
     return judged.filter("kept").select("doc.*")
-
-
-def _measure_struct(tagged: DataFrame) -> DataFrame:
-    return measure(tagged)
