@@ -270,7 +270,7 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     ``component_id`` is the least key that links reach; ``first`` is the number of one text of the component, the same for all.
     """
-    rows = numbered(docs, key, text)
+    rows = numbered(storage.stable(docs), key, text)
     found = storage.written(points(rows, n, percent), "points")
     label = components(links(found, rows, n, percent))
     # from texts to the class of equal sets, from there to its component
@@ -282,3 +282,11 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     linked = linked.select("row", "key", F.col("size").alias("n_shingles"), "component_id", "first")
     alone = found.filter("size = 0").select("row", "key", F.col("size").alias("n_shingles"), F.col("key").alias("component_id"), F.col("row").alias("first"))
     return linked.union(alone)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one text of each component, and all texts without words; the columns stay."""
+    docs = storage.stable(docs)
+    others = join_texts(docs, key, text, n, percent).filter(F.col("row") != F.col("first")).select("row")
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return whole.join(others, "row", "left_anti").select("doc.*")

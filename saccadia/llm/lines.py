@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saccadia.llm import storage
+
 MIN_SITES = 5
 MIN_CHARS = 12
 MARGIN = 0.2
@@ -50,7 +52,7 @@ def origin(text: Column) -> Column:
 
 def numbered(docs: DataFrame, site: str, text: str) -> DataFrame:
     """Each row's number, text, site and, as a struct, all its columns but the text."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.col(f"`{site}`").cast("string").alias("site"), F.struct(*rest).alias("rest"),
@@ -91,7 +93,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
 def clean(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS,
           margin: float = MARGIN) -> DataFrame:
     """The struct ``rest`` (all columns but the text) with ``n_lines`` that are not blank, ``n_removed`` and ``kept_text``."""
-    rows = numbered(docs, site, text)
+    rows = numbered(storage.stable(docs), site, text)
     lines = line_rows(rows, min_chars)
     hits = lines.join(boilerplate(lines, min_sites, margin), ["a", "b"])
     removed = hits.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("removed"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+READS = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "RelationV2", "DataSourceV2ScanRelation"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset, a temporary folder, but only if all tasks run on this machine."""
@@ -25,3 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads and picks rows of stored data, else a stored copy of it.
+
+    Operators number the rows they read and read them again; joins and shuffles may bring rows in another order each time.
+    """
+    def reads_only(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() in READS and all(reads_only(children.apply(k)) for k in range(children.size()))
+
+    return df if reads_only(df._jdf.queryExecution().optimizedPlan()) else written(df, "rows")

@@ -35,7 +35,7 @@ GRAM = 12
 
 def numbered(docs: DataFrame, text: str = "text", carry: list[str] = []) -> DataFrame:  # noqa: B006
     """A number for each row of a table read from storage, the same in every read, its text, and other columns as ``carry``."""
-    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(0)
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("carry"))
 
 
@@ -141,6 +141,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     ``carry`` has the named columns of ``docs``, else all but the text. A text that loses nothing is kept as it is;
     elsewhere the white space before a removed run of words stays. Both joins with the texts share one exchange.
     """
+    docs = storage.stable(docs)
     rows = numbered(docs, text, [c for c in docs.columns if c != text] if carry is None else carry)
     lists = repeats(rows, window, gram).groupBy("row").agg(F.collect_list(F.struct("low", "windows")).alias("runs"))
     joined = rows.join(lists, "row", "left").select("row", "text", "runs", "carry")
@@ -188,3 +189,9 @@ def digests(results: DataFrame) -> DataFrame:
     picked = results.select("carry", "n_words", "n_removed", "kept_text")
     schema = StructType([picked.schema["carry"], *StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
     return picked.mapInArrow(run, schema).select("carry.*", "n_words", "n_removed", "kept_sha256")
+
+
+def clean_documents(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeated passages taken out of the text: the same rows and columns."""
+    cleaned = remove_repeats(docs, text, window, gram)
+    return cleaned.select(*[(F.col("kept_text") if c == text else F.col("carry").getField(c)).alias(c) for c in docs.columns])
