@@ -10,21 +10,13 @@ from saccadia.llm import storage
 ROUNDS = 60
 
 
-def _star(both: DataFrame, smaller: bool) -> DataFrame:
-    """One contraction: each node's chosen neighbours are tied to the least node that it knows.
-
-    ``both`` has each edge in both directions. With ``smaller`` the neighbours below the node are chosen, else those above.
-    """
-    side = both.filter("v < u") if smaller else both
-    least = side.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    tied = both.filter("v < u" if smaller else "v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    if smaller:
-        tied = tied.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return tied.filter("a <> b")
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Every node and its neighbours are tied to the least node among them; the components stay the same."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    met = both.join(least, "u")
+    ties = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
+    return met.select(F.explode(ties).alias("t")).select("t.*").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,13 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = storage.written(edges.filter("a <> b").distinct(), "edges")
     before = None
     for _ in range(ROUNDS):
-        large = _star(_both(now), smaller=False).distinct()
-        now = storage.written(_star(_both(large), smaller=True).distinct(), "edges")
+        now = storage.written(_contracted(now), "edges")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    high = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    return high.union(now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("component"))).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

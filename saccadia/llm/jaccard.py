@@ -144,16 +144,10 @@ class Sets:
         distinct, self.elements = np.unique(np.concatenate(sets), return_inverse=True)
         self.stops = np.concatenate([[0], np.cumsum(self.size)])
         self.mark = np.zeros(len(distinct), bool)
-        self.parent = list(range(len(ids)))
+        self.group = np.arange(len(ids))
         self.links: list[tuple[int, int]] = []
         self.two_sided = len(set(sides)) > 1
 
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
     def shared(self, x: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of one set with others."""
         mine = self.elements[self.stops[x]:self.stops[x + 1]]
@@ -168,10 +162,11 @@ class Sets:
         return 1 - both / (self.size[x] + self.size[others] - both)
 
     def exact(self, owners: np.ndarray, members: np.ndarray) -> None:
-        """Compare each owner with the members that are not yet tied to it."""
-        for x in owners.tolist():
-            mine = self.root(x)
-            rest = np.array([y for y in members.tolist() if self.root(y) != mine], np.int64)
+        """Compare each owner with the members that are not yet tied to it; a pair of owners is met once."""
+        order = np.full(len(self.ids), len(owners))
+        order[owners] = np.arange(len(owners))
+        for k, x in enumerate(owners.tolist()):
+            rest = members[(order[members] > k) & (self.group[members] != self.group[x])]
             if self.two_sided:
                 rest = rest[self.sides[rest] != self.sides[x]]
             near = np.minimum(self.size[rest], self.size[x]) * 100 >= self.percent * np.maximum(self.size[rest], self.size[x])
@@ -180,9 +175,8 @@ class Sets:
                 continue
             both = self.shared(x, rest)
             for y in rest[100 * both >= self.percent * (self.size[x] + self.size[rest] - both)].tolist():
-                a, b = self.root(x), self.root(y)
-                if a != b:
-                    self.parent[b] = a
+                if self.group[x] != self.group[y]:
+                    self.group[self.group == self.group[y]] = self.group[x]
                     self.links.append((self.ids[x], self.ids[y]))
 
     def join(self, owners: np.ndarray, members: np.ndarray) -> None:
