@@ -25,6 +25,7 @@ from saccadia.schema import BLOCK, INDEX, KEY
 ROWS_PER_BLOCK_CONF = "spark.saccadia.rowsPerBlock"
 DEFAULT_ROWS_PER_BLOCK = 2_000_000
 MAX_BROADCAST_ROWS = 200_000
+MOST_CELLS = 256
 
 
 def rows_per_block(df: DataFrame) -> int:
@@ -69,33 +70,39 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", limit: in
     return df.join(F.broadcast(local), on, how)
 
 
+def cut_points(value: str, cells: int):
+    """Aggregate: values that cut a group's rows into about equal cells, however they are spread.
+
+    At most ``MOST_CELLS``, as each row is compared with them; beyond that cells grow with the group.
+    """
+    cells = max(2, min(cells, MOST_CELLS))
+    return F.percentile_approx(value, [k / cells for k in range(1, cells)])
+
+
+def cell_of(value: Column, cuts: Column) -> Column:
+    """The number of cut points below a value; equal values share a cell."""
+    return F.when(cuts.isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c < value))).cast("long")
+
+
 def lay_out(samples: DataFrame) -> DataFrame:
     """Add the dense 0-based ``sample_index`` and, if some recording is long, ``block``."""
     size = rows_per_block(samples)
     long = (
         samples.groupBy(KEY)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("timestamp_ms").alias("_t0"),
-            F.max("timestamp_ms").alias("_t1"),
-        )
+        .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > size)
     )
-    found = long.limit(MAX_BROADCAST_ROWS + 1).collect()
+    longest = long.agg(F.max("_n")).first()[0]
     order = ["timestamp_ms", "sample_seq"]
-    if not found:
+    if longest is None:
         w = Window.partitionBy(KEY).orderBy(*order)
         return samples.withColumn(INDEX, (F.row_number().over(w) - 1).cast("long"))
 
-    if len(found) <= MAX_BROADCAST_ROWS:
-        long = F.broadcast(samples.sparkSession.createDataFrame(found, long.schema))
-    pieces = F.ceil(F.col("_n") / size)
-    position = F.floor((F.col("timestamp_ms") - F.col("_t0")) / (F.col("_t1") - F.col("_t0")) * pieces)
-    celled = samples.join(long, KEY, "left").withColumn(
-        "_cell", F.coalesce(F.least(position, pieces - 1), F.lit(0)).cast("long")
-    )
+    # cells of about equal counts: pauses and clock jumps do not crowd one of them
+    cuts = samples.join(long, KEY, "left_semi").groupBy(KEY).agg(cut_points("timestamp_ms", -(-longest // size)).alias("_cuts"))
+    celled = join_small(samples, cuts, KEY, limit=MAX_BROADCAST_ROWS // MOST_CELLS).withColumn("_cell", cell_of(F.col("timestamp_ms"), F.col("_cuts")))
     offsets = (
-        celled.filter("_n IS NOT NULL")
+        celled.filter("_cuts IS NOT NULL")
         .groupBy(KEY, "_cell")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn(
@@ -113,7 +120,7 @@ def lay_out(samples: DataFrame) -> DataFrame:
         .withColumn(INDEX, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
     )
     return (
-        indexed.drop("_n", "_t0", "_t1", "_cell", "_local", "_before")
+        indexed.drop("_cuts", "_cell", "_local", "_before")
         .withColumn(BLOCK, F.floor(F.col(INDEX) / size))
     )
 

@@ -1,8 +1,8 @@
 """Exact ranks and quantiles of any number of values per group.
 
 ``percentile`` keeps a group's distinct values in one task. The functions here count
-equal values first, cut each large group's value range into cells, and add up the
-counts cell by cell, so no task holds a whole group.
+equal values first, cut each large group's values into cells of about equal counts, and add
+up the counts cell by cell, so no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import is_split, join_small, settle
+from saccadia.functions.ordered import MAX_BROADCAST_ROWS, MOST_CELLS, cell_of, cut_points, is_split, join_small, settle
 from saccadia.functions.storage import materialize
 
 CELL_ROWS_CONF = "spark.saccadia.valuesPerCell"
@@ -31,18 +31,15 @@ def value_counts(df: DataFrame, by: list[str], value: str, extra: dict | None =
     counts = materialize(counts, "counts")
     groups = (
         counts.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("_distinct"),
-            F.min(value).alias("_low"),
-            F.max(value).alias("_high"),
-        )
+        .agg(F.count(F.lit(1)).alias("_distinct"))
         .filter(F.col("_distinct") > size)
     )
-    pieces = F.ceil(F.col("_distinct") / size)
-    cell = F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * pieces)
-    celled = join_small(counts, groups, by).withColumn(
-        "_cell", F.coalesce(F.least(cell, pieces - 1), F.lit(0)).cast("long")
-    )
+    largest = groups.agg(F.max("_distinct")).first()[0]
+    if largest is None:
+        celled = counts.withColumn("_cell", F.lit(0).cast("long"))
+    else:
+        cuts = counts.join(groups.select(*by), by).groupBy(*by).agg(cut_points(value, -(-largest // size)).alias("_cuts"))
+        celled = join_small(counts, cuts, by, limit=MAX_BROADCAST_ROWS // MOST_CELLS).withColumn("_cell", cell_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     per_cell = celled.groupBy(*by, "_cell").agg(F.sum("n").alias("_in_cell"))
     upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(

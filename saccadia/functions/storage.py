@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach: under ``spark.checkpoint.dir``, or local where that is unset."""
+    """A new folder every executor can reach, under ``spark.checkpoint.dir``.
+
+    Where that is unset, and all tasks run on this machine, a temporary folder is made; it goes with the process.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared if shared else tempfile.mkdtemp(prefix="saccadia-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="saccadia-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

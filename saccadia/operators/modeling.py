@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,9 @@ METADATA_COLUMNS = {
     "cognitive_load_level", "cognitive_load_score",
 }
 
+#: The class of rows whose target is null.
+NO_CLASS = "null"
+
 _models: dict[tuple[str, str], Callable] = {}
 
 
@@ -90,28 +93,31 @@ def hash_order(df: DataFrame, ids: Sequence[str], seed: int, by: Sequence[str] =
 
 
 def stratified_split(df: DataFrame, label: str | None, ids: Sequence[str], test_size: float = 0.25, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: the given share of every class, picked by hash order."""
+    """Add ``is_test``: the given share of every class, picked by hash order; one row of each class is never a test row."""
     by = [label] if label else []
     placed = hash_order(df, ids, seed, by)
-    return placed.withColumn("is_test", F.col("_place") < F.ceil(F.col("_of") * F.lit(test_size) - 1e-9)).drop("_place", "_of")
+    return placed.withColumn("is_test", F.col("_place") < F.least(F.ceil(F.col("_of") * F.lit(test_size) - 1e-9), F.col("_of") - 1)).drop("_place", "_of")
 
 
-def _pipeline(task: str, model_name: str, target: str, names: list[str], seed: int, classes: int, options: dict) -> Pipeline:
-    stages = []
-    if task == "classification":
-        stages.append(StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"))
+def _indexer(labels: list[str]) -> StringIndexerModel:
+    """Numbers all classes the same way, whichever of them a share of the rows holds."""
+    return StringIndexerModel.from_labels(labels, inputCol="_target", outputCol="label", handleInvalid="error")
+
+
+def _pipeline(task: str, model_name: str, names: list[str], seed: int, labels: list[str], options: dict) -> Pipeline:
+    stages = [_indexer(labels)] if task == "classification" else []
     stages.append(VectorAssembler(inputCols=names, outputCol="features"))
-    stages.append(build_model(task, model_name, seed, classes, **options))
+    stages.append(build_model(task, model_name, seed, len(labels), **options))
     return Pipeline(stages=stages)
 
 
 def prepare(df: DataFrame, target: str | None, names: Sequence[str], task: str) -> DataFrame:
-    """Nulls in features become 0; the target becomes text (classes) or a number."""
+    """Nulls in features become 0; the target becomes text (classes, null being one) or a number."""
     out = df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names})
     if target is None or target not in df.columns:
         return out
     if task == "classification":
-        return out.withColumn("_target", F.col(target).cast("string"))
+        return out.withColumn("_target", F.coalesce(F.col(target).cast("string"), F.lit(NO_CLASS)))
     return out.withColumn("label", F.coalesce(F.col(target).try_cast("double") if dict(df.dtypes)[target] == "string" else F.col(target).cast("double"), F.lit(0.0)))
 
 
@@ -137,14 +143,15 @@ def train_model(
     labels = class_labels(ready) if task == "classification" else []
     if task == "classification" and len(labels) < 2:
         raise ValueError("the target has a single class")
-    model = _pipeline(task, model_name, target, names, seed, len(labels), options).fit(train)
+    model = _pipeline(task, model_name, names, seed, labels, options).fit(train)
     holdout = holdout_predictions(model, test, task, labels, ids)
     metrics = classification_metrics(holdout) if task == "classification" else regression_metrics(holdout)
     return Fitted(model, task, model_name, target, names, labels, holdout, metrics)
 
 
 def class_labels(ready: DataFrame) -> list[str]:
-    return sorted(r[0] for r in ready.select("_target").filter("_target IS NOT NULL").distinct().limit(10_001).collect())
+    """All classes; a model holds one score for each, so they fit on the driver wherever a model does."""
+    return sorted(r[0] for r in ready.select("_target").distinct().collect())
 
 
 def _label_of(index: Column, labels: list[str]) -> Column:
@@ -316,7 +323,7 @@ def cross_predictions(df: DataFrame, target: str, names: Sequence[str], model_na
     parts = []
     for k in range(folds):
         stages = [
-            StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
+            _indexer(labels),
             VectorAssembler(inputCols=list(names), outputCol="raw" if standardize else "features"),
         ]
         if standardize:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saccadia.functions import distributions as dist
+from saccadia.functions.ordered import join_small
 from saccadia.functions.ranks import average_rank, quantiles, value_counts
 from saccadia.functions.storage import materialize
 from saccadia.operators.quality import fixed
@@ -30,7 +31,6 @@ SIGNIFICANT, NOT_SIGNIFICANT = "差异显著", "差异不显著"
 
 EXACT_PAIRS = 50
 EXACT_GROUP = 8
-EXACT_CELLS = 20_000
 # Royston's polynomials for the Shapiro-Wilk test (AS R94).
 SW_C1 = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
 SW_C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
@@ -225,7 +225,7 @@ def mann_whitney(rows: DataFrame, pair: list, condition: str = "condition") -> D
     middle, spread = n1 * n2 / 2.0, F.sqrt(n1 * n2 * (n + 1) / 12.0)
     sign = F.when(F.col("_m1") >= F.col("_m2"), 1.0).otherwise(-1.0)
     tied = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    exact = (F.least(n1, n2) <= EXACT_GROUP) & (n1 * n2 <= EXACT_CELLS) & (F.col("_ties") == 0)
+    exact = (F.least(n1, n2) <= EXACT_GROUP) & (F.col("_ties") == 0)
     df = df.withColumns(
         {
             "statistic": u,
@@ -247,18 +247,24 @@ def repeated_measures_anova(rows: DataFrame, subject: str = "subject_id", condit
     """One-way repeated measures per metric over subjects seen in every condition."""
     check = check_granularity_long(rows, subject, condition)
     wanted = check.groupBy("metric").agg(F.count_distinct(condition).alias("_c"))
-    # metrics are named by the caller, a handful of rows
     seen = check.groupBy("metric", subject).agg(F.count("value").alias("_have"))
-    complete = seen.join(F.broadcast(wanted), "metric").filter("_have = _c").select("metric", subject, "_c")
+    complete = seen.join(wanted, "metric").filter("_have = _c").select("metric", subject, "_c")
     kept = check.join(complete, ["metric", subject])
     n_all = F.count("value")
-    total = kept.groupBy("metric").agg(n_all.alias("_n"), (F.var_pop("value") * n_all).alias("ss_total"), F.max("_c").alias("_c"))
+    # squares are summed over residuals: by subtraction, rounding would decide whether F is infinite
+    effects = kept.join(kept.groupBy("metric", condition).agg(F.avg("value").alias("_mc")), ["metric", condition])
+    effects = effects.join(kept.groupBy("metric", subject).agg(F.avg("value").alias("_ms")), ["metric", subject])
+    effects = effects.join(kept.groupBy("metric").agg(F.avg("value").alias("_mg")), "metric")
+    residual = F.col("value") - F.col("_mc") - F.col("_ms") + F.col("_mg")
+    total = effects.groupBy("metric").agg(
+        n_all.alias("_n"), (F.var_pop("value") * n_all).alias("ss_total"), F.max("_c").alias("_c"), F.sum(residual * residual).alias("_error")
+    )
     by_condition = kept.groupBy("metric", condition).agg(F.avg("value").alias("_m")).groupBy("metric").agg(F.var_pop("_m").alias("_vc"))
-    by_subject = kept.groupBy("metric", subject).agg(F.avg("value").alias("_m")).groupBy("metric").agg(F.var_pop("_m").alias("_vs"))
-    df = total.join(by_condition, "metric").join(by_subject, "metric")
+    df = total.join(by_condition, "metric")
     c, s = F.col("_c"), F.col("_n") / F.col("_c")
-    between, subjects = F.col("_vc") * F.col("_n"), F.col("_vs") * F.col("_n")
-    error = F.greatest(F.col("ss_total") - between - subjects, F.lit(0.0))
+    between = F.col("_vc") * F.col("_n")
+    # what is left of residuals by rounding is none
+    error = F.when(F.col("_error") > 1e-20 * F.col("ss_total"), F.col("_error")).otherwise(0.0)
     d1, d2 = (c - 1).cast("double"), (c - 1) * (s - 1)
     f = F.when(error / F.nullif(d2, F.lit(0.0)) > 0, (between / d1) / (error / d2)).otherwise(float("inf"))
     df = df.filter((s >= 2) & (c >= 3)).select(
@@ -306,8 +312,7 @@ def shapiro_wilk(rows: DataFrame, by: list[str], value: str = "value") -> DataFr
     small = F.sqrt(top2 / (1 - 2 * F.col("_a1") * F.col("_a1")))
     large = F.sqrt((top2 - 2 * second * second) / (1 - 2 * F.col("_a1") * F.col("_a1") - 2 * F.col("_a2") * F.col("_a2")))
     groups = groups.withColumn("_scale", F.when(n > 5, large).otherwise(small)).filter("total >= 3")
-    # groups are metric x condition pairs: join the rows with one row per group
-    rows2 = scored.select(*by, value, "_i", "_m").join(F.broadcast(groups), by)
+    rows2 = join_small(scored.select(*by, value, "_i", "_m"), groups, by, "inner")
     i, total = F.col("_i"), F.col("total")
     edge = F.least(i, total - i + 1)
     weight = F.when(edge == 1, F.signum("_m") * F.col("_a1")).when((edge == 2) & (total > 5), F.signum("_m") * F.col("_a2")).otherwise(

@@ -11,7 +11,7 @@ from saccadia.operators import signal as sg
 from saccadia.plans import sql
 from saccadia.plans import sql_features as sf_
 from saccadia.plans.catalog import query
-from saccadia.plans.gaze_view import heart_rate, raw_samples, samples
+from saccadia.plans.gaze_view import heart_rate, raw_samples, recordings, samples
 from saccadia.plans.queries_features import HEART, HEART_FEATURES, HEART_NUM, R, labelled
 
 TRUTH = [sql.GAZE, "tr AS (SELECT *, coalesce(lower(trim(event_label)) LIKE '%fix%', FALSE) AS truth FROM g)", sql.runs("tl", "tr", "truth"),
@@ -49,7 +49,7 @@ def e11(spark, sf):
 
 
 INTERVALS = """
-iv AS (SELECT DISTINCT CAST(o_custkey % 150 AS VARCHAR) AS recording_id, CAST(o_orderkey % 7000 AS DOUBLE) + 0.5 AS onset,
+iv AS (SELECT DISTINCT CAST(o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS VARCHAR) AS recording_id, CAST(o_orderkey % 7000 AS DOUBLE) + 0.5 AS onset,
     CAST(o_orderkey % 7000 AS DOUBLE) + 0.5 + o_custkey % 400 AS offset FROM orders),
 gn AS (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM g),
 pt AS (SELECT iv.recording_id, onset, "offset", count(*) FILTER (timestamp_ms < onset) AS a, count(*) FILTER (timestamp_ms <= "offset") - 1 AS b, any_value(n) AS n
@@ -64,9 +64,10 @@ ip AS (SELECT px.recording_id, onset, "offset" AS off_ms, start_index, end_index
 def e12(spark, sf):
     """Intervals from orders, placed into the recordings by customer."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
+    keys = recordings(spark, sf).count()
     onset = (F.col("o_orderkey") % 7000).cast("double") + 0.5
     intervals = orders.select(
-        (F.col("o_custkey") % 150).cast("string").alias(R), onset.alias("onset"), (onset + F.col("o_custkey") % 400).alias("offset")
+        (F.col("o_custkey") % keys).cast("string").alias(R), onset.alias("onset"), (onset + F.col("o_custkey") % 400).alias("offset")
     ).distinct()
     return me.intervals_to_events(samples(spark, sf), intervals).withColumnRenamed("offset", "off_ms")
 

@@ -101,6 +101,10 @@ lt AS (SELECT recording_id, floor(floor(timestamp_ms * 1000) / 1000000) * 1000.0
   FROM g WHERE NOT (timestamp_ms < 3000 AND sample_seq % 10 = 0) GROUP BY 1, 2)"""
 
 
+#: Files that make up one batch of arrivals.
+FILES_PER_BATCH = 4
+
+
 @query("S6_late_data", R, "window_start_ms", "sample_count", [sql.GAZE, LATE], "lt")
 def s6(spark, sf):
     """A tenth of the early rows arrives after the end of the recordings, beyond the watermark, and is dropped."""
@@ -110,7 +114,7 @@ def s6(spark, sf):
     t = F.col("timestamp_ms")
     # rows are judged late by the watermark of the batch before, hence the batch in between
     for k, part in enumerate([~late & (t < 3000), ~late & (t >= 3000) & (t < 7000), ~late & (t >= 7000), late]):
-        df.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/part={k}")
-    arrivals = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/part=*")
+        df.filter(part).repartition(FILES_PER_BATCH).write.mode("append").parquet(f"{base}/part={k}")
+    arrivals = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/part=*")
     found = windows.stream_quality(windows.with_event_time(arrivals, "2 seconds"))
     return windows.run_to_table(found, "late", "update", [R, "window_start_ms", "window_end_ms"])

@@ -110,14 +110,14 @@ def buffer_features(buffers: DataFrame, **options) -> DataFrame:
     """Features of each emitted buffer: a buffer is a short recording of its own."""
     keyed = buffers.withColumns(
         {
-            KEY: F.concat_ws("@", KEY, F.col("emit_ms").cast("string")),
+            KEY: F.to_json(F.struct(F.col(KEY).alias("k"), F.col("emit_ms").alias("t"))),
             **{c: F.lit(None).cast("string") for c in ("marker", "event_label", "label", "trial")},
         }
     )
     laid = lay_out(keyed.drop("emit_ms"))
     found = extract_features(laid, label_samples(laid, "thresholds"), **options)
-    parts = F.split(KEY, "@")
-    return found.withColumns({"emit_ms": parts[1].cast("double"), KEY: parts[0]})
+    parts = F.from_json(KEY, "k string, t double")
+    return found.withColumn("_parts", parts).withColumns({"emit_ms": F.col("_parts.t"), KEY: F.col("_parts.k")}).drop("_parts")
 
 
 RUN = T.StructType(
