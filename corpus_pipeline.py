@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,31 +11,45 @@ from pyspark.sql import functions as F
 from saccadia.llm import jaccard, lines, packing, rules, storage, substrings
 
 
+def _batched(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.text_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     """``n_chars`` of texts that may have changed."""
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_batched
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the newest policy keeps."""
     return rules.keep_good(docs)
 
 
+@_batched
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that are boilerplate over many sources."""
     return _recounted(lines.clean_documents(docs))
 
 
+@_batched
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of its five-word shingles."""
     return jaccard.keep_one(docs)
 
 
+@_batched
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 50 words or more that stand elsewhere too."""
     return _recounted(substrings.clean_documents(docs))
 
 
+@_batched
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
     return packing.digests(packing.pack(docs))

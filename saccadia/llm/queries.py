@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccadia.llm import bpe, classifier, graph_index, jaccard, licenses, lines, packing, rules, substrings, token_counts
-from saccadia.llm import oracles
+from saccadia.llm import bpe, classifier, graph_index, jaccard, licenses, lines, oracles, packing, rules, storage, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

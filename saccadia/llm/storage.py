@@ -39,3 +39,10 @@ def stable(df: DataFrame) -> DataFrame:
         return plan.nodeName() in READS and all(reads_only(children.apply(k)) for k in range(children.size()))
 
     return df if reads_only(df._jdf.queryExecution().optimizedPlan()) else written(df, "rows")
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, which is meant for rows without long texts; own settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
