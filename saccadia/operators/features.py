@@ -230,9 +230,9 @@ def pupil_features(samples: DataFrame) -> DataFrame:
     return valid_frames(samples, 500.0).groupBy(KEY).agg(*pupil_aggregates())
 
 
-def approximate_entropy(values: np.ndarray, m: int = 2) -> float:
-    """ApEn of one bounded series, tolerance 0.2 standard deviations."""
-    tolerance = max(0.2 * float(np.std(values)), 1e-6)
+def approximate_entropy(values: np.ndarray, m: int = 2, r: float = 0.2) -> float:
+    """ApEn of one series, tolerance ``r`` standard deviations; memory grows with the series, time with its square."""
+    tolerance = max(r * float(np.std(values)), 1e-6)
 
     def phi(order):
         windows = np.lib.stride_tricks.sliding_window_view(values, order)
@@ -246,27 +246,28 @@ def approximate_entropy(values: np.ndarray, m: int = 2) -> float:
     return float(phi(m) - phi(m + 1)) if len(values) > m + 1 else 0.0
 
 
-def entropy_features(samples: DataFrame) -> DataFrame:
-    """Approximate entropy of x, y and pupil over valid samples.
+def entropy_features(samples: DataFrame, max_samples: int = ENTROPY_POINTS, m: int = 2, r: float = 0.2) -> DataFrame:
+    """Approximate entropy of x, y and pupil over valid samples, and how many samples it rests on.
 
-    Long recordings are thinned to 2,000 evenly spaced samples before they are grouped, so
-    a group handed to Python is bounded.
+    Recordings of more than ``max_samples`` are thinned to that many evenly spaced ones before they are grouped; with 0
+    every sample counts, and a group handed to Python is as long as its recording.
     """
-    df = with_recording_values(valid_sequence(samples), {"_n": F.count(F.lit(1))})
-    step = F.col("_n") / float(ENTROPY_POINTS)
-    slot = F.ceil(F.col(INDEX) / step)
-    picked = (F.floor(slot * step) == F.col(INDEX)) & (slot < ENTROPY_POINTS - 1)
-    kept = df.filter((F.col("_n") <= ENTROPY_POINTS) | picked | (F.col(INDEX) == F.col("_n") - 1))
+    kept = df = with_recording_values(valid_sequence(samples), {"_n": F.count(F.lit(1))})
+    if max_samples > 0:
+        step = F.col("_n") / float(max_samples)
+        slot = F.ceil(F.col(INDEX) / step)
+        picked = (F.floor(slot * step) == F.col(INDEX)) & (slot < max_samples - 1)
+        kept = df.filter((F.col("_n") <= max_samples) | picked | (F.col(INDEX) == F.col("_n") - 1))
 
     def one_recording(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(INDEX)
-        out = {KEY: [pdf[KEY].iloc[0]]}
+        out = {KEY: [pdf[KEY].iloc[0]], "entropy_samples": [len(pdf)]}
         for c in SIGNALS:
             values = pdf[c].dropna().to_numpy()
-            out[f"{c}_approx_entropy"] = [approximate_entropy(values) if len(values) >= ENTROPY_MIN_POINTS else 0.0]
+            out[f"{c}_approx_entropy"] = [approximate_entropy(values, m, r) if len(values) >= ENTROPY_MIN_POINTS else 0.0]
         return pd.DataFrame(out)
 
-    schema = ", ".join([f"{KEY} string", *[f"{c}_approx_entropy double" for c in SIGNALS]])
+    schema = ", ".join([f"{KEY} string", "entropy_samples long", *[f"{c}_approx_entropy double" for c in SIGNALS]])
     return kept.select(KEY, INDEX, *SIGNALS).groupBy(KEY).applyInPandas(one_recording, schema)
 
 
@@ -277,6 +278,7 @@ def extract_features(
     include_complexity: bool = True,
     include_pupil_load: bool = False,
     names: list[str] | None = None,
+    entropy_samples: int = ENTROPY_POINTS,
     min_fixation_ms: float = ev.MIN_FIXATION_MS,
     min_blink_ms: float = ev.MIN_BLINK_MS,
 ) -> DataFrame:
@@ -296,7 +298,7 @@ def extract_features(
         valid_frames(labelled, window_ms).groupBy(KEY).agg(*rolling_aggregates(), *pupil_aggregates()),
     ]
     if include_complexity:
-        parts.append(entropy_features(labelled))
+        parts.append(entropy_features(labelled, entropy_samples).drop("entropy_samples"))
     if include_pupil_load:
         trace = pupil_trace(labelled, baseline_window_ms=window_ms, min_blink_ms=min_blink_ms)
         parts.append(pupil_load_features(trace, max(window_ms, 1000.0)))

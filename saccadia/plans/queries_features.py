@@ -137,16 +137,16 @@ def f11(spark, sf):
     return ft.extract_features(s, ev.label_samples(s, "thresholds"))
 
 
-def pipeline_features(spark, sf, complexity=False):
+def pipeline_features(spark, sf, complexity=True):
     """Preprocess, detect events (labels where there are any), extract features."""
     clean = sg.preprocess(samples(spark, sf), normalize=False)
     return ft.extract_features(clean, ev.label_samples(clean), include_complexity=complexity)
 
 
-PIPELINE = [*sql.PRE_EVENTS, *sf_.all_features("fp", "pv", "pe", complexity=False)]
+PIPELINE = [*sql.PRE_EVENTS, *sf_.all_features("fp", "pv", "pe")]
 
 
-@query("F12_build_feature_dataset", R + " session_id subject_id condition trial", sf_.QUICK_NUM, sf_.COUNTS,
+@query("F12_build_feature_dataset", R + " session_id subject_id condition trial", sf_.ALL_NUM, sf_.COUNTS,
        [*PIPELINE, sql.RECORDINGS], "fp JOIN rec USING (recording_id)")
 def f12(spark, sf):
     return ft.feature_dataset(pipeline_features(spark, sf), recordings(spark, sf))
@@ -183,7 +183,7 @@ def top_sql(src, columns):
 
 
 @query("F14_top_features", R + " metric", "value", "rank",
-       [*PIPELINE, top_sql("fp", sf_.QUICK_NUM.split() + sf_.COUNTS.split())], "top")
+       [*PIPELINE, top_sql("fp", sf_.ALL_NUM.split() + sf_.COUNTS.split())], "top")
 def f14(spark, sf):
     rounded = pipeline_features(spark, sf)
     rounded = rounded.select(R, *[F.round(c, 6).alias(c) for c in rounded.columns if c != R])
@@ -214,7 +214,7 @@ def f16(spark, sf):
     ft.register_feature("x_range", F.max("x") - F.min("x"))
     ft.register_feature("right_half", lambda pdf: {"right_half": float((pdf["x"] > 100).sum())}, "right_half double")
     try:
-        return ft.extract_features(samples(spark, sf), include_complexity=False)
+        return ft.extract_features(samples(spark, sf))
     finally:
         ft.unregister_feature("x_range")
         ft.unregister_feature("right_half")

@@ -87,20 +87,18 @@ def l5(spark, sf):
 @query("L6_predict", R + " prediction", "", "")
 def l6(spark, sf):
     data = dataset(spark, sf)
-    return ml.predict(ml.train_model(data, "trial", numTrees=20), data)
+    return ml.predict(ml.train_model(data, "trial"), data)
 
 
 @query("L7_permutation_importance", "feature", "importance_mean importance_std", "")
 def l7(spark, sf):
     data = dataset(spark, sf)
-    names = ["fixation_count", "saccade_count", "path_length", "valid_ratio", "pupil_baseline"]
-    fitted = ml.train_model(data, "trial", feature_columns=names, numTrees=10)
-    return ml.permutation_importance(fitted, data, n_repeats=5)
+    return ml.permutation_importance(ml.train_model(data, "trial", feature_columns=ml.numeric_features(data)), data)
 
 
 @query("L8_holdout_predictions", R + " y_true y_pred", "score_0 score_1", "")
 def l8(spark, sf):
-    return ml.train_model(dataset(spark, sf), "trial", numTrees=20).holdout
+    return ml.train_model(dataset(spark, sf), "trial").holdout
 
 
 @query("L9_candidate_targets", "column_name", "", "", [],
@@ -138,8 +136,7 @@ def l11(spark, sf):
 
 @query("L12_run_experiment", "feature", "importance_mean", "")
 def l12(spark, sf):
-    data = dataset(spark, sf).select(R, "condition", "trial", "fixation_count", "saccade_count", "path_length", "pupil_baseline")
-    return ml.run_experiment(data, "trial", n_repeats=3, numTrees=10)[1]
+    return ml.run_experiment(dataset(spark, sf), "trial")[1]
 
 
 CV_NAMES = ["fixation_count", "saccade_count", "path_length", "valid_ratio"]
@@ -203,7 +200,7 @@ def m6(spark, sf):
     both = materialize(data.join(ft.heart_rate_features(lay_out(heart_rate(spark, sf))), R, "left"), "gaze_and_heart")
     out = None
     for name, df, names in (("gaze_only", data, gaze), ("gaze_plus_heart_rate", both, ml.numeric_features(both))):
-        fitted = ml.train_model(df, "trial", feature_columns=names, numTrees=20)
+        fitted = ml.train_model(df, "trial", feature_columns=names)
         one = fitted.metrics.select(F.lit(name).alias("modality"), "accuracy", "f1_macro", F.lit(len(names)).alias("feature_count"))
         out = one if out is None else out.union(one)
     return out

@@ -21,7 +21,7 @@ def u1(spark, sf):
     """A column aggregate joins the built-in features' aggregation."""
     ft.register_feature("y_range", F.max("y") - F.min("y"))
     try:
-        return ft.extract_features(samples(spark, sf), include_complexity=False)
+        return ft.extract_features(samples(spark, sf))
     finally:
         ft.unregister_feature("y_range")
 

@@ -189,17 +189,17 @@ def _segment_pipeline():
            """g1 AS (SELECT g0.* EXCLUDE (recording_id, i), g0.recording_id || '#' || s.segment_name AS recording_id
   FROM sg s JOIN g0 ON g0.recording_id = s.recording_id AND g0.timestamp_ms >= s.start_ms AND g0.timestamp_ms <= s.end_ms)""",
            "g AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY timestamp_ms, sample_seq) - 1 AS i FROM g1)"]
-    rest = [*sql.PRE_EVENTS[1:], *sf_.all_features("fp", "pv", "pe", complexity=False)]
+    rest = [*sql.PRE_EVENTS[1:], *sf_.all_features("fp", "pv", "pe")]
     last = """seg AS (SELECT fp.*, sg.segment_name, sg.start_ms AS segment_start_ms, sg.end_ms AS segment_end_ms
   FROM fp JOIN sg ON fp.recording_id = sg.recording_id || '#' || sg.segment_name)"""
     return [*pre, *rest, last]
 
 
-@query("G5_segment_features", R + " segment_name", sf_.BASE_NUM + " " + sf_.EVENT_NUM + " segment_start_ms segment_end_ms", sf_.COUNTS,
+@query("G5_segment_features", R + " segment_name", sf_.ALL_NUM + " segment_start_ms segment_end_ms", sf_.COUNTS,
        _segment_pipeline(), "seg")
 def g5(spark, sf):
     s = samples(spark, sf)
-    return segments.segment_features(s, segments.time_ranges(s, HALVES), include_complexity=False)
+    return segments.segment_features(s, segments.time_ranges(s, HALVES))
 
 
 @query("N13_distinct_markers", R + " marker", "first_ms", "marker_order", [sql.GAZE],
@@ -359,7 +359,7 @@ def h1(spark, sf):
     return grid.gaze_histogram(samples(spark, sf))
 
 
-BINS = 24
+BINS = 140
 SEEDS = """
 sd AS (SELECT recording_id, event_index, centroid_x AS x, centroid_y AS y,
     greatest(duration_ms, 40) / greatest(median(duration_ms) OVER (PARTITION BY recording_id), 40) AS weight
