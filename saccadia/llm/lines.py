@@ -94,7 +94,8 @@ def clean(docs: DataFrame, site: str = "source", text: str = "text", min_sites:
           margin: float = MARGIN) -> DataFrame:
     """The struct ``rest`` (all columns but the text) with ``n_lines`` that are not blank, ``n_removed`` and ``kept_text``."""
     rows = numbered(storage.stable(docs), site, text)
-    lines = line_rows(rows, min_chars)
+    # read three times below; its rows are small and hold no text
+    lines = storage.written(line_rows(rows, min_chars), "lines")
     hits = lines.join(boilerplate(lines, min_sites, margin), ["a", "b"])
     removed = hits.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("removed"))
     joined = rows.select("row", "text", "rest").join(removed, "row", "left")
