@@ -32,6 +32,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Code points below this one, but for the exception, are normalised the same way by Python and by the library.
 PLAIN = re.compile("[\x00-įı-ɏ]*")
 NEVER = 1 << 60
+#: What a process remembers at most: compatible and incompatible pairs, and pre-tokens.
+MOST_PAIRS, MOST_PRETOKENS = 250_000, 150_000
 
 
 @functools.cache
@@ -122,7 +124,7 @@ class Encoder:
         """Whether no merge across the border comes before the merges that make the two tokens."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             left, right = self._spine(a, 1), self._spine(b, 0)
             i = j = 0
@@ -178,27 +180,13 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def _entries(name: str):
-    """For ``Vocabulary``: ids of pre-tokens and the decoded text of each, its tokens with blanks between."""
+@functools.cache
+def vocabulary(name: str) -> pretokens.Vocabulary:
+    """Ids of pre-tokens, and the decoded text of each: its tokens with blanks between."""
     e = encoder(name)
-
-    def encode(found):
-        out = []
-        for raw, special in found:
-            ids = [special] if special >= 0 else e.encode(raw)
-            out.append((ids, " ".join([e.names[i] for i in ids])))
-        return out
-
-    return encode
-
-
-_VOCABULARIES: dict[str, pretokens.Vocabulary] = {}
-
-
-def _vocabulary(name: str) -> pretokens.Vocabulary:
-    if name not in _VOCABULARIES:
-        _VOCABULARIES[name] = pretokens.Vocabulary(_entries(name))
-    return _VOCABULARIES[name]
+    return pretokens.Vocabulary(
+        lambda found: [e.encode(raw) for raw in found], lambda ids: " ".join([e.names[i] for i in ids]), pa.binary(), MOST_PRETOKENS
+    )
 
 
 def normalised(column: pa.Array, name: str) -> pa.Array:
@@ -232,7 +220,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     def _encode_slice(t, keys, special):
         p = pretokens.pieces(t, pretokens.WORD_LEVEL, special)
-        known = _vocabulary(tokenizer)
+        known = vocabulary(tokenizer)
         entry = known.lookup(t, p)
         flat, starts, lengths = known.arrays()
         ids = flat[arrays.expand(starts[entry], lengths[entry])]

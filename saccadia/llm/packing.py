@@ -11,6 +11,7 @@ Columns other than key and text are not read. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -26,23 +27,11 @@ SEQUENCE = 1024
 END_ID = 0
 
 
-def byte_level_ids(tokenizer: str):
-    """For ``Vocabulary``: the ids of pre-tokens as the library gives them; a special string has its own id."""
-    def encode(found: list[tuple[bytes, int]]):
-        plain = [arrays.python_text(raw) for raw, special in found if special < 0]
-        ids = iter(tokenizer_files.library(tokenizer).encode_batch_fast(plain, add_special_tokens=False))
-        return [([special] if special >= 0 else next(ids).ids, "") for _, special in found]
-
-    return encode
-
-
-_VOCABULARIES: dict[str, pretokens.Vocabulary] = {}
-
-
-def _vocabulary(tokenizer: str) -> pretokens.Vocabulary:
-    if tokenizer not in _VOCABULARIES:
-        _VOCABULARIES[tokenizer] = pretokens.Vocabulary(byte_level_ids(tokenizer))
-    return _VOCABULARIES[tokenizer]
+@functools.cache
+def vocabulary(tokenizer: str) -> pretokens.Vocabulary:
+    """The ids of pre-tokens as the library gives them."""
+    lib = tokenizer_files.library(tokenizer)
+    return pretokens.Vocabulary(lambda found: [e.ids for e in lib.encode_batch_fast(found, add_special_tokens=False)])
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -53,7 +42,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         for batch in batches:
             for t in arrays.texts(batch.column(1)):
                 p = pretokens.pieces(t, pretokens.BYTE_LEVEL, special)
-                known = _vocabulary(tokenizer)
+                known = vocabulary(tokenizer)
                 entry = known.lookup(t, p)
                 flat, starts, lengths = known.arrays()
                 ids = flat[arrays.expand(starts[entry], lengths[entry])]

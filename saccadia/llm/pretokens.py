@@ -9,9 +9,11 @@ classes of a code point are those of the tokenizers library itself: it is asked
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Regex, pre_tokenizers
 
 from saccadia.llm import arrays
@@ -160,51 +162,84 @@ def _contractions(points: np.ndarray, cut: np.ndarray, quote: np.ndarray, start:
     start[rest[rest < n]] = True
 
 
+def span_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> list:
+    """The spans as a list of texts or of bytes."""
+    lengths = ends - starts
+    stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    raw = np.ascontiguousarray(data[arrays.expand(starts, lengths)])
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(raw.tobytes())]).to_pylist()
+
+
 class Vocabulary:
-    """What each distinct pre-token met by this process stands for, in flat arrays; forgotten when it grows past ``most``."""
+    """What each distinct pre-token met by this process stands for, in flat arrays.
+
+    When there are more than ``most``, those that were not met again are forgotten.
 
-    def __init__(self, encode, most: int = 400_000):
-        self.encode, self.most = encode, most
-        self._clear()
+    ``encode`` takes a list of pre-tokens (of Arrow type ``kind``) and returns the ids of each; ``label``, if given, makes a
+    text of an entry's ids.
+    """
 
-    def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+    def __init__(self, encode, label=None, kind: pa.DataType = pa.string(), most: int = 800_000):  # noqa: B008
+        self.encode, self.label, self.kind, self.most = encode, label, kind, most
+        self.keys, self.entries, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.labels: list[str] = []
-        self.n_ids = 0
-        self.ids = np.zeros(1 << 12, np.uint32)
-        self.starts = np.zeros(1 << 10, np.int64)
-        self.lengths = np.zeros(1 << 10, np.int64)
-
-    def _add(self, ids: list[int], label: str) -> int:
-        entry, n = len(self.labels), len(ids)
-        while self.n_ids + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if entry == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.n_ids:self.n_ids + n] = ids
-        self.starts[entry], self.lengths[entry] = self.n_ids, n
-        self.n_ids += n
-        self.labels.append(label)
-        return entry
+        self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.room, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _forget(self) -> None:
+        """Keep what was met again since the last time, or nothing if that is still too much."""
+        keep = np.flatnonzero(self.again) if self.again.sum() <= self.most // 2 else np.zeros(0, np.int64)
+        lengths = self.lengths[keep]
+        ids = self.room[arrays.expand(self.starts[keep], lengths)]
+        self.room[:len(ids)] = ids
+        self.used, self.lengths, self.starts = len(ids), lengths, np.cumsum(lengths) - lengths
+        if self.label:
+            self.labels = [self.labels[k] for k in keep.tolist()]
+        number = np.full(len(self.again), -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        entries = number[self.entries]
+        self.keys, self.entries, self.again = self.keys[entries >= 0], entries[entries >= 0], np.zeros(len(keep), bool)
+
+    def _add(self, keys: np.ndarray, found: list[list[int]]) -> np.ndarray:
+        """Entries for new keys, which are in order and not known yet."""
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(lengths.sum())
+        while self.used + total > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        entries = np.arange(len(self.lengths), len(self.lengths) + len(found))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used += total
+        self.again = np.concatenate([self.again, np.zeros(len(found), bool)])
+        if self.label:
+            self.labels.extend([self.label(ids) for ids in found])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.entries = np.insert(self.keys, at, keys), np.insert(self.entries, at, entries)
+        return entries
 
     def lookup(self, t: arrays.Texts, p: Pieces) -> np.ndarray:
         """The entry of each pre-token."""
-        if len(self.index) > self.most:
-            self._clear()
+        if len(self.keys) > self.most:
+            self._forget()
         keys = arrays.span_hashes(t.data, p.starts, p.ends)
         keys = np.where(p.special >= 0, p.special.astype(np.uint64), keys)
         distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        found = [self.index.get(k, -1) for k in distinct.tolist()]
-        new = [j for j, k in enumerate(found) if k < 0]
-        if new:
-            raw = t.data.tobytes()
-            which = first[new]
-            a, b, s = p.starts[which].tolist(), p.ends[which].tolist(), p.special[which].tolist()
-            for j, (ids, label) in zip(new, self.encode([(raw[x:y], z) for x, y, z in zip(a, b, s)])):
-                found[j] = self.index[int(distinct[j])] = self._add(ids, label)
-        return np.array(found, np.int64)[where]
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        entry = np.empty(len(distinct), np.int64)
+        entry[known] = self.entries[at[known]]
+        self.again[entry[known]] = True
+        if not known.all():
+            which = first[~known]
+            special = p.special[which]
+            plain = which[special < 0]
+            ids = iter(self.encode(span_values(t.data, p.starts[plain], p.ends[plain], self.kind)))
+            entry[~known] = self._add(distinct[~known], [[s] if s >= 0 else next(ids) for s in special.tolist()])
+        return entry[where]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, and each entry's start and length."""
-        return self.ids, self.starts, self.lengths
+        return self.room, self.starts, self.lengths
