@@ -41,6 +41,8 @@ RING = 1.3
 #: N-grams that one task holds; larger families are dealt to blocks of half of it.
 WEIGHT = 1_000_000
 LEAF, PIVOTS = 48, 6
+#: Rows of three numbers that are sent to all machines at most, about 50 MB.
+FEW = 2_000_000
 
 
 @functools.cache
@@ -111,30 +113,87 @@ def _regions(rows: np.ndarray, g: np.ndarray, size: np.ndarray, percent: int) ->
     return np.concatenate(out_rows or [np.zeros(0, np.int64)]), np.concatenate(out or [np.zeros(0, np.uint64)])
 
 
-def points(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(row, key, size, a, b, regions) of each text; (a, b, size) tells sets apart."""
+def _sums(g: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two fingerprints of each row's set."""
+    out = []
+    for salt in (0x9E6C63D0876A9A35, 0xD1B54A32D192ED03):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(g ^ np.uint64(salt)), dtype=np.uint64)])
+        out.append(arrays.signed(total[bounds[1:]] - total[bounds[:-1]]))
+    return out
+
+
+def points(rows: DataFrame, n: int) -> DataFrame:
+    """(row, key, size, a, b) of each text; (a, b, size) tells sets apart."""
     def run(batches):
         for batch in batches:
             for t in arrays.texts(batch.column(2)):
                 r, g = shingles(t, n)
                 bounds = np.searchsorted(r, np.arange(t.rows + 1))
-                size = np.diff(bounds)
-                sums = []
-                for salt in (0x9E6C63D0876A9A35, 0xD1B54A32D192ED03):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(g ^ np.uint64(salt)), dtype=np.uint64)])
-                    sums.append(pa.array(arrays.signed(total[bounds[1:]] - total[bounds[:-1]])))
-                owner, region = _regions(r, g, size, percent)
-                order = np.argsort(owner, kind="stable")
-                stops = np.searchsorted(owner[order], np.arange(t.rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(arrays.signed(region[order])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(t.first, t.rows), batch.column(1).slice(t.first, t.rows), pa.array(size), *sums, lists],
-                    names=["row", "key", "size", "a", "b", "regions"])
+                    [batch.column(0).slice(t.first, t.rows), batch.column(1).slice(t.first, t.rows), pa.array(np.diff(bounds)),
+                     *[pa.array(x) for x in _sums(g, bounds)]], names=["row", "key", "size", "a", "b"])
 
-    schema = StructType([*rows.select("row", "key").schema.fields, *StructType.fromDDL("size long, a long, b long, regions array<long>").fields])
+    schema = StructType([*rows.select("row", "key").schema.fields, *StructType.fromDDL("size long, a long, b long").fields])
     return rows.select("row", "key", "text").mapInArrow(run, schema)
 
 
+def near_points(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between fingerprints ``a`` of sets that share a region: a star around the least one of each region.
+
+    Regions that several sets of a batch share become stars there, and only their centres are sent on, so neither copies nor a
+    part that very many sets have in common gather in one task. Regions are sent once and read as a sorted stream.
+    """
+    def emit(batches):
+        for batch in batches:
+            parts = []
+            for t in arrays.texts(batch.column(0)):
+                r, g = shingles(t, n)
+                bounds = np.searchsorted(r, np.arange(t.rows + 1))
+                owner, region = _regions(r, g, np.diff(bounds), percent)
+                parts.append((region, _sums(g, bounds)[0][owner]))
+            if not parts:
+                continue
+            region, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.lexsort((node, region))
+            region, node = region[order], node[order]
+            first = np.ones(len(region), bool)
+            first[1:] = region[1:] != region[:-1]
+            centre = node[np.flatnonzero(first)][np.cumsum(first) - 1] if len(node) else node
+            tie = ~first & (node != centre)
+            ties = np.unique(np.column_stack([node[tie], centre[tie]]), axis=0)
+            # a tie travels as a region of its own, with two members
+            own = arrays.mix(ties[:, 0].astype(np.uint64) ^ arrays.mix(ties[:, 1].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(arrays.signed(np.concatenate([region[first], own, own]))), pa.array(np.concatenate([node[first], ties[:, 0], ties[:, 1]]))],
+                names=["region", "node"])
+
+    def stars(batches):
+        region, centre = None, None
+        for batch in batches:
+            r, node = (batch.column(k).to_numpy() for k in range(2))
+            if not len(r):
+                continue
+            first = np.ones(len(r), bool)
+            first[1:] = r[1:] != r[:-1]
+            if r[0] == region:
+                first[0] = False
+                head, at = np.concatenate([[centre], node[np.flatnonzero(first)]]), np.cumsum(first)
+            else:
+                head, at = node[np.flatnonzero(first)], np.cumsum(first) - 1
+            around = head[at]
+            region, centre = r[-1], around[-1]
+            edges = np.unique(np.column_stack([node, around])[node != around], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, k])) for k in range(2)], names=["a", "b"])
+
+    sent = rows.select("text").mapInArrow(emit, "region long, node long")
+    return sent.repartition("region").sortWithinPartitions("region", "node").mapInArrow(stars, "a long, b long").distinct()
+
+
+def with_few(big: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a stored table: sent to all machines if it is counted and found to be at most ``FEW`` rows, else shuffled."""
+    return big.join(F.broadcast(few) if few.count() <= FEW else few, on, how)
+
+
 class Sets:
     """Sets of one task, joined region by region."""
 
@@ -233,19 +292,15 @@ def _elements(texts: DataFrame, n: int) -> DataFrame:
 
 
 def links(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that tie together all linked points of ``found``; the same component never needs more."""
-    classes = found.filter("size > 0").groupBy("a", "b", "size").agg(F.min("row").alias("row")).select("row")
-    single = found.join(classes, "row").select("row", "size", "regions")
-    inside = single.select("row", F.explode("regions").alias("region"))
-    pivots = inside.groupBy("region").agg(F.min("row").alias("pivot"))
-    near = inside.join(pivots, "region").filter("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b"))
-    family = components(near).select(F.col("node").alias("row"), F.col("component").alias("family"))
-    family = family.join(found.select("row", "size"), "row")
+    """Links (a, b) that tie together all linked points of ``found``, as numbers of one row of each point."""
+    family = components(near_points(rows, n, percent)).select(F.col("node").alias("a"), F.col("component").alias("family"))
+    classes = found.filter("size > 0").groupBy("a", "b", "size").agg(F.min("row").alias("row"))
+    family = classes.join(family, "a").select("row", "size", "family")
     weights = family.groupBy("family").agg(F.sum("size").alias("weight"))
     half = F.ceil(F.col("weight") / (WEIGHT // 2)).cast("long")
     weights = weights.select("family", F.when(F.col("weight") <= WEIGHT, 1).otherwise(half).cast("long").alias("blocks"))
-    members = family.join(weights, "family").select("row", "family", "blocks")
-    sets = _elements(rows.select("row", "text").join(members, "row"), n)
+    members = storage.written(family.join(weights, "family").select("row", "family", "blocks"), "members")
+    sets = _elements(with_few(rows.select("row", "text"), members, "row"), n)
     # a point of block i meets every block j: groups (i, j) with i <= j; within a block only in (i, i)
     own = F.pmod(F.xxhash64("row"), F.col("blocks"))
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -265,7 +320,7 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     ``component_id`` is the least key that links reach; ``first`` is the number of one text of the component, the same for all.
     """
     rows = numbered(storage.stable(docs), key, text)
-    found = storage.written(points(rows, n, percent), "points")
+    found = storage.written(points(rows, n), "points")
     label = components(links(found, rows, n, percent))
     # from texts to the class of equal sets, from there to its component
     classes = found.filter("size > 0").groupBy("a", "b", "size").agg(F.min("row").alias("rep"), F.min("key").alias("least"))
@@ -281,6 +336,6 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one text of each component, and all texts without words; the columns stay."""
     docs = storage.stable(docs)
-    others = join_texts(docs, key, text, n, percent).filter(F.col("row") != F.col("first")).select("row")
+    others = storage.written(join_texts(docs, key, text, n, percent).filter(F.col("row") != F.col("first")).select("row"), "others")
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return whole.join(others, "row", "left_anti").select("doc.*")
+    return with_few(whole, others, "row", "left_anti").select("doc.*")
