@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,6 +72,30 @@ def dispersion_fixations(samples: DataFrame, max_dispersion: float = 100.0, min_
     return rows.mapInPandas(scan, schema)
 
 
+class _Range:
+    """Smallest and largest of the values in a window that moves forward: each value enters and leaves once."""
+
+    def __init__(self):
+        self.low: deque[tuple[int, float]] = deque()
+        self.high: deque[tuple[int, float]] = deque()
+
+    def add(self, place: int, value: float) -> None:
+        while self.low and self.low[-1][1] >= value:
+            self.low.pop()
+        while self.high and self.high[-1][1] <= value:
+            self.high.pop()
+        self.low.append((place, value))
+        self.high.append((place, value))
+
+    def drop(self, place: int) -> None:
+        for side in (self.low, self.high):
+            if side[0][0] == place:
+                side.popleft()
+
+    def ends(self) -> tuple[float, float]:
+        return self.low[0][1], self.high[0][1]
+
+
 class _DispersionScan:
     """Greedy window over one sorted stream of (recording, island, index, time, x, y).
 
@@ -83,9 +108,13 @@ class _DispersionScan:
         self.limit, self.least = max_dispersion, min_duration
         self.rows: list[tuple] = []
         self.group = None
-        self.pending: list[tuple] = []
+        self._restart()
         self.open = None
 
+    def _restart(self):
+        self.pending: deque[tuple] = deque()
+        self.x, self.y = _Range(), _Range()
+
     def push(self, key, island, index, t, x, y):
         if (key, island) != self.group:
             self.close()
@@ -98,16 +127,20 @@ class _DispersionScan:
                 return
             self._emit()
         self.pending.append((index, t, x, y))
+        self.x.add(index, x)
+        self.y.add(index, y)
         self._try_start()
 
     def _try_start(self):
         while self.pending and self.pending[-1][1] - self.pending[0][1] >= self.least:
-            xs, ys = [p[2] for p in self.pending], [p[3] for p in self.pending]
-            if max(xs) - min(xs) + max(ys) - min(ys) <= self.limit:
-                self.open = {"box": (min(xs), max(xs), min(ys), max(ys)), "first": self.pending[0], "last": self.pending[-1]}
-                self.pending = []
+            box = (*self.x.ends(), *self.y.ends())
+            if box[1] - box[0] + box[3] - box[2] <= self.limit:
+                self.open = {"box": box, "first": self.pending[0], "last": self.pending[-1]}
+                self._restart()
                 return
-            self.pending.pop(0)
+            gone = self.pending.popleft()[0]
+            self.x.drop(gone)
+            self.y.drop(gone)
 
     def _emit(self):
         a, b = self.open["first"], self.open["last"]
@@ -118,7 +151,7 @@ class _DispersionScan:
     def close(self):
         if self.open is not None:
             self._emit()
-        self.pending = []
+        self._restart()
 
     def take(self) -> pd.DataFrame:
         names = [KEY, "start_index", "end_index", "start_time_ms", "end_time_ms", "duration_ms", "amplitude"]

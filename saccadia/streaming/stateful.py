@@ -65,7 +65,7 @@ class SlidingBuffer(StatefulProcessor):
         self.last_emit = handle.getValueState("last_emit", T.StructType([T.StructField("ms", T.DoubleType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        buffer = sorted(tuple(r) for r in self.buffer.get()) if self.buffer.exists() else []
+        buffer = sorted((tuple(r) for r in self.buffer.get()), key=lambda s: s[:2]) if self.buffer.exists() else []
         last = self.last_emit.get()[0] if self.last_emit.exists() else float("-inf")
         out = []
         for row in _sorted_rows(rows).itertuples(index=False):
@@ -77,8 +77,8 @@ class SlidingBuffer(StatefulProcessor):
             buffer.append(sample)
             if not in_order:
                 buffer.sort(key=lambda s: s[:2])
-            while newest - buffer[0][0] > self.window_ms:
-                buffer.pop(0)
+            old = next(k for k, s in enumerate(buffer) if newest - s[0] <= self.window_ms)
+            del buffer[:old]
             if newest - last >= self.step_ms and len(buffer) >= MIN_BUFFERED:
                 last = newest
                 out += [(key[0], newest, *s) for s in buffer]

@@ -235,3 +235,73 @@ def test_bad_inputs_fail(spark):
     aois = spark.createDataFrame([("s", "T1", "a")], "scenario string, task_id string, name string")
     with pytest.raises(Exception, match="unknown task"):
         readers.scenario_aois(aois, "s", "T9").collect()
+
+
+def test_dispersion_scan_against_plain_windows():
+    """The streamed scan with running extremes gives what trying every window anew gives."""
+    import random
+
+    from saccadia.operators.methods import _DispersionScan
+
+    rng = random.Random(4)
+    for trial in range(30):
+        x = y = 0.0
+        rows = []
+        for k in range(200):
+            x += rng.choice([0, 1, -1, 3, -3, 12])
+            y += rng.choice([0, 1, -1, 2, -9])
+            rows.append((k, 10.0 * k, x, y))
+        limit, least = rng.choice([10.0, 25.0, 60.0]), rng.choice([20.0, 50.0, 100.0])
+
+        def tight(part):
+            xs, ys = [p[2] for p in part], [p[3] for p in part]
+            return max(xs) - min(xs) + max(ys) - min(ys) <= limit
+
+        expected, start = [], 0
+        while start < len(rows):
+            end = next((e for e in range(start, len(rows)) if rows[e][1] - rows[start][1] >= least), None)
+            if end is None:
+                break
+            if not tight(rows[start:end + 1]):
+                start += 1
+                continue
+            while end + 1 < len(rows) and tight(rows[start:end + 2]):
+                end += 1
+            expected.append((start, end))
+            start = end + 1
+        scan = _DispersionScan(limit, least)
+        for row in rows:
+            scan.push("r", 0, *row)
+        scan.close()
+        found = scan.take()
+        assert list(zip(found["start_index"], found["end_index"])) == expected, trial
+
+
+def test_ranks_of_hashes_and_of_far_values_in_many_cells(spark, small_blocks):
+    from saccadia.functions.ranks import value_counts
+
+    values = [-(2**63), 2**63 - 1, 0, 5, 5, 7, -3, *range(1000, 1040), 10**15]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    found = {r["v"]: (r["n"], r["below"], r["total"]) for r in value_counts(df, [], "v").collect()}
+    assert found == {v: (values.count(v), sum(x < v for x in values), len(values)) for v in values}
+
+
+def test_long_recording_at_one_time(spark, make_samples, small_blocks):
+    from saccadia.functions.ordered import lay_out
+
+    laid = lay_out(make_samples([{"timestamp_ms": 5.0, "x": 1.0, "y": 1.0} for _ in range(23)]))
+    assert sorted(r["sample_index"] for r in laid.collect()) == list(range(23))
+
+
+def test_a_class_with_one_row_keeps_names_right(spark):
+    from saccadia.operators import modeling
+
+    rows = [(str(k), "lo" if k % 2 else "hi", float(k % 2)) for k in range(40)] + [("x", "a_rare", 0.5), ("n", None, 3.0)]
+    data = spark.createDataFrame(rows, "recording_id string, target string, f double")
+    fitted = modeling.train_model(data, "target", feature_columns=["f"], numTrees=5)
+    assert fitted.labels == ["a_rare", "hi", "lo", "null"]
+    assert all(r["y_true"] == r["y_pred"] for r in fitted.holdout.collect())
+    binary = data.filter("target IN ('lo', 'hi')")
+    for name in ("svm", "logistic_regression"):
+        fitted = modeling.train_model(binary, "target", model_name=name, feature_columns=["f"])
+        assert fitted.metrics.first()["accuracy"] == 1.0
