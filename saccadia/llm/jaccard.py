@@ -39,7 +39,7 @@ WORDS = 5
 PERCENT = 80
 RING = 1.3
 #: N-grams that one task holds; larger families are dealt to blocks of half of it.
-WEIGHT = 1_000_000
+WEIGHT = 3_000_000
 LEAF, PIVOTS = 48, 6
 #: Rows of three numbers that are sent to all machines at most, about 50 MB.
 FEW = 2_000_000
