@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_batched
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that are boilerplate over many sources."""
-    return _recounted(lines.clean_documents(docs))
+    return _recounted(lines.clean_documents(docs, origin_of="rest"))
 
 
 @_batched

@@ -7,6 +7,13 @@ a text count as one origin, whereas unrelated pages that carry the same notice h
 at least ``min_sites`` sites, has as many origins, and at least half as many origins as texts; lines that only spread because
 their text was copied stay, for a later stage to deal with the copies.
 
+That rule (``origin_of="text"``) is the one of the SQL check. Its origin may be a word of the line itself: a notice whose own word
+is the longest of every page gives all its pages one origin and stays. With ``origin_of="rest"`` the longest word is taken of
+what stands around the notices. Lines on ``min_sites`` sites are shared lines; a text of which they are less than half the
+characters has the longest word of its other lines as origin, and all texts that are shared lines for the greater part (copies
+and near copies, of any number) are one origin together. A shared line with ``min_sites`` origins is boilerplate; the number
+of texts plays no part, as longest words of a finite vocabulary run out while texts grow.
+
 A line with an estimate within ``margin`` of a threshold is counted exactly instead: its distinct sites, texts and origins.
 All counts are combined on the side that reads them before rows are sent on, so a line that is on every page is no burden
 to one task. Lines are known by two 64-bit hashes.
@@ -69,6 +76,42 @@ def line_rows(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return per_text.select("row", "site", "whole", "origin", F.explode("known").alias("k")).select("row", "site", "whole", "origin", "k.a", "k.b")
 
 
+def _by_text(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per text: (row, site, lines), a struct for each line: what it is known by, its characters, its longest word."""
+    def of(line: Column) -> Column:
+        words = F.transform(F.split(line, SPACE, -1), lambda w: F.struct(F.char_length(w).alias("n"), F.xxhash64(w).alias("w")))
+        known = F.when(F.char_length(line) >= min_chars, _known_by(line))
+        return F.struct(known.alias("known"), F.char_length(line).alias("chars"), F.array_max(words).alias("longest"))
+
+    return rows.select("row", "site", F.transform(F.transform(_pieces(F.col("text")), _trimmed), of).alias("lines"))
+
+
+def _many(rows: DataFrame, column: str, least: int, margin: float) -> DataFrame:
+    """The lines (a, b) with at least ``least`` distinct values of a column; estimates near the threshold are counted."""
+    sized = rows.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(REGISTERS))).alias("n"))
+    near = sized.filter((F.col("n") >= (1 - margin) * least) & (F.col("n") < (1 + margin) * least)).select("a", "b")
+    exact = rows.join(near, ["a", "b"]).groupBy("a", "b").agg(F.count_distinct(column).alias("n")).filter(F.col("n") >= least)
+    return sized.filter(F.col("n") >= (1 + margin) * least).select("a", "b").union(exact.select("a", "b"))
+
+
+def _hits_around(rows: DataFrame, min_sites: int, min_chars: int, margin: float) -> DataFrame:
+    """(row, a, b) of lines that are boilerplate by what stands around them."""
+    texts = storage.written(_by_text(rows, min_chars), "lines")
+    known = F.array_distinct(F.filter(F.col("lines.known"), lambda k: k.isNotNull()))
+    lines = texts.select("row", "site", F.explode(known).alias("k")).select("row", "site", "k.a", "k.b")
+    shared = storage.written(lines.join(_many(lines, "site", min_sites, margin), ["a", "b"]).select("row", "a", "b"), "shared")
+    of_row = shared.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("shared"))
+    is_shared = lambda x: x["known"].isNotNull() & F.array_contains(F.col("shared"), x["known"])
+    chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    parts = texts.join(of_row, "row").select(
+        "shared", chars(F.col("lines")).alias("all"), F.filter("lines", lambda x: ~F.coalesce(is_shared(x), F.lit(False))).alias("rest")
+    )
+    # texts that are shared lines for the greater part are one origin, whatever their longest word
+    origin_ = F.when(2 * chars(F.col("rest")) > F.col("all"), F.array_max(F.transform("rest", lambda x: x["longest"]))["w"]).otherwise(F.lit(0))
+    found = parts.select(origin_.alias("origin"), F.explode("shared").alias("k")).select("origin", "k.a", "k.b")
+    return shared.join(_many(found, "origin", min_sites, margin), ["a", "b"])
+
+
 def _boilerplate(sites: Column, texts: Column, origins: Column, min_sites: int) -> Column:
     return (sites >= min_sites) & (origins >= min_sites) & (2 * origins >= texts)
 
@@ -91,12 +134,15 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
 
 
 def clean(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS,
-          margin: float = MARGIN) -> DataFrame:
+          margin: float = MARGIN, origin_of: str = "text") -> DataFrame:
     """The struct ``rest`` (all columns but the text) with ``n_lines`` that are not blank, ``n_removed`` and ``kept_text``."""
     rows = numbered(storage.stable(docs), site, text)
-    # read three times below; its rows are small and hold no text
-    lines = storage.written(line_rows(rows, min_chars), "lines")
-    hits = lines.join(boilerplate(lines, min_sites, margin), ["a", "b"])
+    if origin_of == "rest":
+        hits = _hits_around(rows, min_sites, min_chars, margin)
+    else:
+        # read three times below; its rows are small and hold no text
+        lines = storage.written(line_rows(rows, min_chars), "lines")
+        hits = lines.join(boilerplate(lines, min_sites, margin), ["a", "b"])
     removed = hits.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("removed"))
     joined = rows.select("row", "text", "rest").join(removed, "row", "left")
     stays = lambda x: (F.char_length(_trimmed(x)) < min_chars) | ~F.array_contains(F.col("removed"), _known_by(_trimmed(x)))
