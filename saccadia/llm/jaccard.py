@@ -311,7 +311,7 @@ def links(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    return storage.numbered(docs, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -337,5 +337,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     """``docs`` with one text of each component, and all texts without words; the columns stay."""
     docs = storage.stable(docs)
     others = storage.written(join_texts(docs, key, text, n, percent).filter(F.col("row") != F.col("first")).select("row"), "others")
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    whole = storage.numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return with_few(whole, others, "row", "left_anti").select("doc.*")

@@ -60,8 +60,8 @@ def origin(text: Column) -> Column:
 def numbered(docs: DataFrame, site: str, text: str) -> DataFrame:
     """Each row's number, text, site and, as a struct, all its columns but the text."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+    return storage.numbered(
+        docs, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.col(f"`{site}`").cast("string").alias("site"), F.struct(*rest).alias("rest"),
     )
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-READS = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "RelationV2", "DataSourceV2ScanRelation"}
+#: Rows of one file are numbered in so many bits.
+FILE_BITS = 40
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,18 +33,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _places(df: DataFrame) -> tuple[Column, Column]:
+    """The file of each row and its place there."""
+    place = df.metadataColumn("_metadata")
+    return place["file_path"], place["row_index"]
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """``df`` itself if it only reads and picks rows of stored data, else a stored copy of it.
+    """``df`` itself if it reads whole stored files whose rows have places of their own, else a stored copy of it.
 
     Operators number the rows they read and read them again; joins and shuffles may bring rows in another order each time.
     """
     def reads_only(plan) -> bool:
         children = plan.children()
-        return plan.nodeName() in READS and all(reads_only(children.apply(k)) for k in range(children.size()))
+        if plan.nodeName() == "Project" and plan.deterministic():
+            return reads_only(children.apply(0))
+        return plan.nodeName() == "LogicalRelation"
 
+    try:
+        df.select(*_places(df))
+    except AnalysisException:
+        return written(df, "rows")
     return df if reads_only(df._jdf.queryExecution().optimizedPlan()) else written(df, "rows")
 
 
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``row`` and columns of a table that is ``stable``; numbers follow one another within a file.
+
+    A row's number comes from its file and its place there, so it does not depend on how files are split into tasks, which
+    Spark decides anew in each read by the number of cores it then has.
+    """
+    path, place = _places(docs)
+    paths = sorted(r[0] for r in docs.select(path.alias("path")).distinct().collect())  # one row per file
+    files = pa.table({"file": pa.array(paths, pa.string()), "nth": pa.array(range(len(paths)), pa.int64())})
+    placed = docs.select(path.alias("file"), place.alias("place"), F.struct(*columns).alias("columns"))
+    joined = placed.join(F.broadcast(docs.sparkSession.createDataFrame(files)), "file")
+    return joined.select((F.shiftleft("nth", FILE_BITS) + F.col("place")).alias("row"), "columns.*")
+
+
 def text_batches(spark: SparkSession) -> None:
     """Fewer rows in an Arrow batch than Spark's default, which is meant for rows without long texts; own settings stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

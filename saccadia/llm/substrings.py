@@ -36,7 +36,7 @@ GRAM = 12
 def numbered(docs: DataFrame, text: str = "text", carry: list[str] = []) -> DataFrame:  # noqa: B006
     """A number for each row of a table read from storage, the same in every read, its text, and other columns as ``carry``."""
     carried = F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("carry"))
+    return storage.numbered(docs, F.col(f"`{text}`").cast("string").alias("text"), carried.alias("carry"))
 
 
 def _word_hashes(t: arrays.Texts):

@@ -117,9 +117,7 @@ def _unpacked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")
-    )
+    return storage.numbered(docs, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def known_counts(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -157,16 +155,23 @@ def other_pretokens(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.select("text").mapInArrow(run, "pretoken string").distinct()
 
 
+def _followed(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of runs of numbers that follow one another, of half a block at most."""
+    edges = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)]
+    return [(k, min(k + BLOCK_ROWS // 2, b)) for a, b in zip(edges, edges[1:]) for k in range(a, b, BLOCK_ROWS // 2)]
+
+
 def frequencies(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Rows (block, pre-token, texts and frequencies) of all pre-tokens that are no vocabulary entries."""
     def run(batches):
         part: list[tuple[arrays.Texts, int]] = []
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for k in range(0, batch.num_rows, BLOCK_ROWS // 2):
-                for t in arrays.texts(batch.column(1).slice(k, BLOCK_ROWS // 2)):
+            for k, stop in _followed(ids):
+                for t in arrays.texts(batch.column(1).slice(k, stop - k)):
                     size, n = sum(len(x.data) for x, _ in part), sum(x.rows for x, _ in part)
-                    if part and (size + len(t.data) > BLOCK_BYTES or n + t.rows > BLOCK_ROWS):
+                    other_file = part and int(ids[k + t.first]) != part[0][1] + n
+                    if part and (other_file or size + len(t.data) > BLOCK_BYTES or n + t.rows > BLOCK_ROWS):
                         yield out(part)
                         part = []
                     part.append((t, int(ids[k + t.first])))
@@ -177,7 +182,7 @@ def frequencies(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         k, row, freq, samples = _block([t for t, _ in part], tokenizer)
         change = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
         strings = pa.array([samples[x] for x in k[change].tolist()], pa.string())
-        block = pa.array(np.full(len(change), part[0][1]))  # a task numbers its rows without gaps
+        block = pa.array(np.full(len(change), part[0][1]))  # a block's rows are numbered without gaps
         return pa.RecordBatch.from_arrays([block, strings, _postings(row, freq, np.append(change, len(k)))], names=["block", "pretoken", "postings"])
 
     return rows.select("row", "text").mapInArrow(run, "block long, pretoken string, postings binary")
