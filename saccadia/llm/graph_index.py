@@ -5,7 +5,9 @@ of the graph so far proposes neighbours for each new vector; robust pruning keep
 nearer to, by a factor ``alpha``, than the new vector is, and goes on with the nearest left; edges are added both ways and full
 lists are pruned again. Queries go through every shard by beam search, and the nearest of all shards are scored exactly.
 
-The largest inner product becomes the smallest distance by one more coordinate, which gives all vectors the same length.
+The largest inner product becomes the smallest distance by one more coordinate, which gives all vectors of a shard the same
+length. A shard holds vectors of one band of lengths (the longest is at most 16 times the shortest) and is scaled to length 1, so a
+few very long vectors take no precision from the others, and no square overflows.
 
 Rows with equal vectors are one point of the graph, with their ``k + 1`` smallest ids (no query can need more), so copies
 crowd no graph and no task. Defined cases: null vectors, zero vectors and those that hold null or a non-finite component
@@ -155,14 +157,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<f8") for x in column.to_pylist()])
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors divided by the length of the longest."""
+    u = v / np.abs(v).max()
+    return u / np.sqrt((u * u).sum(1).max())
+
+
+def _directions(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1."""
+    u = v / np.abs(v).max(1, keepdims=True)
+    return u / np.sqrt((u * u).sum(1, keepdims=True))
+
+
 def index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard: its vectors, their hashes, the graph. Every distinct vector is in one shard."""
-    distinct = points.groupBy("a", "b").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    distinct = storage.written(distinct, "vectors")
-    length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
-    sizes = distinct.groupBy("dim").agg(F.count("*").alias("n"), F.max(length).alias("longest"))  # one row per vector length
-    shards = F.ceil(F.col("n") / shard_rows).cast("long")
-    placed = distinct.join(sizes, "dim").withColumn("shard", F.pmod(F.col("a"), shards)).select("dim", "shard", "longest", "a", "b", "v")
+    distinct = points.groupBy("a", "b").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).withColumn("most", F.array_max(F.transform("v", F.abs)))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / F.col("most")) * (c / F.col("most")))
+    band = F.round((F.log2("most") + F.log2(squares) / 2) / 4).cast("int")  # the length as a power of 16
+    distinct = storage.written(distinct.withColumn("band", band).drop("most"), "vectors")
+    sizes = distinct.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))  # a few rows
+    before = F.coalesce(F.sum("shards").over(Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("first", before)
+    shard = F.col("first") + F.pmod(F.col("a"), F.col("shards"))
+    placed = distinct.join(sizes, ["dim", "band"]).withColumn("shard", shard).select("dim", "shard", "a", "b", "v")
 
     def grow(table: pa.Table) -> pa.Table:
         lists = table.column("v").combine_chunks()
@@ -170,8 +187,9 @@ def index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         v = lists.flatten().to_numpy().reshape(-1, dim)
         order = np.lexsort((table.column("b").to_numpy(), table.column("a").to_numpy()))
         v = v[order]
-        rest = np.sqrt(np.maximum(table.column("longest")[0].as_py() - (v * v).sum(1), 0))
-        graph, start = build(np.column_stack([v, rest]).astype(np.float32)) if len(v) > SMALL else (np.zeros((0, 1), np.int64), 0)
+        u = _scaled(v)
+        rest = np.sqrt(np.maximum(1 - (u * u).sum(1), 0))
+        graph, start = build(np.column_stack([u, rest]).astype(np.float32)) if len(v) > SMALL else (np.zeros((0, 1), np.int64), 0)
         one = lambda x, kind: pa.array([np.ascontiguousarray(x).astype(kind).tobytes()], pa.binary())
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": table.column("shard").slice(0, 1).combine_chunks(), "start": pa.array([start], pa.int64()),
@@ -190,11 +208,15 @@ def _search_row(row: dict, k: int, beam: int) -> pa.RecordBatch:
     if len(v) <= SMALL:
         found = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
     else:
-        x = np.column_stack([v, np.frombuffer(row["rest"], "<f8")]).astype(np.float32)
+        x = np.column_stack([_scaled(v), np.frombuffer(row["rest"], "<f8")]).astype(np.float32)
         graph = np.frombuffer(row["graph"], "<i4").reshape(len(v), -1).astype(np.int64)
-        flat = np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
+        flat = np.column_stack([_directions(q), np.zeros(len(q))]).astype(np.float32)
         found, _ = beam_search(x, graph, row["start"], flat, beam)
-    score = np.einsum("qkd,qd->qk", v[found], q)
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("qkd,qd->qk", v[found], q)
+        if not np.isfinite(score).all():  # beyond the largest double: infinite, with the sign of the product
+            signs = np.einsum("qkd,qd->qk", _directions(v)[found], _directions(q))
+            score = np.where(np.isfinite(score), score, np.sign(signs) * np.inf)
     score[found < 0] = -np.inf
     take = np.argsort(-score, axis=1, kind="stable")[:, :k + 1]
     rows = np.arange(len(q))[:, None]
