@@ -12,7 +12,7 @@ from saccadia.plans.queries_features import R
 from saccadia.plans.queries_insight import FEATURES, features
 from saccadia.sources.readers import materialize
 
-SMALL = {"random_forest": {"numTrees": 20}, "gradient_boosting": {"maxIter": 3}, "svm": {"maxIter": 10}, "logistic_regression": {"maxIter": 50}}
+CLASSIFIERS = ["random_forest", "gradient_boosting", "svm", "logistic_regression"]
 
 
 def dataset(spark, sf):
@@ -34,8 +34,8 @@ def l1(spark, sf):
 def l2(spark, sf):
     """Three classes with each kind of classifier."""
     data, out = dataset(spark, sf), None
-    for name, options in SMALL.items():
-        one = ml.train_model(data, "condition", model_name=name, **options).metrics.withColumn("model", F.lit(name)).select("model", "accuracy", "f1_macro")
+    for name in CLASSIFIERS:
+        one = ml.train_model(data, "condition", model_name=name).metrics.withColumn("model", F.lit(name)).select("model", "accuracy", "f1_macro")
         out = one if out is None else out.union(one)
     return out
 
@@ -43,9 +43,9 @@ def l2(spark, sf):
 @query("L3_regressors", "model", "mae rmse r2", "")
 def l3(spark, sf):
     data, out = dataset(spark, sf), None
-    for name, options in {"random_forest": {"numTrees": 20}, "gradient_boosting": {"maxIter": 5}, "svm": {}}.items():
-        names = ["fixation_count", "saccade_count", "velocity_mean", "valid_ratio"]
-        one = ml.train_model(data, "path_length", "regression", name, feature_columns=names, **options).metrics.withColumn("model", F.lit(name))
+    names = ml.numeric_features(data, ["path_length"])
+    for name in ["random_forest", "gradient_boosting", "svm"]:
+        one = ml.train_model(data, "path_length", "regression", name, feature_columns=names).metrics.withColumn("model", F.lit(name))
         out = one if out is None else out.union(one)
     return out
 

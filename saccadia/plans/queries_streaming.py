@@ -32,7 +32,7 @@ def s1(spark, sf):
     features = extract_features(whole, label_samples(whole, "thresholds"), include_complexity=False)
     data = materialize(features.join(recordings(spark, sf).select(R, "trial"), R), "training")
     names = ["fixation_count", "saccade_count", "velocity_mean", "x_mean", "y_mean", "pupil_mean"]
-    fitted = ml.train_model(data, "trial", model_name="logistic_regression", feature_columns=names, maxIter=20)
+    fitted = ml.train_model(data, "trial", model_name="logistic_regression", feature_columns=names)
 
     def score(batch):
         scored = ml.predict(fitted, stateful.buffer_features(batch, include_complexity=False))
@@ -75,7 +75,7 @@ def s4(spark, sf):
     batch = windows.sliding_features(windows.with_event_time(raw_samples(spark, sf))).join(recordings(spark, sf).select(R, "trial"), R)
     ready = batch.fillna(0.0, inputs).withColumn("label", (F.col("trial") == "t1").cast("double"))
     model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-                             LogisticRegression(maxIter=10, regParam=0.01)]).fit(materialize(ready.select(*inputs, "label"), "windows"))
+                             LogisticRegression(regParam=0.01)]).fit(materialize(ready.select(*inputs, "label"), "windows"))
     live = windows.sliding_features(windows.with_event_time(stream(spark, sf))).fillna(0.0, inputs)
     scored = windows.stream_scoring(live, model).select(
         R, "window_start_ms", "sample_count", "prediction", F.get(vector_to_array("probability"), 1).alias("probability"))
