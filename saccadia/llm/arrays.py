@@ -18,19 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 2 * len(_POWERS[0])), np.uint64(b), np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+_STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_CODES = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(_BASE)).reshape(2, 256)
+_CODES = mix(np.arange(1, 513, dtype=np.uint64) * _STEP).reshape(2, 256)
 
 
 @dataclass
@@ -112,25 +100,49 @@ def words(t: Texts, outside: np.ndarray = SPACE) -> Words:
     return Words(starts, ends, np.searchsorted(starts, t.bounds))
 
 
+def _span_sums(values: np.ndarray, place: np.ndarray, stops: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A byte's share depends on the byte and its place in no linear way, so shares of different strings don't cancel out."""
+    x = codes[values] + place
+    x = (x ^ (x >> np.uint64(29))) * _TURN
+    x ^= x >> np.uint64(32)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(x, out=total[1:])
+    return mix(total[stops] - total[stops - lengths] + lengths.astype(np.uint64) * codes[7])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; ``which`` (0 or 1) picks one of two independent ones."""
-    up, down = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_CODES[which][data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _CODES[which][7])
+    return _hashes(data, starts, ends, (which,))[0]
+
+
+def span_hash_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each span."""
+    return _hashes(data, starts, ends, (0, 1))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    lengths = np.asarray(ends - starts, np.int64)
+    stops = np.cumsum(lengths)
+    place = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - lengths, lengths)
+    values = data[place + np.repeat(starts, lengths)]
+    place = place.astype(np.uint64) * _STEP
+    return tuple(_span_sums(values, place, stops, lengths, _CODES[k]) for k in which)
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive values; runs that cross a row's end are the caller's to drop."""
+    """Hashes of all runs of k consecutive values; runs that cross a row's end are the caller's to drop.
+
+    Runs of 1, 2, 4, ... values are mixed from two halves, the last step from two runs that may overlap.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(h) + 1)
-    total = np.empty(len(h) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(h * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n])
+    run, size = mix(h.astype(np.uint64)), 1
+    while size < k:
+        step = min(size, k - size)
+        run = mix(run[:len(run) - step] * _TURN + run[step:] + np.uint64(size + step))
+        size += step
+    return run[:n]
 
 
 def gram_starts(bounds: np.ndarray, k: int) -> np.ndarray:

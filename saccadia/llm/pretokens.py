@@ -173,6 +173,7 @@ def span_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: pa
 class Vocabulary:
     """What each distinct pre-token met by this process stands for, in flat arrays.
 
+    Pre-tokens are found by one hash and held against a second, independent one; what differs there is encoded by itself.
     When there are more than ``most``, those that were not met again are forgotten.
 
     ``encode`` takes a list of pre-tokens (of Arrow type ``kind``) and returns the ids of each; ``label``, if given, makes a
@@ -183,6 +184,7 @@ class Vocabulary:
         self.encode, self.label, self.kind, self.most = encode, label, kind, most
         self.keys, self.entries, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.labels: list[str] = []
+        self.checks = np.zeros(0, np.uint64)
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.room, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -192,7 +194,7 @@ class Vocabulary:
         lengths = self.lengths[keep]
         ids = self.room[arrays.expand(self.starts[keep], lengths)]
         self.room[:len(ids)] = ids
-        self.used, self.lengths, self.starts = len(ids), lengths, np.cumsum(lengths) - lengths
+        self.used, self.lengths, self.starts, self.checks = len(ids), lengths, np.cumsum(lengths) - lengths, self.checks[keep]
         if self.label:
             self.labels = [self.labels[k] for k in keep.tolist()]
         number = np.full(len(self.again), -1, np.int64)
@@ -200,8 +202,8 @@ class Vocabulary:
         entries = number[self.entries]
         self.keys, self.entries, self.again = self.keys[entries >= 0], entries[entries >= 0], np.zeros(len(keep), bool)
 
-    def _add(self, keys: np.ndarray, found: list[list[int]]) -> np.ndarray:
-        """Entries for new keys, which are in order and not known yet."""
+    def _append(self, checks: np.ndarray, found: list[list[int]]) -> np.ndarray:
+        """New entries, which no key leads to yet."""
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lengths.sum())
         while self.used + total > len(self.room):
@@ -212,18 +214,25 @@ class Vocabulary:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += total
         self.again = np.concatenate([self.again, np.zeros(len(found), bool)])
+        self.checks = np.concatenate([self.checks, checks])
         if self.label:
             self.labels.extend([self.label(ids) for ids in found])
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.entries = np.insert(self.keys, at, keys), np.insert(self.entries, at, entries)
         return entries
 
+    def _encoded(self, t: arrays.Texts, p: Pieces, which: np.ndarray) -> list[list[int]]:
+        special = p.special[which]
+        plain = which[special < 0]
+        ids = iter(self.encode(span_values(t.data, p.starts[plain], p.ends[plain], self.kind)))
+        return [[s] if s >= 0 else next(ids) for s in special.tolist()]
+
     def lookup(self, t: arrays.Texts, p: Pieces) -> np.ndarray:
         """The entry of each pre-token."""
         if len(self.keys) > self.most:
             self._forget()
-        keys = arrays.span_hashes(t.data, p.starts, p.ends)
-        keys = np.where(p.special >= 0, p.special.astype(np.uint64), keys)
+        keys, checks = arrays.span_hash_pairs(t.data, p.starts, p.ends)
+        special = p.special >= 0
+        if special.any():
+            keys, checks = (np.where(special, p.special.astype(np.uint64), x) for x in (keys, checks))
         distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -233,12 +242,15 @@ class Vocabulary:
         entry[known] = self.entries[at[known]]
         self.again[entry[known]] = True
         if not known.all():
-            which = first[~known]
-            special = p.special[which]
-            plain = which[special < 0]
-            ids = iter(self.encode(span_values(t.data, p.starts[plain], p.ends[plain], self.kind)))
-            entry[~known] = self._add(distinct[~known], [[s] if s >= 0 else next(ids) for s in special.tolist()])
-        return entry[where]
+            which, new = first[~known], distinct[~known]
+            entry[~known] = self._append(checks[which], self._encoded(t, p, which))
+            place = np.searchsorted(self.keys, new)
+            self.keys, self.entries = np.insert(self.keys, place, new), np.insert(self.entries, place, entry[~known])
+        entry = entry[where]
+        other = np.flatnonzero(self.checks[entry] != checks)
+        if len(other):
+            entry[other] = self._append(checks[other], self._encoded(t, p, other))
+        return entry
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, and each entry's start and length."""
