@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccadia.llm import bpe, classifier, graph_index, jaccard, licenses, lines, oracles, packing, rules, storage, substrings, token_counts
+from saccadia.llm import (
+    alignment,
+    bpe,
+    classifier,
+    graph_index,
+    jaccard,
+    keyed_ids,
+    licenses,
+    lines,
+    oracles,
+    packing,
+    rules,
+    spelling,
+    storage,
+    substrings,
+    token_counts,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +76,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_ids.stored(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_graph_neighbours, op3_quality_classifier, op4_quality_rules, op5_bpe, op6_token_counts, op7_license_scan,
-    op8_substring_dedup, op9_line_dedup, op10_ngram_jaccard,
+    op8_substring_dedup, op9_line_dedup, op10_ngram_jaccard, op11_token_alignment, op12_keyed_ids, op13_spelling_variants,
 )}
 ORACLES: dict[str, str] = {
     "op4_quality_rules": oracles.QUALITY_RULES, "op8_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_line_dedup": oracles.LINE_DEDUP,
