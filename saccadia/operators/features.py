@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +20,12 @@ from saccadia.functions.ordered import (
 )
 from saccadia.functions.ranks import recording_quantiles
 from saccadia.operators import events as ev
+from saccadia.operators.entropy import entropies
 from saccadia.operators.pupil import pupil_load_features, pupil_trace, with_frame_rows
 from saccadia.operators.signal import with_velocity
 from saccadia.schema import INDEX, KEY
 
 SIGNALS = ("x", "y", "pupil")
-ENTROPY_POINTS = 2000
-ENTROPY_MIN_POINTS = 12
 
 _registered: dict[str, Column | tuple[Callable, str]] = {}
 
@@ -230,45 +228,23 @@ def pupil_features(samples: DataFrame) -> DataFrame:
     return valid_frames(samples, 500.0).groupBy(KEY).agg(*pupil_aggregates())
 
 
-def approximate_entropy(values: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """ApEn of one series, tolerance ``r`` standard deviations; memory grows with the series, time with its square."""
-    tolerance = max(r * float(np.std(values)), 1e-6)
-
-    def phi(order):
-        windows = np.lib.stride_tricks.sliding_window_view(values, order)
-        logs = np.empty(len(windows))
-        for at in range(0, len(windows), 256):
-            part = windows[at : at + 256]
-            near = (np.abs(part[:, None, :] - windows[None, :, :]) <= tolerance).all(axis=2)
-            logs[at : at + 256] = np.log(np.maximum(near.mean(axis=1), 1e-12))
-        return logs.mean()
-
-    return float(phi(m) - phi(m + 1)) if len(values) > m + 1 else 0.0
-
-
-def entropy_features(samples: DataFrame, max_samples: int = ENTROPY_POINTS, m: int = 2, r: float = 0.2) -> DataFrame:
+def entropy_features(samples: DataFrame, max_samples: int = 0, m: int = 2, r: float = 0.2) -> DataFrame:
     """Approximate entropy of x, y and pupil over valid samples, and how many samples it rests on.
 
-    Recordings of more than ``max_samples`` are thinned to that many evenly spaced ones before they are grouped; with 0
-    every sample counts, and a group handed to Python is as long as its recording.
+    With ``max_samples``, recordings of more than that are thinned to so many evenly spaced samples first.
     """
-    kept = df = with_recording_values(valid_sequence(samples), {"_n": F.count(F.lit(1))})
+    kept = valid_sequence(samples)
     if max_samples > 0:
+        df = with_recording_values(kept, {"_n": F.count(F.lit(1))})
         step = F.col("_n") / float(max_samples)
         slot = F.ceil(F.col(INDEX) / step)
         picked = (F.floor(slot * step) == F.col(INDEX)) & (slot < max_samples - 1)
         kept = df.filter((F.col("_n") <= max_samples) | picked | (F.col(INDEX) == F.col("_n") - 1))
-
-    def one_recording(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(INDEX)
-        out = {KEY: [pdf[KEY].iloc[0]], "entropy_samples": [len(pdf)]}
-        for c in SIGNALS:
-            values = pdf[c].dropna().to_numpy()
-            out[f"{c}_approx_entropy"] = [approximate_entropy(values, m, r) if len(values) >= ENTROPY_MIN_POINTS else 0.0]
-        return pd.DataFrame(out)
-
-    schema = ", ".join([f"{KEY} string", "entropy_samples long", *[f"{c}_approx_entropy double" for c in SIGNALS]])
-    return kept.select(KEY, INDEX, *SIGNALS).groupBy(KEY).applyInPandas(one_recording, schema)
+    kept = settle(kept)
+    found = entropies(kept, SIGNALS, m, r).groupBy(KEY).agg(
+        *[F.max(F.when(F.col("signal") == c, F.col("apen"))).alias(f"{c}_approx_entropy") for c in SIGNALS])
+    total = kept.groupBy(KEY).agg(F.count(F.lit(1)).alias("entropy_samples"))
+    return total.join(found, KEY, "left").fillna(0.0, [f"{c}_approx_entropy" for c in SIGNALS])
 
 
 def extract_features(
@@ -278,7 +254,7 @@ def extract_features(
     include_complexity: bool = True,
     include_pupil_load: bool = False,
     names: list[str] | None = None,
-    entropy_samples: int = ENTROPY_POINTS,
+    entropy_samples: int = 0,
     min_fixation_ms: float = ev.MIN_FIXATION_MS,
     min_blink_ms: float = ev.MIN_BLINK_MS,
 ) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import join_recording, partition_keys, run_starts, shift
+from saccadia.operators.dispersion import dispersion_fixations  # noqa: F401
 from saccadia.operators.events import threshold_kind
 from saccadia.operators.segments import in_intervals
 from saccadia.operators.signal import step_length
@@ -42,123 +39,6 @@ def flag_runs(samples: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def dispersion_fixations(samples: DataFrame, max_dispersion: float = 100.0, min_duration_ms: float = 100.0) -> DataFrame:
-    """Fixations by the dispersion-threshold method (x range + y range of a growing window).
-
-    Two neighbouring samples further apart than the threshold cannot share a window, so
-    recordings fall apart into islands between such jumps, and the greedy scan runs island by
-    island. It reads sorted rows as a stream and keeps the open window only.
-    """
-    usable = samples.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    df = shift(usable, {"_px": F.col("x"), "_py": F.col("y"), "_pi": F.col(INDEX)})
-    jump = F.abs(F.col("x") - F.col("_px")) + F.abs(F.col("y") - F.col("_py"))
-    from saccadia.functions.ordered import fill
-
-    broken = F.col("_px").isNull() | (jump > max_dispersion) | (F.col("_pi") != F.col(INDEX) - 1)
-    df = fill(df.withColumn("_jump", F.when(broken, F.col(INDEX))), {"island": F.col("_jump")})
-    rows = df.select(KEY, "island", INDEX, "timestamp_ms", "x", "y")
-    rows = rows.repartition(KEY, "island").sortWithinPartitions(KEY, "island", INDEX)
-    schema = f"{KEY} string, start_index long, end_index long, start_time_ms double, end_time_ms double, duration_ms double, amplitude double"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = _DispersionScan(max_dispersion, min_duration_ms)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                scanner.push(*row)
-            yield scanner.take()
-        scanner.close()
-        yield scanner.take()
-
-    return rows.mapInPandas(scan, schema)
-
-
-class _Range:
-    """Smallest and largest of the values in a window that moves forward: each value enters and leaves once."""
-
-    def __init__(self):
-        self.low: deque[tuple[int, float]] = deque()
-        self.high: deque[tuple[int, float]] = deque()
-
-    def add(self, place: int, value: float) -> None:
-        while self.low and self.low[-1][1] >= value:
-            self.low.pop()
-        while self.high and self.high[-1][1] <= value:
-            self.high.pop()
-        self.low.append((place, value))
-        self.high.append((place, value))
-
-    def drop(self, place: int) -> None:
-        for side in (self.low, self.high):
-            if side[0][0] == place:
-                side.popleft()
-
-    def ends(self) -> tuple[float, float]:
-        return self.low[0][1], self.high[0][1]
-
-
-class _DispersionScan:
-    """Greedy window over one sorted stream of (recording, island, index, time, x, y).
-
-    A sample is tried as a window start until its window of the minimum duration is tight
-    enough; the window then grows while it stays so, and the next start is the sample
-    that broke it. A grown window only needs its extent and ends.
-    """
-
-    def __init__(self, max_dispersion: float, min_duration: float):
-        self.limit, self.least = max_dispersion, min_duration
-        self.rows: list[tuple] = []
-        self.group = None
-        self._restart()
-        self.open = None
-
-    def _restart(self):
-        self.pending: deque[tuple] = deque()
-        self.x, self.y = _Range(), _Range()
-
-    def push(self, key, island, index, t, x, y):
-        if (key, island) != self.group:
-            self.close()
-            self.group = (key, island)
-        if self.open is not None:
-            x0, x1, y0, y1 = self.open["box"]
-            box = (min(x0, x), max(x1, x), min(y0, y), max(y1, y))
-            if box[1] - box[0] + box[3] - box[2] <= self.limit:
-                self.open["box"], self.open["last"] = box, (index, t, x, y)
-                return
-            self._emit()
-        self.pending.append((index, t, x, y))
-        self.x.add(index, x)
-        self.y.add(index, y)
-        self._try_start()
-
-    def _try_start(self):
-        while self.pending and self.pending[-1][1] - self.pending[0][1] >= self.least:
-            box = (*self.x.ends(), *self.y.ends())
-            if box[1] - box[0] + box[3] - box[2] <= self.limit:
-                self.open = {"box": box, "first": self.pending[0], "last": self.pending[-1]}
-                self._restart()
-                return
-            gone = self.pending.popleft()[0]
-            self.x.drop(gone)
-            self.y.drop(gone)
-
-    def _emit(self):
-        a, b = self.open["first"], self.open["last"]
-        moved = ((b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2) ** 0.5
-        self.rows.append((self.group[0], a[0], b[0], a[1], b[1], b[1] - a[1], moved))
-        self.open = None
-
-    def close(self):
-        if self.open is not None:
-            self._emit()
-        self._restart()
-
-    def take(self) -> pd.DataFrame:
-        names = [KEY, "start_index", "end_index", "start_time_ms", "end_time_ms", "duration_ms", "amplitude"]
-        rows, self.rows = self.rows, []
-        return pd.DataFrame(rows, columns=names)
-
-
 def intervals_to_events(samples: DataFrame, intervals: DataFrame) -> DataFrame:
     """Sample ranges and amplitude of external ``(recording_id, onset, offset)`` intervals.
 

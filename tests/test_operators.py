@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import lay_out
-from saccadia.operators import aoi, events, features, methods, multimodal, pupil, quality, segments, signal
+from saccadia.operators import aoi, dispersion, entropy, events, features, methods, multimodal, pupil, quality, segments, signal
 from saccadia.sources import normalize, readers, text_values
 
 
@@ -159,11 +159,48 @@ def test_entropy_thins_long_recordings(make_samples, spark, request, split):
         spark.conf.set("spark.saccadia.rowsPerBlock", "700")
     wave = np.sin(np.linspace(0, 40 * np.pi, 5000))
     df = lay_out(make_samples(sample_rows(range(5000), [float(v) for v in wave], [0.0] * 5000, pupil=[1.0] * 5000)))
-    got = rows_of(features.entropy_features(df), "recording_id")[0]["x_approx_entropy"]
+    got = rows_of(features.entropy_features(df, 2000), "recording_id")[0]["x_approx_entropy"]
     spark.conf.unset("spark.saccadia.rowsPerBlock")
     at = np.floor(np.arange(2000) * 2.5).astype(int)
     at[-1] = 4999
-    assert abs(got - features.approximate_entropy(wave[at])) < 1e-12
+    assert abs(got - entropy.approximate_entropy(wave[at])) < 1e-12
+
+
+@pytest.mark.parametrize("rows_per_block,points,most", [(100_000, 16_000, 60_000), (700, 300, 60_000), (100_000, 300, 150), (700, 50, 100)])
+def test_entropy_of_every_sample(make_samples, spark, rows_per_block, points, most):
+    """Whole series against the plain formula: one cell or many, cells in pieces, both layouts, plateaus, nulls, short series."""
+    settings = {"spark.saccadia.rowsPerBlock": rows_per_block, entropy.CELL_POINTS_CONF: points, entropy.MOST_POINTS_CONF: most}
+    for name, value in settings.items():
+        spark.conf.set(name, str(value))
+    rng = np.random.default_rng(8)
+    n = 5000
+    x = np.sin(np.linspace(0, 40 * np.pi, n)) + rng.normal(0, 0.05, n)
+    y = np.repeat(rng.integers(0, 5, n // 10), 10).astype(float)
+    pupil = [None if k % 7 == 0 else float(v) for k, v in enumerate(rng.normal(0, 1, n))]
+    rows = sample_rows(range(n), x.tolist(), y.tolist(), pupil=pupil, valid=[k % 11 != 3 for k in range(n)])
+    few = sample_rows(range(13), [5.0] * 13, [float(k) for k in range(13)], pupil=[1.0] * 11 + [None] * 2)
+    df = lay_out(make_samples(rows).union(make_samples(few, "r2")).union(make_samples(few[:5], "r3")))
+    got = rows_of(features.entropy_features(df), "recording_id")
+    for name in settings:
+        spark.conf.unset(name)
+    kept = [r for r in rows if r["valid"]]
+    for g, own in zip(got, (kept, few, few[:5])):
+        assert g["entropy_samples"] == len(own)
+        for c in ("x", "y", "pupil"):
+            values = np.array([r[c] for r in own if r[c] is not None])
+            expected = entropy.approximate_entropy(values) if len(values) >= 12 else 0.0
+            assert abs(g[f"{c}_approx_entropy"] - expected) < 1e-9, (g["recording_id"], c)
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_neighbours_by_small_integers(m):
+    rng = np.random.default_rng(m)
+    near = np.round(rng.normal(0, 1, (700, m + 1)), 1)
+    near[::9, m] = np.nan
+    asking = np.concatenate([near[:200], rng.normal(0, 2, (50, m + 1))])
+    few, more = entropy.count_near(asking, near, 0.3)
+    met = np.abs(asking[:, None, :] - near[None, :, :]) <= 0.3
+    assert np.array_equal(few, met[:, :, :m].all(axis=2).sum(axis=1)) and np.array_equal(more, met.all(axis=2).sum(axis=1))
 
 
 def greedy_dispersion(t, x, y, limit, least):
@@ -237,44 +274,34 @@ def test_bad_inputs_fail(spark):
         readers.scenario_aois(aois, "s", "T9").collect()
 
 
-def test_dispersion_scan_against_plain_windows():
-    """The streamed scan with running extremes gives what trying every window anew gives."""
-    import random
-
-    from saccadia.operators.methods import _DispersionScan
-
-    rng = random.Random(4)
-    for trial in range(30):
-        x = y = 0.0
-        rows = []
-        for k in range(200):
-            x += rng.choice([0, 1, -1, 3, -3, 12])
-            y += rng.choice([0, 1, -1, 2, -9])
-            rows.append((k, 10.0 * k, x, y))
-        limit, least = rng.choice([10.0, 25.0, 60.0]), rng.choice([20.0, 50.0, 100.0])
-
-        def tight(part):
-            xs, ys = [p[2] for p in part], [p[3] for p in part]
-            return max(xs) - min(xs) + max(ys) - min(ys) <= limit
-
-        expected, start = [], 0
-        while start < len(rows):
-            end = next((e for e in range(start, len(rows)) if rows[e][1] - rows[start][1] >= least), None)
-            if end is None:
-                break
-            if not tight(rows[start:end + 1]):
-                start += 1
-                continue
-            while end + 1 < len(rows) and tight(rows[start:end + 2]):
-                end += 1
-            expected.append((start, end))
-            start = end + 1
-        scan = _DispersionScan(limit, least)
-        for row in rows:
-            scan.push("r", 0, *row)
-        scan.close()
-        found = scan.take()
-        assert list(zip(found["start_index"], found["end_index"])) == expected, trial
+@pytest.mark.parametrize("size", [1, 2, 7, 30, 1000])
+def test_dispersion_blocks_against_plain_windows(size):
+    """Blocks of any size chained give the fixations of one greedy scan: gaps, still gaze over many blocks, jumps, drifts, equal times."""
+    rng = np.random.default_rng(size)
+    for k in range(60):
+        n = int(rng.integers(1, 90))
+        step = [(1, 30), (0, 3), (5, 6)][k % 3]
+        t = np.cumsum(rng.integers(*step, n)).astype(float)
+        x = np.cumsum(rng.normal(0, [0.0, 6.0, 30.0][k % 3], n)) + (rng.random(n) < 0.04) * 300
+        y = np.round(np.cumsum(rng.normal(0, 4, n)))
+        breaks = rng.random(n) < (0.05 if k % 2 else 0.0)
+        breaks[0] = True
+        limit, least = float(rng.choice([20, 60, 200])), float(rng.choice([0.5, 20, 90]))
+        state, found = None, []
+        for a in range(0, n, size):
+            part = slice(a, a + size)
+            block = dispersion.Analysis(np.arange(n)[part], t[part], x[part], y[part], breaks[part], limit, least)
+            crossing, entry, state = dispersion.step(block.summary(), state, limit, least)
+            found += crossing + (list(block.fixations(entry)) if entry is not None else [])
+        if state.first:
+            found.append((state.first, state.last))
+        expected = []
+        edges = [*np.flatnonzero(breaks).tolist(), n]
+        for a, b in zip(edges, edges[1:]):
+            expected += [(a + i, a + j) for i, j in greedy_dispersion(t[a:b], x[a:b], y[a:b], limit, least)]
+        assert sorted((a[0], b[0]) for a, b in found) == expected
+        assert all(r == (r[0], t[r[0]], x[r[0]], y[r[0]]) for pair in found for r in pair)
+
 
 
 def test_ranks_of_hashes_and_of_far_values_in_many_cells(spark, small_blocks):
