@@ -145,6 +145,20 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return run[:n]
 
 
+def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of any length: each is mixed from the two runs of the same power of two that cover it."""
+    lengths = np.asarray(ends - starts, np.int64)
+    level = np.frexp(lengths)[1] - 1
+    out, run, size = np.zeros(len(lengths), np.uint64), mix(h.astype(np.uint64)), 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            out[at] = mix(run[starts[at]] * _TURN + run[ends[at] - size] + lengths[at].astype(np.uint64))
+        run = mix(run[:max(0, len(run) - size)] * _TURN + run[size:] + np.uint64(2 * size))
+        size *= 2
+    return out
+
+
 def gram_starts(bounds: np.ndarray, k: int) -> np.ndarray:
     """Which positions start k values within one row."""
     n = int(bounds[-1])

@@ -25,6 +25,7 @@ are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ def _regions(rows: np.ndarray, g: np.ndarray, size: np.ndarray, percent: int) ->
     home = np.searchsorted(edges, size, "right") - 1
     out_rows, out = [], []
     mixed = arrays.mix(g ^ np.uint64(0x5851F42D4C957F2D))
-    for step in (0, 1, 2, 3, 4):  # the rings that may hold a larger partner
+    for step in itertools.count():  # the rings that may hold a larger partner
         ring = home + step
         ok = (size > 0) & (ring < len(edges) - 1)
         ring = np.minimum(ring, len(edges) - 2)
@@ -300,6 +301,7 @@ def links(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     half = F.ceil(F.col("weight") / (WEIGHT // 2)).cast("long")
     weights = weights.select("family", F.when(F.col("weight") <= WEIGHT, 1).otherwise(half).cast("long").alias("blocks"))
     members = storage.written(family.join(weights, "family").select("row", "family", "blocks"), "members")
+    storage.let_go(rows.sparkSession)
     sets = _elements(with_few(rows.select("row", "text"), members, "row"), n)
     # a point of block i meets every block j: groups (i, j) with i <= j; within a block only in (i, i)
     own = F.pmod(F.xxhash64("row"), F.col("blocks"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,13 +27,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """``df`` from storage: later reads see the same rows in any order of events, also after executors are lost."""
+#: Tables written since the last ``release``.
+_held: list[str] = []
+
+
+def written(df: DataFrame, name: str, compression: str | None = None, keep: bool = False) -> DataFrame:
+    """``df`` from storage: later reads see the same rows in any order of events, also after executors are lost.
+
+    The table stays until ``release``, or for good with ``keep``.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    if not keep:
+        _held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(spark: SparkSession, still_read: DataFrame) -> None:
+    """Delete the tables written so far; for where a result made of them is stored. Tables that ``still_read`` reads stay."""
+    read = still_read.inputFiles()
+    paths = [p for p in _held if not any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)]
+    for path in paths:
+        _held.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    let_go(spark)
+
+
 def _places(df: DataFrame) -> tuple[Column, Column]:
     """The file of each row and its place there."""
     place = df.metadataColumn("_metadata")

@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from saccadia.llm import arrays, storage
 
 WINDOW = 50
-GRAM = 12
+GRAM = 8
 
 
 def numbered(docs: DataFrame, text: str = "text", carry: list[str] = []) -> DataFrame:  # noqa: B006
@@ -44,13 +44,6 @@ def _word_hashes(t: arrays.Texts):
     return w, *(arrays.span_hashes(t.data, w.starts, w.ends, k) for k in (0, 1))
 
 
-def _spans_of(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of runs of words of any length."""
-    up, down = arrays._powers(len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
-    return arrays.mix((total[ends] - total[starts]) * down[starts] + arrays.mix((ends - starts).astype(np.uint64)))
-
-
 def _seed_runs(t: arrays.Texts, window: int, gram: int):
     """Runs of windows that share their seed: row, first window, number of windows, seed, extension."""
     w, h, second = _word_hashes(t)
@@ -67,7 +60,7 @@ def _seed_runs(t: arrays.Texts, window: int, gram: int):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     low, place = at[first], seed[first]
-    extension = _spans_of(second, low, low + count - 1 + window)
+    extension = arrays.run_hashes(second, low, low + count - 1 + window)
     extension = arrays.mix(extension ^ arrays.mix((place - low).astype(np.uint64) + np.uint64(1)))
     return row[low], low - w.bounds[row[low]], count, g[place], extension
 
@@ -98,9 +91,13 @@ def _lists(column: pa.Array, fields: int) -> tuple[np.ndarray, list[np.ndarray]]
 
 
 def single_windows(chosen: DataFrame, window: int) -> DataFrame:
-    """Fingerprints of all windows of the given runs of each text: columns row, text, runs (lists of low, windows), carry."""
+    """Fingerprints of all windows of the given runs of each text: columns row, text, runs (lists of low, windows), carry.
+
+    Texts without runs come too, as this join then has the same exchange of texts as the last one.
+    """
     def run(batches):
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_numpy()
             bounds, (low, count) = _lists(batch.column(2), 2)
             for t in arrays.texts(batch.column(1)):
@@ -109,7 +106,7 @@ def single_windows(chosen: DataFrame, window: int) -> DataFrame:
                 r = np.repeat(np.arange(t.rows), np.diff(bounds[t.first:t.first + t.rows + 1]))
                 where = arrays.expand(low[mine] + w.bounds[r], count[mine])
                 r = np.repeat(r, count[mine])
-                a, b = (_spans_of(x, where, where + window) for x in (h, second))
+                a, b = (arrays.run_hashes(x, where, where + window) for x in (h, second))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[t.first + r]), pa.array((where - w.bounds[r]).astype(np.int32)), pa.array(arrays.signed(a)),
                      pa.array(arrays.signed(b))], names=["row", "low", "a", "b"])
@@ -124,12 +121,13 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     runs = seed_runs(rows, window, gram)
     several = runs.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
     runs = storage.written(runs.join(several, "seed"), "seeds")
+    storage.let_go(rows.sparkSession)
     classes = runs.groupBy("seed", "extension").agg(F.count("*").alias("members"), F.min("row").alias("first"))
     spread = classes.groupBy("seed").agg(F.count("*").alias("classes"))
     known = runs.join(classes, ["seed", "extension"]).join(spread, "seed")
     open_ = known.filter((F.col("classes") > 1) & (F.col("row") == F.col("first")))
     lists = open_.groupBy("row").agg(F.collect_list(F.struct("low", "windows")).alias("runs"))
-    singles = single_windows(rows.join(lists, "row").select("row", "text", "runs", "carry"), window)
+    singles = single_windows(rows.join(lists, "row", "left").select("row", "text", "runs", "carry"), window)
     twice = singles.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     found = singles.join(twice, ["a", "b"]).select("row", "low", F.lit(1).alias("windows"))
     return known.filter("members > 1").select("row", "low", "windows").union(found)

@@ -54,3 +54,35 @@ def test_entries_are_told_apart_when_the_first_hash_collides(monkeypatch):
         flat, starts, lengths = known.arrays()
         found = [bytes(flat[starts[e]:starts[e] + lengths[e]].tolist()).decode() for e in entry.tolist()]
         assert found == " ".join(texts).split()
+
+
+def test_runs_of_any_length():
+    rng = np.random.default_rng(1)
+    h = np.tile(rng.integers(0, 1 << 60, 50).astype(np.uint64), 6)
+    starts = rng.integers(0, 50, 300)
+    ends = starts + rng.integers(1, 150, 300)
+    a, b = arrays.run_hashes(h, starts, ends), arrays.run_hashes(h, starts + 50, ends + 50)
+    assert np.array_equal(a, b) and len(set(a.tolist())) == len(set(zip(starts.tolist(), ends.tolist())))
+    x, y = (np.array([ord(c) for c in s], np.uint64) for s in alternating(2048))
+    assert arrays.run_hashes(x, np.array([0]), np.array([2048])) != arrays.run_hashes(y, np.array([0]), np.array([2048]))
+
+
+@pytest.mark.parametrize("percent", [20, 30, 50, 80])
+def test_linkable_sizes_share_a_region(percent):
+    """Sets that could link by their sizes meet in some ring, also when these are many rings apart."""
+    from saccadia.llm import jaccard
+
+    full = [np.arange(n, dtype=np.uint64) + np.uint64(1) for n in range(1, 61)]
+    rows, regions = jaccard._regions(np.repeat(np.arange(60), np.arange(1, 61)), np.concatenate(full), np.arange(1, 61), percent)
+    of = [set(regions[rows == r].tolist()) for r in range(60)]
+    assert all(of[a - 1] & of[b - 1] for b in range(1, 61) for a in range(1, b + 1) if 100 * a >= percent * b)
+
+
+def test_release_keeps_what_is_still_read(spark):
+    from saccadia.llm import storage
+
+    first, second, kept = storage.written(spark.range(5), "first"), storage.written(spark.range(7), "second"), storage.written(spark.range(3), "kept", keep=True)
+    storage.release(spark, second.filter("id > 1"))
+    assert second.count() == 7 and kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        first.count()
