@@ -15,6 +15,7 @@ def _batched(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Call
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         storage.text_batches(spark)
+        storage.release(spark, docs)  # what the stage before wrote on its way to these documents
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -67,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces made of the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = storage.written(stage(spark, docs, sf_dir), name)
+        docs = storage.written(stage(spark, docs, sf_dir), name, keep=True)
     return docs
