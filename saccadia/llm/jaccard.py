@@ -268,9 +268,13 @@ class Sets:
 
 def _join_groups(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("row").to_pylist()
-        sets = [np.frombuffer(x, "<u8") for x in table.column("elements").to_pylist()]
-        s = Sets(ids, sets, table.column("side").to_pylist(), percent)
+        ids, sets, sides = [], [], []
+        for rows, sizes, packed, side in zip(*[table.column(c).to_pylist() for c in ("rows", "sizes", "packed", "side")]):
+            values = np.frombuffer(pa.decompress(packed, 8 * sum(sizes), "zstd"), "<u8")
+            sets += np.split(values, np.cumsum(sizes)[:-1])
+            ids += rows
+            sides += [side] * len(rows)
+        s = Sets(ids, sets, sides, percent)
         everyone = np.arange(len(ids))
         s.join(everyone[s.sides == s.sides.min()] if s.two_sided else everyone, everyone)
         return pa.table({"a": pa.array([x[0] for x in s.links], pa.int64()), "b": pa.array([x[1] for x in s.links], pa.int64())})
@@ -279,17 +283,28 @@ def _join_groups(percent: int):
 
 
 def _elements(texts: DataFrame, n: int) -> DataFrame:
-    """(row, family, blocks, elements) from (row, family, blocks, text)."""
+    """(family, blocks, own, rows, sizes, packed) from (row, family, blocks, text): the sets of a batch of texts, all those
+    of a family's block packed as one, as near copies are much shorter side by side."""
     def run(batches):
         for batch in batches:
+            row, family, blocks = (batch.column(k).to_numpy() for k in range(3))
+            own = (arrays.mix(row.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            sets: list[np.ndarray] = []
             for t in arrays.texts(batch.column(3)):
                 r, g = shingles(t, n)
-                stops = np.searchsorted(r, np.arange(t.rows + 1)).tolist()
-                raw = [g[a:b].astype("<u8").tobytes() for a, b in zip(stops, stops[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).slice(t.first, t.rows) for k in range(3)], pa.array(raw, pa.binary())], names=["row", "family", "blocks", "elements"])
+                sets += np.split(g.astype("<u8"), np.searchsorted(r, np.arange(1, t.rows)))
+            order = np.lexsort((row, own, family))
+            edges = np.flatnonzero(np.append(True, (family[order][1:] != family[order][:-1]) | (own[order][1:] != own[order][:-1]))).tolist()
+            parts = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)])] if len(order) else []
+            first = [int(p[0]) for p in parts]
+            lists = lambda values: pa.array([[values(k) for k in p.tolist()] for p in parts], pa.list_(pa.int64()))
+            packed = [pa.compress(np.concatenate([sets[k] for k in p.tolist()]).tobytes(), "zstd", asbytes=True) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(family[first]), pa.array(blocks[first]), pa.array(own[first]), lists(lambda k: int(row[k])), lists(lambda k: len(sets[k])),
+                 pa.array(packed, pa.binary())], names=["family", "blocks", "own", "rows", "sizes", "packed"])
 
-    return texts.select("row", "family", "blocks", "text").mapInArrow(run, "row long, family long, blocks long, elements binary")
+    schema = "family long, blocks long, own long, rows array<long>, sizes array<long>, packed binary"
+    return texts.select("row", "family", "blocks", "text").mapInArrow(run, schema)
 
 
 def links(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -304,10 +319,10 @@ def links(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     storage.let_go(rows.sparkSession)
     sets = _elements(with_few(rows.select("row", "text"), members, "row"), n)
     # a point of block i meets every block j: groups (i, j) with i <= j; within a block only in (i, i)
-    own = F.pmod(F.xxhash64("row"), F.col("blocks"))
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sets = sets.select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "row", "elements"
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "rows", "sizes", "packed"
     )
     return sets.groupBy("family", "i", "j").applyInArrow(_join_groups(percent), "a long, b long")
 
