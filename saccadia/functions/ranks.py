@@ -1,8 +1,9 @@
 """Exact ranks and quantiles of any number of values per group.
 
-``percentile`` keeps a group's distinct values in one task. The functions here count
-equal values first, cut each large group's values into cells of about equal counts, and add
-up the counts cell by cell, so no task holds a whole group.
+``percentile`` keeps a group's distinct values in one task. The functions here count equal values first, cut each group's
+values into cells of about equal counts, these cells again, and add up the counts cell by cell, so a task holds a few
+thousandths of a group. All of it is one lazy plan that reads its rows once: the counted values are one exchange, which every
+later step reads.
 """
 
 from __future__ import annotations
@@ -10,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import MAX_BROADCAST_ROWS, MOST_CELLS, cell_of, cut_points, is_split, join_small, settle
-from saccadia.functions.storage import materialize
+from saccadia.functions.ordered import is_split, settle
 
-CELL_ROWS_CONF = "spark.saccadia.valuesPerCell"
-DEFAULT_CELL_ROWS = 1_000_000
+#: Cells of a group, and cells of a cell.
+CELLS = 64
+
+
+def _cut(counts: DataFrame, keys: list[str], value: str, cell: str) -> DataFrame:
+    """``counts`` with the number of its cell in the group of ``keys``."""
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / CELLS for k in range(1, CELLS)], 1000).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return counts.join(cuts, keys).withColumn(cell, below).drop("_cuts")
 
 
 def value_counts(df: DataFrame, by: list[str], value: str, extra: dict | None = None) -> DataFrame:
@@ -24,34 +31,24 @@ def value_counts(df: DataFrame, by: list[str], value: str, extra: dict | None =
     """
     if not by:
         return value_counts(df.withColumn("_all", F.lit(0)), ["_all"], value, extra).drop("_all")
-    size = int(df.sparkSession.conf.get(CELL_ROWS_CONF, str(DEFAULT_CELL_ROWS)))
     aggregates = [F.count(F.lit(1)).alias("n")] + [c.alias(k) for k, c in (extra or {}).items()]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggregates)
-    # read three times below (group sizes, cell sums, places), so computed once
-    counts = materialize(counts, "counts")
-    groups = (
-        counts.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_distinct"))
-        .filter(F.col("_distinct") > size)
-    )
-    largest = groups.agg(F.max("_distinct")).first()[0]
-    if largest is None:
-        celled = counts.withColumn("_cell", F.lit(0).cast("long"))
-    else:
-        cuts = counts.join(groups.select(*by), by).groupBy(*by).agg(cut_points(value, -(-largest // size)).alias("_cuts"))
-        celled = join_small(counts, cuts, by, limit=MAX_BROADCAST_ROWS // MOST_CELLS).withColumn("_cell", cell_of(F.col(value), F.col("_cuts"))).drop("_cuts")
-    per_cell = celled.groupBy(*by, "_cell").agg(F.sum("n").alias("_in_cell"))
-    upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    # always true, but it reads all columns: steps that read the same columns share the exchange below them
+    counts = counts.filter(F.greatest(F.lit(0), "n", *(extra or {})) > 0)
+    celled = _cut(_cut(counts, by, value, "_cell"), [*by, "_cell"], value, "_part")
+    per_cell = celled.groupBy(*by, "_cell", "_part").agg(F.sum("n").alias("_in_cell"))
+    upto = Window.partitionBy(*by).orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(
         *by,
         "_cell",
+        "_part",
         F.coalesce(F.sum("_in_cell").over(upto), F.lit(0)).alias("_offset"),
         F.sum("_in_cell").over(Window.partitionBy(*by)).alias("total"),
     )
-    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_cell", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         celled.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_cell"])
+        .join(offsets, [*by, "_cell", "_part"])
         .withColumn("below", F.col("_inside") + F.col("_offset"))
         .select(*by, value, "n", *(extra or {}), "below", "total")
     )

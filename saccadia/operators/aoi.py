@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saccadia.functions.geometry import in_polygon, in_rectangle
-from saccadia.functions.ordered import join_recording, join_small, partition_keys, shift
+from saccadia.functions.ordered import join_recording, partition_keys, shift
 from saccadia.schema import AOIS, KEY
 
 METRIC_SUFFIXES = ["ttff_ms", "dwell_ms", "dwell_prop", "visit_count", "fixation_count"]
@@ -77,23 +77,73 @@ def assign(fixations: DataFrame, areas: Sequence[Area]) -> DataFrame:
     return fixations.withColumn("aoi_name", area_name(F.col("centroid_x"), F.col("centroid_y"), areas))
 
 
-def assign_by_set(fixations: DataFrame, aois: DataFrame) -> DataFrame:
-    """Add ``aoi_name`` where each fixation names its ``aoi_set``.
+def _grids(aois: DataFrame) -> DataFrame:
+    """(set, ``_gx``, ``_gy``, ``_w``, ``_h``): the corner and cell size of each set's grid.
 
-    The areas of a set become one array in matching order, so every fixation meets one
-    row and picks the first area that contains it.
+    A cell is half the root mean square of the areas' widths and heights, so that the areas of a set, however unequal, touch
+    no more than about nine cells each on average (the sum of their products is at most that of their squares).
     """
-    area = F.struct("aoi_order", "name", "region_type", "x_min", "y_min", "x_max", "y_max", "vertices")
-    sets = aois.groupBy("aoi_set").agg(F.array_sort(F.collect_list(area)).alias("_areas"))
-    x, y = F.col("centroid_x"), F.col("centroid_y")
+    wide = lambda low, high: F.greatest(F.sqrt(F.avg(F.pow(F.col(high) - F.col(low), 2))) / 2, F.lit(1e-9))
+    return aois.groupBy("aoi_set").agg(
+        F.min("x_min").alias("_gx"), F.min("y_min").alias("_gy"), wide("x_min", "x_max").alias("_w"), wide("y_min", "y_max").alias("_h"))
+
+
+def _at(value: Column, corner: str, size: str) -> Column:
+    return F.floor((value - F.col(corner)) / F.col(size))
+
+
+def index_areas(aois: DataFrame) -> DataFrame:
+    """One row for each area and grid cell that it may touch; a cell that a polygon's edges pass by outside of is left out.
 
-    def contains(a):
-        box = in_rectangle(x, y, a["x_min"], a["y_min"], a["x_max"], a["y_max"])
-        return box & ((a["region_type"] == "rectangle") | in_polygon(x, y, a["vertices"]))
+    ``covers`` says that the cell lies wholly inside, so its points need no further test.
+    """
+    df = aois.join(_grids(aois), "aoi_set")
+    span = lambda low, high, corner, size: F.explode(F.sequence(_at(F.col(low), corner, size), _at(F.col(high), corner, size)))
+    df = df.withColumn("_cx", span("x_min", "x_max", "_gx", "_w")).withColumn("_cy", span("y_min", "y_max", "_gy", "_h"))
+    x0, y0 = F.col("_gx") + F.col("_cx") * F.col("_w"), F.col("_gy") + F.col("_cy") * F.col("_h")
+    # a little more than the cell, as points are dealt to cells with rounding
+    px, py = F.col("_w") * 1e-6, F.col("_h") * 1e-6
+    x0, x1, y0, y1 = x0 - px, x0 + F.col("_w") + px, y0 - py, y0 + F.col("_h") + py
+    inner = (x0 >= F.col("x_min")) & (x1 <= F.col("x_max")) & (y0 >= F.col("y_min")) & (y1 <= F.col("y_max"))
+    following = F.concat(F.slice("vertices", 2, F.size("vertices") - 1), F.slice("vertices", 1, 1))
+
+    def near(a, b):
+        """Whether an edge's box meets the cell: more cells than the edge itself touches, never fewer."""
+        return ((F.least(a["x"], b["x"]) <= x1) & (F.greatest(a["x"], b["x"]) >= x0)
+                & (F.least(a["y"], b["y"]) <= y1) & (F.greatest(a["y"], b["y"]) >= y0))
+
+    edge = F.aggregate(F.zip_with("vertices", following, near), F.lit(False), lambda s, v: s | v)
+    middle = in_polygon((x0 + x1) / 2, (y0 + y1) / 2, F.col("vertices"))
+    is_polygon = F.col("region_type") == "polygon"
+    touched = F.when(is_polygon, edge | middle).otherwise(F.lit(True))
+    covers = F.when(is_polygon, ~edge & middle & inner).otherwise(inner)
+    df = df.withColumn("covers", covers).filter(touched)
+    # behind the first area that covers a cell no other one is ever the first there
+    cell = Window.partitionBy("aoi_set", "_cx", "_cy")
+    df = df.withColumn("_first", F.min(F.when(F.col("covers"), F.col("aoi_order"))).over(cell))
+    df = df.filter(F.col("_first").isNull() | (F.col("aoi_order") <= F.col("_first")))
+    return df.select("aoi_set", "_cx", "_cy", "aoi_order", "name", "region_type", "x_min", "y_min", "x_max", "y_max", "covers",
+                     F.when(~F.col("covers"), F.col("vertices")).alias("vertices"))
+
+
+def assign_by_set(fixations: DataFrame, aois: DataFrame) -> DataFrame:
+    """Add ``aoi_name`` where each fixation names its ``aoi_set``: the first area in order that contains it.
 
-    df = join_small(fixations, sets, ["aoi_set"])
-    hit = F.get(F.filter(F.col("_areas"), contains), 0)
-    return df.withColumn("aoi_name", hit["name"]).drop("_areas")
+    Areas are listed under the cells of a grid over their set, and a fixation meets only those listed under its own cell, so
+    a set may have any number of rectangles and polygons. Cells of the same set are joined apart.
+    """
+    df = fixations.withColumn("_id", F.struct(*[F.col(c) for c in fixations.columns]))
+    point = df.join(_grids(aois), "aoi_set", "left")
+    x, y = F.col("centroid_x"), F.col("centroid_y")
+    point = point.select("aoi_set", "_id", F.col("centroid_x").alias("_px"), F.col("centroid_y").alias("_py"),
+                         _at(x, "_gx", "_w").alias("_cx"), _at(y, "_gy", "_h").alias("_cy"))
+    x, y = F.col("_px"), F.col("_py")
+    inside = in_rectangle(x, y, *[F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]) & (
+        (F.col("region_type") == "rectangle") | in_polygon(x, y, F.col("vertices")))
+    met = point.join(index_areas(aois), ["aoi_set", "_cx", "_cy"])
+    first = met.filter(F.col("covers") | inside).groupBy("_id").agg(F.min(F.struct("aoi_order", "name")).alias("_first"))
+    named = first.select("_id", F.col("_first.name").alias("aoi_name"))
+    return df.join(named, "_id", "left").select(*fixations.columns, "aoi_name")
 
 
 def with_visits(assigned: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.functions.ordered import fill, framed, shift, with_recording_values
+from saccadia.functions.ordered import fill, framed, neighbouring, shift, with_recording_values
 from saccadia.schema import INDEX
 
 SIGNALS = ("x", "y", "pupil")
@@ -65,31 +65,38 @@ def savgol_weights(width: int, polyorder: int) -> np.ndarray:
     return design @ np.linalg.pinv(design)
 
 
+#: What the error column says of a recording that is too short to be smoothed.
+TOO_SHORT = "recording is shorter than the smoothing window"
+
+
 def smooth_savitzky_golay(samples: DataFrame, window: int = 5, polyorder: int = 2, columns=SIGNALS) -> DataFrame:
     """Polynomial smoothing; rows near an end use the fit of the first or last full window.
 
-    A recording shorter than the window fails, as there is nothing to fit.
+    A window of the weights' width is a sum of neighbouring rows, one sum for each place in it. A recording shorter than the
+    window has nothing to fit: one row is left of it, without signals, that says so in ``error``, null in all other rows.
     """
     width = max(window, polyorder + 2)
     width += 1 - width % 2
-    weights = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in savgol_weights(width, polyorder)])
-    reach = width - 1
+    weights = savgol_weights(width, polyorder)
     df = with_recording_values(samples, {"_rows": F.count(F.lit(1))})
-    df = framed(
-        df, {f"_near_{c}": F.collect_list(F.coalesce(F.col(c), F.lit(float("nan")))) for c in columns}, reach, reach
-    )
+    df = neighbouring(df, list(columns), width - 1)
     start = F.greatest(F.least(F.col(INDEX) - width // 2, F.col("_rows") - width), F.lit(0))
-    row = F.element_at(weights, (F.col(INDEX) - start + 1).cast("int"))
-    offset = (start - F.greatest(F.col(INDEX) - reach, F.lit(0)) + 1).cast("int")
-    short = F.raise_error(F.lit("recording is shorter than the smoothing window")).cast("double")
+    place = F.col(INDEX) - start
 
     def smoothed(c):
-        near = F.slice(F.col(f"_near_{c}"), offset, width)
-        dot = F.aggregate(F.zip_with(near, row, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.when(F.col("_rows") < width, short).otherwise(F.nanvl(dot, F.lit(None).cast("double")))
+        fits = F.lit(None).cast("double")
+        for p in reversed(range(width)):
+            terms = [float(weights[p, k]) * F.col(f"_{c}_{k - p}") for k in range(width)]
+            total = terms[0]
+            for t in terms[1:]:
+                total = total + t
+            fits = F.when(place == p, total).otherwise(fits)
+        return F.when(F.col("_rows") >= width, fits)
 
     out = df.withColumns({c: smoothed(c) for c in columns})
-    return out.drop("_rows", *[f"_near_{c}" for c in columns])
+    out = out.withColumn("error", F.when(F.col("_rows") < width, F.lit(TOO_SHORT)))
+    near = [f"_{c}_{o}" for c in columns for o in range(1 - width, width)]
+    return out.filter(F.col("error").isNull() | (F.col(INDEX) == 0)).drop("_rows", *near)
 
 
 def smooth(samples: DataFrame, method: str = "moving_average", window: int = 5, polyorder: int = 2) -> DataFrame:

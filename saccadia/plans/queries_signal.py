@@ -36,18 +36,20 @@ def p4(spark, sf):
 
 SAVGOL = """
 sw AS (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM gi),
-sf AS (SELECT recording_id, i, n, least(greatest(i - 2, 0), n - 5) AS ws FROM sw),
+sf AS (SELECT recording_id, i, n, least(greatest(i - 2, 0), n - 5) AS ws FROM sw WHERE n >= 5),
 sj AS (SELECT sf.recording_id, sf.i, sf.i - sf.ws - 2 AS p, w.i - sf.ws - 2 AS q, w.x, w.y, w.pupil
   FROM sf JOIN sw w ON w.recording_id = sf.recording_id AND w.i BETWEEN sf.ws AND sf.ws + 4),
-sv AS (SELECT recording_id, i AS sample_index,
+sv AS (SELECT recording_id, i AS sample_index, CAST(NULL AS VARCHAR) AS error,
     sum(x * wt) AS x, sum(y * wt) AS y, sum(pupil * wt) AS pupil
   FROM (SELECT *, (17.0 - 5.0 * q * q) / 35.0 + p * q / 10.0 + (p * p) * (q * q - 2.0) / 14.0 AS wt FROM sj)
-  GROUP BY recording_id, i)"""
+  GROUP BY recording_id, i
+  UNION ALL SELECT recording_id, 0, 'recording is shorter than the smoothing window', NULL, NULL, NULL FROM sw WHERE n < 5 AND i = 0)"""
 
 
-@query("P5_smooth_savitzky_golay", SAMPLE, "x y pupil", "sample_index",
+@query("P5_smooth_savitzky_golay", SAMPLE + " error", "x y pupil", "sample_index",
        [sql.GAZE, sql.interpolated_samples("gi"), SAVGOL], "sv")
 def p5(spark, sf):
+    """Recordings too short for the window leave a row that says so; the others are smoothed in the same plan."""
     return sg.smooth_savitzky_golay(sg.interpolate_missing(samples(spark, sf)))
 
 

@@ -15,6 +15,10 @@ from saccadia.sources.readers import materialize, scratch_dir
 from saccadia.streaming import stateful, windows
 
 
+#: Files that make up one batch of arrivals.
+FILES_PER_BATCH = 4
+
+
 def stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -82,18 +86,30 @@ def s4(spark, sf):
     return windows.run_to_table(scored, "scored", "update", [R, "window_start_ms"])
 
 
-CLOSED = [*sql.BASE_EVENTS[:3],
-          """lr AS (SELECT recording_id, max(run) AS last_run FROM r GROUP BY 1),
-ce AS (SELECT r.recording_id, kind, min(timestamp_ms) AS start_time_ms, max(timestamp_ms) AS end_time_ms, max(timestamp_ms) - min(timestamp_ms) AS duration_ms,
+ALL_RUNS = [*sql.BASE_EVENTS[:3],
+            """ce AS (SELECT recording_id, kind, min(timestamp_ms) AS start_time_ms, max(timestamp_ms) AS end_time_ms, max(timestamp_ms) - min(timestamp_ms) AS duration_ms,
     count(*) AS sample_count, CASE WHEN kind = 'blink' THEN 0.0 ELSE sqrt(pow(arg_max(x, i) - arg_min(x, i), 2) + pow(arg_max(y, i) - arg_min(y, i), 2)) END AS amplitude,
-    max(velocity) AS peak_velocity FROM r JOIN lr ON r.recording_id = lr.recording_id AND run < last_run GROUP BY r.recording_id, run, kind)"""]
+    max(velocity) AS peak_velocity FROM r GROUP BY recording_id, run, kind)"""]
 
 
-@query("S5_stream_ivt_events", R + " kind", "start_time_ms end_time_ms duration_ms amplitude peak_velocity", "sample_count", CLOSED,
+@query("S5_stream_ivt_events", R + " kind", "start_time_ms end_time_ms duration_ms amplitude peak_velocity", "sample_count", ALL_RUNS,
        "ce WHERE NOT ((kind = 'fixation' AND duration_ms < 60) OR (kind = 'blink' AND duration_ms < 75))")
 def s5(spark, sf):
-    """Events closed by a change of label; the run still open at the end of the data is not one."""
-    return windows.run_to_table(stateful.stream_events(windows.with_event_time(stream(spark, sf))), "events")
+    """Events closed by a change of label, and the run still open where a recording ends by a timer: a beat without a recording
+    arrives after the samples and moves the watermark past the end of all runs."""
+    df = raw_samples(spark, sf)
+    base = scratch_dir(spark, "samples")
+    df.repartition(FILES_PER_BATCH).write.parquet(f"{base}/part=0")
+    beat = df.agg((F.max("timestamp_ms") + 2 * stateful.END_MS + 60_000.0).alias("timestamp_ms"))
+    for name in df.columns:
+        if name != "timestamp_ms":
+            beat = beat.withColumn(name, F.lit(None).cast(df.schema[name].dataType))
+    # a batch is judged by the watermark of the one before, so the timers run in the second batch of beats
+    beats = beat.select(df.columns).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(FILES_PER_BATCH)))).repartitionByRange(FILES_PER_BATCH, "_k").drop("_k")
+    for k in (1, 2):
+        beats.write.parquet(f"{base}/part={k}")
+    arrivals = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/part=*")
+    return windows.run_to_table(stateful.stream_events(windows.with_event_time(arrivals)), "events")
 
 
 LATE = """
@@ -101,10 +117,6 @@ lt AS (SELECT recording_id, floor(floor(timestamp_ms * 1000) / 1000000) * 1000.0
   FROM g WHERE NOT (timestamp_ms < 3000 AND sample_seq % 10 = 0) GROUP BY 1, 2)"""
 
 
-#: Files that make up one batch of arrivals.
-FILES_PER_BATCH = 4
-
-
 @query("S6_late_data", R, "window_start_ms", "sample_count", [sql.GAZE, LATE], "lt")
 def s6(spark, sf):
     """A tenth of the early rows arrives after the end of the recordings, beyond the watermark, and is dropped."""

@@ -28,6 +28,8 @@ SAMPLE = T.StructType(SAMPLE_FIELDS)
 NAMES = [f.name for f in SAMPLE_FIELDS]
 MIN_BUFFERED = 5
 IDLE_MS = 3_600_000
+#: A run without a sample for so long, by the watermark, has ended.
+END_MS = 10_000
 
 
 def _sorted_rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -148,10 +150,10 @@ EVENT = T.StructType(
 
 
 class OpenRun(StatefulProcessor):
-    """Keeps the running event of a recording and emits it when the label changes or the recording idles."""
+    """Keeps the running event of a recording and emits it when the label changes or, by a timer, when it has ended."""
 
-    def __init__(self, threshold: float, min_fixation_ms: float, min_blink_ms: float, idle_ms: int):
-        self.threshold, self.idle_ms = threshold, idle_ms
+    def __init__(self, threshold: float, min_fixation_ms: float, min_blink_ms: float, end_ms: int):
+        self.threshold, self.end_ms = threshold, end_ms
         self.least = {"fixation": min_fixation_ms, "blink": min_blink_ms}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -168,6 +170,9 @@ class OpenRun(StatefulProcessor):
         return [(key[0], kind, start, end, end - start, n, amplitude, peak)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # a filter would be moved below the watermark, which is to see these rows
+            yield pd.DataFrame([], columns=[f.name for f in EVENT.fields])
+            return
         run = tuple(self.run.get()) if self.run.exists() else None
         before = tuple(self.before.get()) if self.before.exists() else None
         out = []
@@ -188,7 +193,7 @@ class OpenRun(StatefulProcessor):
             before = sample
         self.run.update(run)
         self.before.update(before)
-        _restart_timer(self.handle, int(before[0]) + self.idle_ms)
+        _restart_timer(self.handle, int(before[0]) + self.end_ms)
         yield pd.DataFrame(out, columns=[f.name for f in EVENT.fields])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -202,11 +207,15 @@ class OpenRun(StatefulProcessor):
 
 
 def stream_events(
-    timed: DataFrame, threshold: float = 850.0, min_fixation_ms: float = 60.0, min_blink_ms: float = 75.0, idle_ms: int = 600_000
+    timed: DataFrame, threshold: float = 850.0, min_fixation_ms: float = 60.0, min_blink_ms: float = 75.0, end_ms: int = END_MS
 ) -> DataFrame:
-    """Velocity-threshold events of a stream with ``event_time``; an idle recording's last run is closed by a timer."""
+    """Velocity-threshold events of a stream with ``event_time``.
+
+    A run ends with a change of label, or ``end_ms`` after its last sample, when the watermark has passed that time: a timer then
+    closes it, and a sample after such a pause begins a new run. Rows without a recording only move the watermark.
+    """
     return timed.select(KEY, "event_time", *NAMES).groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=OpenRun(threshold, min_fixation_ms, min_blink_ms, idle_ms),
+        statefulProcessor=OpenRun(threshold, min_fixation_ms, min_blink_ms, end_ms),
         outputStructType=EVENT,
         outputMode="Append",
         timeMode="EventTime",
