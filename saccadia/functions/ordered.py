@@ -218,17 +218,6 @@ def framed(df: DataFrame, columns: dict[str, Column], before: int, after: int, i
     ))
 
 
-def neighbouring(df: DataFrame, columns: list[str], reach: int, index: str = INDEX) -> DataFrame:
-    """Values of the rows up to ``reach`` before and after each row, as columns ``_{column}_{offset}``; null beyond the ends."""
-    split = is_split(df)
-    if split:
-        df = _copy_to_blocks(df, F.lit(reach), F.lit(reach), index)
-    w = Window.partitionBy(*partition_keys(df)).orderBy(index)
-    near = {f"_{c}_{o}": (F.lag(c, -o) if o < 0 else F.lead(c, o)).over(w) for c in columns for o in range(-reach, reach + 1) if o}
-    out = df.withColumns(near | {f"_{c}_0": F.col(c) for c in columns})
-    return _drop_copies(out) if split else out
-
-
 def trailing(df: DataFrame, columns: dict[str, str], size: str, index: str = INDEX) -> DataFrame:
     """Aggregates over the last ``size`` rows, where ``size`` is a column (constant per recording).
 

@@ -272,38 +272,6 @@ def a2(spark, sf):
     return aoi.assign_by_set(fixations, table)
 
 
-def _areas_by_set(spark, sf):
-    """Rectangles and triangles, one of each part, in two sets."""
-    k = F.col("p_partkey")
-    x, y, w, h = (k * 37) % 500 + 0.013, (k * 53) % 100 + 0.017, (k % 11 + 3).cast("double"), (k % 7 + 2).cast("double")
-    rows = spark.read.parquet(f"{sf}/part.parquet").select(
-        F.concat(F.lit("t"), k % 2).alias("aoi_set"), k.cast("int").alias("aoi_order"), F.concat(F.lit("a"), k).alias("name"),
-        F.when(k % 3 == 0, "rectangle").otherwise("polygon").alias("region_type"),
-        x.alias("x_min"), y.alias("y_min"), (x + w).alias("x_max"), (y + h).alias("y_max"))
-    corner = lambda px, py: F.struct(F.col(px).alias("x"), F.col(py).alias("y"))
-    return rows.withColumn("vertices", F.when(F.col("region_type") == "polygon", F.array(
-        corner("x_min", "y_min"), corner("x_max", "y_min"), corner("x_min", "y_max"))))
-
-
-AREA_SETS = [*sql.BASE_EVENTS, f"""
-ar AS (SELECT 't' || (p_partkey % 2) AS aoi_set, p_partkey AS aoi_order, 'a' || p_partkey AS name, p_partkey % 3 = 0 AS box,
-    (p_partkey * 37) % 500 + 0.013::DOUBLE AS x0, (p_partkey * 53) % 100 + 0.017::DOUBLE AS y0,
-    (p_partkey * 37) % 500 + 0.013::DOUBLE + (p_partkey % 11 + 3)::DOUBLE AS x1, (p_partkey * 53) % 100 + 0.017::DOUBLE + (p_partkey % 7 + 2)::DOUBLE AS y1 FROM part),
-fs AS (SELECT *, 't' || (CAST(recording_id AS BIGINT) % 2) AS aoi_set FROM ev WHERE kind = 'fixation'),
-hs AS (SELECT recording_id, event_index, arg_min(name, aoi_order) AS aoi_name FROM fs JOIN ar USING (aoi_set)
-  WHERE centroid_x BETWEEN x0 AND x1 AND centroid_y BETWEEN y0 AND y1
-    AND (box OR {_ray((("x0", "y0"), ("x1", "y0"), ("x0", "y1")), "centroid_x", "centroid_y")}) GROUP BY 1, 2)"""]
-
-
-@query("A2_assign_aoi_set", R + " aoi_set aoi_name", "centroid_x centroid_y", "event_index", AREA_SETS,
-       "fs LEFT JOIN hs USING (recording_id, event_index)")
-def a2_sets(spark, sf):
-    """Polygons and rectangles in sets of any size, each fixation naming its set."""
-    fixations = ev.fixation_table(threshold_events(spark, sf))
-    named = fixations.withColumn("aoi_set", F.concat(F.lit("t"), F.col(R).cast("long") % 2))
-    return aoi.assign_by_set(named, _areas_by_set(spark, sf))
-
-
 @query("A3_assign_aoi_polygon", R + " aoi_name", "centroid_x centroid_y", "event_index", ASSIGNED, "fx")
 def a3(spark, sf):
     return assigned(spark, sf)
