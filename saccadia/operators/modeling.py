@@ -346,11 +346,27 @@ def cross_validate(df: DataFrame, target: str, names: Sequence[str], models: dic
         one = classification_metrics(cross_predictions(df, target, names, name, folds, seed, ids, **options))
         one = one.select(F.lit(name).alias("model"), "accuracy", "f1_macro")
         rows = one if rows is None else rows.unionByName(one)
-    # one row per model
+    return marked_best(rows)
+
+
+def marked_best(rows: DataFrame) -> DataFrame:
+    """One row per model; those with the best macro F1 are marked."""
     best = F.max("f1_macro").over(Window.partitionBy(F.lit(1)))
     return rows.withColumn("is_best", F.col("f1_macro") == best)
 
 
+def compare_modalities(tables: dict[str, tuple[DataFrame, Sequence[str]]], target: str, **options) -> DataFrame:
+    """A model for each named (table, features), its metrics, and their difference from the first one's."""
+    out = None
+    for place, (name, (df, names)) in enumerate(tables.items()):
+        metrics = train_model(df, target, feature_columns=names, **options).metrics
+        one = metrics.select(F.lit(place).alias("_place"), F.lit(name).alias("modality"), "accuracy", "f1_macro", F.lit(len(names)).alias("feature_count"))
+        out = one if out is None else out.unionByName(one)
+    whole = Window.partitionBy(F.lit(1))  # one row per modality
+    first = lambda c: F.min_by(c, "_place").over(whole)
+    return out.withColumns({f"{c}_delta": F.col(c) - first(c) for c in ("accuracy", "f1_macro")}).drop("_place")
+
+
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import lay_out
 from saccadia.operators import features as ft
+from saccadia.operators import leave_one_out as loo
 from saccadia.operators import modeling as ml
 from saccadia.plans import sql
 from saccadia.plans.catalog import query
 from saccadia.plans.gaze_view import heart_rate, recordings
-from saccadia.plans.queries_features import R
+from saccadia.plans.queries_features import HEART, HEART_FEATURES, HEART_NUM, R
 from saccadia.plans.queries_insight import FEATURES, features
 from saccadia.sources.readers import materialize
 
@@ -101,8 +102,11 @@ def l8(spark, sf):
     return ml.train_model(dataset(spark, sf), "trial").holdout
 
 
-@query("L9_candidate_targets", "column_name", "", "", [],
-       "(SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name)")
+ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority constant nothing".split()
+
+
+@query("L9_candidate_targets", "column_name", "", "", ["oc AS (SELECT *, 3 AS constant, CAST(NULL AS INTEGER) AS nothing FROM orders)"],
+       "(" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS d FROM oc" for c in ORDER_COLUMNS) + ") WHERE d >= 2")
 def l9(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     return ml.candidate_targets(orders.withColumns({"constant": F.lit(3), "nothing": F.lit(None).cast("int")}))
@@ -139,13 +143,36 @@ def l12(spark, sf):
     return ml.run_experiment(dataset(spark, sf), "trial")[1]
 
 
-CV_NAMES = ["fixation_count", "saccade_count", "path_length", "valid_ratio"]
+LOO_NAMES = ("duration_ms sample_count valid_ratio path_length velocity_mean velocity_peak fixation_count fixation_duration_mean fixation_duration_total "
+             "fixation_density saccade_count saccade_amplitude_mean saccade_peak_velocity_mean saccade_latency_mean blink_count blink_rate_hz "
+             "blink_duration_mean pupil_baseline pupil_change_rate").split()
+# a row's class by the counts, means and squares of all other rows, for every number of features
+LEFT_OUT = [*FEATURES, sql.RECORDINGS, "lx AS (" + " UNION ALL ".join(
+    f"SELECT recording_id, trial AS y, {k} AS k, coalesce(CAST({c} AS DOUBLE), 0) AS x FROM ff JOIN rec USING (recording_id)" for k, c in enumerate(LOO_NAMES, 1)) + ")", """
+lc AS (SELECT k, avg(x) AS centre FROM lx GROUP BY 1),
+lv AS (SELECT recording_id, y, k, x - centre AS x FROM lx JOIN lc USING (k)),
+ls AS (SELECT y AS c, k, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS squares FROM lv GROUP BY 1, 2),
+lm AS (SELECT lv.*, c, squares, n - CASE WHEN y = c THEN 1 ELSE 0 END AS m, mean,
+    CASE WHEN y = c THEN (mean * n - x) / greatest(n - 1, 1) ELSE mean END AS mean_left FROM lv JOIN ls USING (k)),
+lf AS (SELECT *, greatest((squares - CASE WHEN y = c THEN (x - mean) * (x - mean_left) ELSE 0 END) / greatest(m, 1), 0) + 1e-9 AS v FROM lm WHERE m > 0),
+lg_ AS (SELECT recording_id, y, c, k, ln(m) + sum(-0.5 * ln(v) - (x - mean_left) * (x - mean_left) / (2 * v)) OVER (PARTITION BY recording_id, c ORDER BY k) AS score FROM lf),
+lp AS (SELECT recording_id, k AS n_features, y AS y_true, c AS y_pred FROM lg_ QUALIFY row_number() OVER (PARTITION BY recording_id, k ORDER BY score DESC, c) = 1),
+la AS (SELECT n_features, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM lp GROUP BY 1)"""]
 
 
 @query("L13_cross_validate", "model is_best", "accuracy f1_macro", "")
 def l13(spark, sf):
-    models = {"random_forest": {"numTrees": 10}, "logistic_regression": {"maxIter": 20}}
-    return ml.cross_validate(dataset(spark, sf), "trial", CV_NAMES, models, folds=3)
+    """Every row left out once where summed statistics allow it; trees and iterated models by three folds; all features."""
+    data = dataset(spark, sf)
+    models = {"random_forest": {}, "svm": {}, "logistic_regression": {}}
+    fitted = ml.cross_validate(data, "trial", LOO_NAMES, models, folds=3).drop("is_best")
+    return ml.marked_best(fitted.unionByName(loo.validate(data, "trial", LOO_NAMES)))
+
+
+@query("L13_leave_one_out", R + " y_true y_pred", "", "n_features", LEFT_OUT, "lp")
+def l13_rows(spark, sf):
+    """The class of every recording by a naive Bayes model of all others, for every number of features."""
+    return loo.naive_bayes(dataset(spark, sf), "trial", LOO_NAMES)
 
 
 @query("L14_confusion_matrix", "y_true y_pred", "", "n", [PREDICTED], "(SELECT y_true, y_pred, count(*) AS n FROM pr GROUP BY ALL)")
@@ -164,9 +191,12 @@ def l15(spark, sf):
     return ml.misclassified(rule_predictions(spark, sf))
 
 
-@query("L16_feature_ablation", "sufficient", "accuracy", "n_features")
+@query("L16_feature_ablation", "sufficient", "accuracy", "n_features", LEFT_OUT,
+       """(SELECT *, n_features = min(n_features) FILTER (accuracy >= 0.95 * best) OVER () AS sufficient
+  FROM (SELECT *, max(accuracy) OVER () AS best FROM la))""")
 def l16(spark, sf):
-    return ml.feature_ablation(dataset(spark, sf), "trial", CV_NAMES, [1, 2, 4], "random_forest", folds=2, numTrees=5)
+    """Every number of features, each recording left out once, from one set of sums."""
+    return loo.ablation(dataset(spark, sf), "trial", LOO_NAMES)
 
 
 @query("L17_pca", "reaches_90", "explained_ratio cumulative_ratio", "component")
@@ -175,6 +205,13 @@ def l17(spark, sf):
     return ml.pca(data, ml.numeric_features(ml.drop_constant_features(data, ml.numeric_features(data))))[0]
 
 
+@query("L17_pca_loadings", "feature", "loading", "component rank")
+def l17_loadings(spark, sf):
+    """The 15 largest loadings of the first two components."""
+    data = dataset(spark, sf)
+    return ml.pca(data, ml.numeric_features(ml.drop_constant_features(data, ml.numeric_features(data))))[1]
+
+
 @query("L18_drop_constant_features", R, "valid_ratio path_length", "", [sql.GAZE, sql.VELOCITY],
        "(SELECT recording_id, avg(CAST(valid AS DOUBLE)) AS valid_ratio, sum(step_px) AS path_length FROM v GROUP BY 1)")
 def l18(spark, sf):
@@ -192,15 +229,26 @@ def l19(spark, sf):
     return ml.dedupe(spark.read.parquet(f"{sf}/events.parquet"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@query("M6_modality_comparison", "modality", "accuracy f1_macro", "feature_count")
+@query("M6_modality_comparison", "modality", "accuracy f1_macro accuracy_delta f1_macro_delta", "feature_count")
 def m6(spark, sf):
-    """Gaze features alone and together with heart-rate features."""
+    """Gaze features alone and together with heart-rate features, and what the latter add."""
     data = dataset(spark, sf)
-    gaze = [c for c in ml.numeric_features(data)]
+    gaze = ml.numeric_features(data)
     both = materialize(data.join(ft.heart_rate_features(lay_out(heart_rate(spark, sf))), R, "left"), "gaze_and_heart")
-    out = None
-    for name, df, names in (("gaze_only", data, gaze), ("gaze_plus_heart_rate", both, ml.numeric_features(both))):
-        fitted = ml.train_model(df, "trial", feature_columns=names)
-        one = fitted.metrics.select(F.lit(name).alias("modality"), "accuracy", "f1_macro", F.lit(len(names)).alias("feature_count"))
-        out = one if out is None else out.union(one)
-    return out
+    return ml.compare_modalities({"gaze_only": (data, gaze), "gaze_plus_heart_rate": (both, ml.numeric_features(both))}, "trial")
+
+
+@query("M6_modality_leave_one_out", "modality", "accuracy accuracy_delta", "", [*LEFT_OUT[:-2], HEART, HEART_FEATURES, "lx AS (" + " UNION ALL ".join(
+    [f"SELECT recording_id, trial AS y, {k} AS k, coalesce(CAST({c} AS DOUBLE), 0) AS x FROM ff JOIN rec USING (recording_id) LEFT JOIN hf USING (recording_id)"
+     for k, c in enumerate([*LOO_NAMES, *HEART_NUM.split()], 1)]) + ")", LEFT_OUT[-1]], f"""(SELECT 'gaze_only' AS modality, accuracy, 0.0 AS accuracy_delta FROM la WHERE n_features = {len(LOO_NAMES)}
+  UNION ALL SELECT 'gaze_plus_heart_rate', accuracy, accuracy - (SELECT accuracy FROM la WHERE n_features = {len(LOO_NAMES)}) FROM la
+  WHERE n_features = {len(LOO_NAMES) + len(HEART_NUM.split())})""")
+def m6_left_out(spark, sf):
+    """The same with every recording left out once: gaze features are a prefix of all features."""
+    both = dataset(spark, sf).join(ft.heart_rate_features(lay_out(heart_rate(spark, sf))), R, "left")
+    found = loo.scores(loo.naive_bayes(materialize(both, "gaze_and_heart"), "trial", [*LOO_NAMES, *HEART_NUM.split()]))
+    gaze, whole = len(LOO_NAMES), len(LOO_NAMES) + len(HEART_NUM.split())
+    named = found.filter(F.col("n_features").isin(gaze, whole)).withColumn("modality", F.when(F.col("n_features") == gaze, "gaze_only").otherwise("gaze_plus_heart_rate"))
+    base = F.max(F.when(F.col("n_features") == gaze, F.col("accuracy")))
+    one = named.agg(base.alias("_base")).withColumn("_k", F.lit(1))
+    return named.withColumn("_k", F.lit(1)).join(one, "_k").withColumn("accuracy_delta", F.col("accuracy") - F.col("_base"))

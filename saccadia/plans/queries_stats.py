@@ -166,6 +166,12 @@ def t12(spark, sf):
     return stats.compare_conditions(two_conditions(spark, sf), METRICS, test="nonparametric", conditions=TWO)
 
 
+@query("T12_forced_parametric", "metric test_name", "statistic df effect_size", "n", [*LONG_CTES, WELCH],
+       "(SELECT *, '独立样本 t 检验' AS test_name FROM wt)")
+def t12_parametric(spark, sf):
+    return stats.compare_conditions(two_conditions(spark, sf), METRICS, test="parametric", conditions=TWO)
+
+
 CORR = "cr AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {i} AS oa, {j} AS ob, corr({a}, {b}) AS r FROM sm" for i, a in enumerate(METRICS) for j, b in enumerate(METRICS)) + ")"
 
