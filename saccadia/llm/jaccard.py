@@ -2,7 +2,8 @@
 
 The distance 1 - J of two sets of word n-grams is a metric; texts link at most ``1 - percent / 100`` apart.
 
-1. Equal sets are one point (their texts are linked anyway).
+1. Equal sets are one point (their texts are linked anyway). A set with more than ``100 - percent`` of a hundred of its n-grams
+   in no other text is farther than the threshold from every other and leaves the search (``sift``); what is left is sifted again.
 2. Two texts that have little in common are about 1 apart, and so is each from any pivot that is a text: with such
    pivots alone every window would reach over all regions. The first regions are therefore made in projections. The empty
    set as a pivot gives rings of sizes; by the triangle inequality a partner is at most ``percent`` times smaller, and points
@@ -42,6 +43,8 @@ RING = 1.3
 #: N-grams that one task holds; larger families are dealt to blocks of half of it.
 WEIGHT = 3_000_000
 LEAF, PIVOTS = 48, 6
+#: In place of a text's number: several texts.
+SEVERAL = np.int64(-1)
 #: Rows of three numbers that are sent to all machines at most, about 50 MB.
 FEW = 2_000_000
 
@@ -190,6 +193,75 @@ def near_points(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return sent.repartition("region").sortWithinPartitions("region", "node").mapInArrow(stars, "a long, b long").distinct()
 
 
+def _share(percent: int) -> float:
+    """The part of all n-grams that the first sifting looks at: two and a half times what a linked set may have for itself."""
+    return min(1.0, 2.5 * (100 - percent) / 100)
+
+
+def lone_grams(rows: DataFrame, n: int, share: float) -> DataFrame:
+    """(row, lone): how many n-grams of a text no other text has, among those with hashes in the given share of all.
+
+    An n-gram that several texts of a batch have is sent once, without a text, so what very many texts share does not gather in one
+    task. Hashes are sent with 48 bits: two n-grams that meet by chance count as shared, which never takes a text out.
+    """
+    def emit(batches):
+        for batch in batches:
+            grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            numbers = batch.column(0).to_numpy()
+            for t in arrays.texts(batch.column(1)):
+                r, g = shingles(t, n)
+                g = arrays.mix(g ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(16)
+                looked_at = g < np.uint64(share * (1 << 48))
+                grams.append(g[looked_at])
+                owners.append(numbers[t.first:t.first + t.rows][r[looked_at]])
+            gram, owner = np.concatenate(grams), np.concatenate(owners)
+            order = np.argsort(gram, kind="stable")
+            gram, owner = gram[order].astype(np.int64), owner[order]
+            first, several = _runs(gram)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(np.where(several, SEVERAL, owner[first]))], names=["gram", "row"])
+
+    def lone(batches):
+        gram, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the n-gram that the next batch may go on with
+        for batch in batches:
+            gram, owner = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((gram, owner)))
+            if not len(gram):
+                continue
+            first, several = _runs(gram)
+            heads = np.where(several, SEVERAL, owner[first])
+            yield found(heads[:-1])
+            gram, owner = gram[first[-1:]], heads[-1:]
+        yield found(owner)
+
+    def found(owner):
+        row, count = np.unique(owner[owner != SEVERAL], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(count)], names=["row", "lone"])
+
+    sent = rows.select("row", "text").mapInArrow(emit, "gram long, row long")
+    counted = sent.repartition("gram").sortWithinPartitions("gram").mapInArrow(lone, "row long, lone long")
+    return counted.groupBy("row").agg(F.sum("lone").alias("lone"))
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and whether it has several."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(sorted_))) > 1
+
+
+def sift(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The points (row, a, b, size) of ``found`` that can have a partner, one row of each.
+
+    Linked sets x and y have ``100 |x & y| >= percent |x | y| >= percent |x|``, so x has at least ``percent`` of a hundred of its
+    n-grams in common with others. The first pass looks at a share of all n-grams, the second at all n-grams of what is left.
+    """
+    left = found.filter("size > 0")
+    for share in dict.fromkeys((_share(percent), 1.0)):
+        counted = left.select("row", "size", "a", "b").join(lone_grams(rows, n, share), "row", "left")
+        left = storage.written(counted.filter(100 * F.coalesce("lone", F.lit(0)) <= (100 - percent) * F.col("size")).drop("lone"), "left")
+        storage.let_go(rows.sparkSession)
+        rows = with_few(rows, left.select("row"), "row")
+    return storage.written(left.groupBy("a", "b", "size").agg(F.min("row").alias("row")), "left")
+
+
 def with_few(big: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join with a stored table: sent to all machines if it is counted and found to be at most ``FEW`` rows, else shuffled."""
     return big.join(F.broadcast(few) if few.count() <= FEW else few, on, how)
@@ -294,8 +366,9 @@ def _elements(texts: DataFrame, n: int) -> DataFrame:
 
 def links(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that tie together all linked points of ``found``, as numbers of one row of each point."""
-    family = components(near_points(rows, n, percent)).select(F.col("node").alias("a"), F.col("component").alias("family"))
-    classes = found.filter("size > 0").groupBy("a", "b", "size").agg(F.min("row").alias("row"))
+    classes = sift(found, rows, n, percent)
+    near = near_points(with_few(rows, classes.select("row"), "row"), n, percent)
+    family = components(near).select(F.col("node").alias("a"), F.col("component").alias("family"))
     family = classes.join(family, "a").select("row", "size", "family")
     weights = family.groupBy("family").agg(F.sum("size").alias("weight"))
     half = F.ceil(F.col("weight") / (WEIGHT // 2)).cast("long")

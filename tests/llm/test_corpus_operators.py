@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from saccadia.llm import components, graph_index, jaccard, lines, substrings
+from saccadia.llm import components, graph_index, jaccard, lines, storage, substrings
 
 SF = "/root/testdata/sf0.001"
 
@@ -193,3 +193,21 @@ def test_inner_products_of_unequal_lengths():
     got, _ = graph_index.beam_search(full, graph, start, np.column_stack([q, np.zeros(50)]).astype(np.float32), graph_index.SEARCH_BEAM)
     best = np.argsort(-(q @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a[:60].tolist()) & set(b.tolist())) / 20 for a, b in zip(got, best)]) >= 0.9
+
+
+def test_sift(docs, spark, n=5, percent=80):
+    """No text with a partner leaves, and every text that stays has enough n-grams that others have too."""
+    rows = jaccard.numbered(storage.stable(docs), "doc_id", "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        left = {r.row for r in jaccard.sift(jaccard.points(rows, n), rows, n, percent).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = {r.row: r.text for r in rows.select("row", "text").collect()}
+    sets = {k: frozenset(brute.shingles(t, n)) for k, t in texts.items()}
+    owners = collections.Counter(g for s in sets.values() for g in s)
+    could = {s: 100 * sum(owners[g] > 1 for g in s) >= percent * len(s) for s in set(sets.values()) if s}
+    stays = {sets[k] for k in left}
+    assert len(stays) == len(left) and all(could[s] for s in stays)
+    linked = {s for s in could for o in could if s != o and 100 * len(s & o) >= percent * len(s | o)}
+    assert linked <= stays
