@@ -6,8 +6,11 @@ nearer to, by a factor ``alpha``, than the new vector is, and goes on with the n
 lists are pruned again. Queries go through every shard by beam search, and the nearest of all shards are scored exactly.
 
 The largest inner product becomes the smallest distance by one more coordinate, which gives all vectors of a shard the same
-length. A shard holds vectors of one band of lengths (the longest is at most 16 times the shortest) and is scaled to length 1, so a
-few very long vectors take no precision from the others, and no square overflows.
+length. A shard holds vectors of one band of lengths (the longest is at most 1.15 times the shortest), so that coordinate stays small
+beside the others, and is scaled to length 1, so no square overflows.
+
+Each shard is sent once for 65,536 queries, and blocks of queries stream past it in order; a task holds one shard and one batch of blocks.
+A shard of at most ``SMALL`` vectors has no graph: all of it is scored.
 
 Rows with equal vectors are one point of the graph, with their ``k + 1`` smallest ids (no query can need more), so copies
 crowd no graph and no task. Defined cases: null vectors, zero vectors and those that hold null or a non-finite component
@@ -25,11 +28,14 @@ from pyspark.sql import functions as F
 
 from saccadia.llm import storage
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
+#: The longest vector of a shard is at most so many times the shortest.
+BAND = 1.15
 DEGREE, BEAM, SEARCH_BEAM, ALPHA, BATCH = 32, 64, 128, 1.2, 512
 #: Shards up to this size are searched in full.
 SMALL = 256
-QUERY_BLOCK = 1024
+#: Queries of a block, and blocks that pass one copy of a shard.
+QUERY_BLOCK, LANE = 1024, 64
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +72,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarra
 
 
 def robust_prune(x: np.ndarray, centres: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """For each centre, of its candidates (-1: none) those kept, nearest first."""
+    """For each centre, of its candidates (-1: none) those kept, nearest first, then the nearest others while there is room."""
     vectors = x[candidates]
     to_centre = ((vectors - x[centres][:, None, :]) ** 2).sum(2)
     left = (candidates >= 0) & (candidates != centres[:, None])
@@ -74,15 +80,29 @@ def robust_prune(x: np.ndarray, centres: np.ndarray, candidates: np.ndarray, deg
     between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1))
     kept = np.full((len(centres), degree), -1, np.int64)
     rows = np.arange(len(centres))
+    others = left.copy()
     for k in range(degree):
         near = np.where(left, to_centre, np.inf)
         pick = near.argmin(axis=1)
         open_ = np.isfinite(near[rows, pick])
         if not open_.any():
             break
-        kept[open_, k] = candidates[rows, pick][open_]
+        taken = candidates[rows, pick]
+        kept[open_, k] = taken[open_]
         left &= ~((alpha * alpha * between[rows, pick] <= to_centre) & open_[:, None])
         left[rows, pick] = False
+        others &= ~((candidates == taken[:, None]) & open_[:, None])
+    room = (kept < 0).sum(1)
+    for _ in range(int(room.max(initial=0))):
+        near = np.where(others, to_centre, np.inf)
+        pick = near.argmin(axis=1)
+        open_ = np.isfinite(near[rows, pick]) & (room > 0)
+        if not open_.any():
+            break
+        taken = candidates[rows, pick]
+        kept[rows[open_], degree - room[open_]] = taken[open_]
+        others &= ~(candidates == taken[:, None])
+        room -= open_
     return kept
 
 
@@ -105,7 +125,8 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, new: np.ndarray, alpha: float
     coming = np.full((len(nodes), width), -1, np.int64)
     ok = nth < width
     coming[np.repeat(np.arange(len(nodes)), counts)[ok], nth[ok]] = source[ok]
-    merged = np.concatenate([graph[nodes], coming], axis=1)
+    merged = -np.sort(-np.concatenate([graph[nodes], coming], axis=1), axis=1)
+    merged[:, 1:][merged[:, 1:] == merged[:, :-1]] = -1  # edges that were there
     fits = have + counts <= degree
     if fits.any():
         part = -np.sort(-merged[fits], axis=1)[:, :degree]
@@ -115,8 +136,44 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, new: np.ndarray, alpha: float
             graph[nodes[chunk]] = robust_prune(x, nodes[chunk], merged[chunk], degree, alpha)
 
 
+def _reached(graph: np.ndarray, start: int) -> np.ndarray:
+    """Which points can be walked to."""
+    seen = np.zeros(len(graph), bool)
+    seen[start] = True
+    edge = np.array([start])
+    while len(edge):
+        near = np.unique(graph[edge])
+        edge = near[(near >= 0) & ~seen[near]]
+        seen[edge] = True
+    return seen
+
+
+def _tie_in(x: np.ndarray, graph: np.ndarray, start: int, beam: int) -> np.ndarray:
+    """The graph with columns of further edges, until every point can be walked to.
+
+    A round gives each point that is left out an edge from the nearest point that its search finds and that has none new in this
+    round; at least one point is tied in a round, and what it leads to with it.
+    """
+    while True:
+        out = np.flatnonzero(~_reached(graph, start))
+        if not len(out):
+            return graph
+        extra = np.full(len(graph), -1, np.int64)
+        for part in np.array_split(out, -(-len(out) // BATCH)):
+            found, _ = beam_search(x, graph, start, x[part], beam)
+            for point, near in zip(part.tolist(), found):
+                free = near[(near >= 0) & (extra[near] < 0)]
+                if len(free):
+                    extra[free[0]] = point
+        graph = np.column_stack([graph, extra])
+
+
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
-    """The graph (a row of neighbours for each point, -1 for none) and the point where searches start."""
+    """The graph (a row of neighbours for each point, -1 for none) and the point where searches start.
+
+    Points are put in by batches; then each is searched for once more in the whole graph and its list pruned again; then points
+    that no walk from the start reaches are tied in.
+    """
     n = len(x)
     start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     order = np.random.default_rng(seed).permutation(n)
@@ -131,7 +188,12 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
         graph[new] = robust_prune(x, new, found, degree, alpha)
         _add_reverse(x, graph, new, alpha)
         done += len(new)
-    return graph, start
+    for at in range(0, n, BATCH):
+        again = order[at:at + BATCH]
+        found, _ = beam_search(x, graph, start, x[again], beam)
+        graph[again] = robust_prune(x, again, np.concatenate([found, graph[again]], axis=1), degree, alpha)
+        _add_reverse(x, graph, again, alpha)
+    return _tie_in(x, graph, start, beam), start
 
 
 def usable(vector: Column) -> Column:
@@ -173,7 +235,7 @@ def index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard: its vectors, their hashes, the graph. Every distinct vector is in one shard."""
     distinct = points.groupBy("a", "b").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).withColumn("most", F.array_max(F.transform("v", F.abs)))
     squares = F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / F.col("most")) * (c / F.col("most")))
-    band = F.round((F.log2("most") + F.log2(squares) / 2) / 4).cast("int")  # the length as a power of 16
+    band = F.round((F.log2("most") + F.log2(squares) / 2) / np.log2(BAND).item()).cast("int")  # the length as a power of BAND
     distinct = storage.written(distinct.withColumn("band", band).drop("most"), "vectors")
     sizes = distinct.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))  # a few rows
     before = F.coalesce(F.sum("shards").over(Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -201,29 +263,38 @@ def index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return storage.written(placed.groupBy("dim", "shard").applyInArrow(grow, schema), "graphs")
 
 
-def _search_row(row: dict, k: int, beam: int) -> pa.RecordBatch:
-    v = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-    q = np.frombuffer(row["queries"], "<f8").reshape(-1, row["dim"])
-    a, b, ids = (np.frombuffer(row[c], "<i8") for c in ("a", "b", "ids"))
-    if len(v) <= SMALL:
-        found = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
-    else:
-        x = np.column_stack([_scaled(v), np.frombuffer(row["rest"], "<f8")]).astype(np.float32)
-        graph = np.frombuffer(row["graph"], "<i4").reshape(len(v), -1).astype(np.int64)
-        flat = np.column_stack([_directions(q), np.zeros(len(q))]).astype(np.float32)
-        found, _ = beam_search(x, graph, row["start"], flat, beam)
-    with np.errstate(over="ignore", invalid="ignore"):
-        score = np.einsum("qkd,qd->qk", v[found], q)
-        if not np.isfinite(score).all():  # beyond the largest double: infinite, with the sign of the product
-            signs = np.einsum("qkd,qd->qk", _directions(v)[found], _directions(q))
-            score = np.where(np.isfinite(score), score, np.sign(signs) * np.inf)
-    score[found < 0] = -np.inf
-    take = np.argsort(-score, axis=1, kind="stable")[:, :k + 1]
-    rows = np.arange(len(q))[:, None]
-    found, score = found[rows, take], score[rows, take]
-    ok = found >= 0
-    n = np.repeat(ids[:, None], found.shape[1], axis=1)[ok]
-    return pa.RecordBatch.from_arrays([pa.array(n), pa.array(a[found[ok]]), pa.array(b[found[ok]]), pa.array(score[ok])], names=["query_id", "a", "b", "score"])
+class _Shard:
+    """A shard that blocks of queries are searched in."""
+
+    def __init__(self, row: dict):
+        self.dim = row["dim"]
+        self.v = np.frombuffer(row["vectors"], "<f8").reshape(-1, self.dim)
+        self.a, self.b = np.frombuffer(row["a"], "<i8"), np.frombuffer(row["b"], "<i8")
+        if len(self.v) > SMALL:
+            self.x = np.column_stack([_scaled(self.v), np.frombuffer(row["rest"], "<f8")]).astype(np.float32)
+            self.graph = np.frombuffer(row["graph"], "<i4").reshape(len(self.v), -1).astype(np.int64)
+            self.start = row["start"]
+
+    def search(self, ids: bytes, queries: bytes, k: int, beam: int) -> pa.RecordBatch:
+        v, ids, q = self.v, np.frombuffer(ids, "<i8"), np.frombuffer(queries, "<f8").reshape(-1, self.dim)
+        if len(v) <= SMALL:
+            found = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
+        else:
+            flat = np.column_stack([_directions(q), np.zeros(len(q))]).astype(np.float32)
+            found, _ = beam_search(self.x, self.graph, self.start, flat, beam)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("qkd,qd->qk", v[found], q)
+            if not np.isfinite(score).all():  # beyond the largest double: infinite, with the sign of the product
+                signs = np.einsum("qkd,qd->qk", _directions(v)[found], _directions(q))
+                score = np.where(np.isfinite(score), score, np.sign(signs) * np.inf)
+        score[found < 0] = -np.inf
+        take = np.argsort(-score, axis=1, kind="stable")[:, :k + 1]
+        rows = np.arange(len(q))[:, None]
+        found, score = found[rows, take], score[rows, take]
+        ok = found >= 0
+        n = np.repeat(ids[:, None], found.shape[1], axis=1)[ok]
+        columns = [pa.array(n), pa.array(self.a[found[ok]]), pa.array(self.b[found[ok]]), pa.array(score[ok])]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "a", "b", "score"])
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -238,19 +309,27 @@ def search(shards: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEA
             number = F.when(dim == d, F.lit(n).cast("long")).otherwise(number)
         return number
 
-    # both sides carry (dim, shard, block), so the work of one block on one shard is one row in one task
+    def each(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
     q = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(pick(blocks, F.col("dim")), F.lit(1).cast("long"))))
     packed = q.groupBy("dim", "block").applyInArrow(_pack_queries, "dim int, block long, ids binary, queries binary")
-    n_shards = pick(counts, F.col("dim"))
-    packed = packed.withColumn("n", n_shards).filter("n > 0").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
-    n_blocks = pick(blocks, F.col("dim"))
-    spread = shards.withColumn("n", n_blocks).filter("n > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
-    work = spread.join(packed, ["dim", "shard", "block"])
+    packed = packed.withColumn("n", pick(counts, F.col("dim"))).filter("n > 0").withColumn("shard", each(F.col("n"))).drop("n")
+    packed = packed.withColumn("lane", F.floor(F.col("block") / LANE))
+    lanes = F.ceil(pick(blocks, F.col("dim")) / LANE)
+    sent = shards.withColumn("n", lanes).filter("n > 0").withColumn("lane", each(F.col("n"))).withColumn("block", F.lit(-1).cast("long")).drop("n")
+    # a shard comes first, then its blocks; one shard and lane is the work of one task
+    work = sent.unionByName(packed, allowMissingColumns=True).repartition("dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "block")
 
     def run(batches):
+        shard = None
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _search_row(row, k, beam)
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["block"] < 0:
+                    shard = _Shard(row)
+                else:
+                    yield shard.search(row["ids"], row["queries"], k, beam)
 
     return work.mapInArrow(run, "query_id long, a long, b long, score double")
 
