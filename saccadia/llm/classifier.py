@@ -2,12 +2,12 @@
 
 A text becomes a sparse vector of 2**18 places: its words, pairs of words, the shapes of its words (capitals, marks at the
 ends, length) and pairs of these, and three-word runs that it has had before. Each kind's counts are divided by the number
-of words. The model is fitted on at most ``most_rows`` labelled rows, chosen by a hash of their key, streamed ``passes`` times
+of words. The model is fitted on at most ``most_rows`` labelled texts, chosen by a hash of their key, streamed ``passes`` times
 through one task, whose memory is the model's; every text is then scored in parallel as a sparse dot product.
 
 Defined cases: a null or empty text has the constant term alone, and is scored like any other. A key with several labels
-takes the lowest. Rows with a null key or label are not learnt from; a null key counts as held out. Repeated rows are
-scored each. Other columns are not read. With no labelled row every score is 0.5; an empty table gives an empty result.
+takes the lowest, and one with several texts is learnt from with each, within the bound; repeated rows are learnt from once. Rows
+with a null key or label are not learnt from; a null key counts as held out. Repeated rows are scored each. Other columns are not read. With no labelled row every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from saccadia.llm import arrays
 
 PLACES = 1 << 18
-#: The most labelled rows that the model is fitted on.
+#: The most labelled texts that the model is fitted on.
 MOST_ROWS = 12_000
 PASSES = 4
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 1e-4, 1e-4
@@ -97,12 +97,17 @@ def held_out(key: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS,
         passes: int = PASSES) -> np.ndarray:
-    """The weights. The chosen labels are at most ``most_rows`` rows, so they are sent to all machines."""
+    """The weights. At most ``most_rows`` keys, then texts, are chosen by narrow rows, which are sent to all machines."""
     chosen = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
     chosen = chosen.filter(F.col("key").isNotNull() & F.col("label").isNotNull() & ~held_out("key"))
     chosen = chosen.groupBy("key").agg(F.min("label").alias("label"), F.xxhash64("key").alias("order"))
     chosen = chosen.orderBy("order", "key").limit(most_rows)
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "key")
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit(1), "text"))
+    # a key may be on any number of rows: the bound is put on the texts too, before one is turned into a vector
+    picked = texts.join(F.broadcast(chosen), "key").groupBy("key", "a", "b").agg(F.min("label").alias("label"), F.min("order").alias("order"))
+    picked = picked.orderBy("order", "key", "a", "b").limit(most_rows)
+    rows = texts.join(F.broadcast(picked), ["key", "a", "b"]).dropDuplicates(["key", "a", "b"])
 
     def vectors(batches):
         for batch in batches:
@@ -114,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     batch.column(1).slice(t.first, t.rows), batch.column(2).slice(t.first, t.rows)], names=["places", "values", "label", "order"])
 
     sparse = rows.select("text", "label", "order").mapInArrow(vectors, "places binary, values binary, label int, order long")
-    # rows of equal texts and keys are alike, so their order does not matter
+    # at most passes * most_rows rows
     stream = sparse.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).repartition(1)
     stream = stream.sortWithinPartitions("pass", "order", "places").select("places", "values", "label")
 
