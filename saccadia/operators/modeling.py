@@ -241,6 +241,20 @@ def predict(fitted: Fitted, df: DataFrame) -> DataFrame:
     return fitted.model.transform(ready)
 
 
+def class_scores(fitted: Fitted, df: DataFrame) -> DataFrame:
+    """One row per row of ``df`` and class: its ``class`` and ``score``, beside the ``prediction``; for models with probabilities."""
+    if fitted.task != "classification":
+        raise ValueError("only a classification has scores of classes")
+    scored = predict(fitted, df)
+    if "probability" not in scored.columns:
+        raise ValueError(f"{fitted.model_name} gives no probabilities")
+    kept = [c for c in scored.columns if c in {*df.columns, "prediction"}]
+    classes = F.array(*[F.lit(c) for c in fitted.labels])
+    return scored.select(*kept, F.posexplode(vector_to_array("probability")).alias("_nth", "score")).select(
+        *kept, F.get(classes, F.col("_nth")).alias("class"), "score"
+    )
+
+
 def permutation_importance(fitted: Fitted, df: DataFrame, n_repeats: int = 10, seed: int = 42, ids: Sequence[str] = ("recording_id",)) -> DataFrame:
     """Mean and SD of the score lost when one feature is shuffled, largest first.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from saccadia.operators import modeling as ml
 from saccadia.plans import sql
+from saccadia.plans import sql_features as sf_
 from saccadia.plans.catalog import query
 from saccadia.plans.gaze_view import gaze_columns, raw_samples, recordings
 from saccadia.plans.queries_features import R
@@ -25,27 +26,48 @@ def stream(spark, sf):
     return gaze_columns(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-@query("S1_sliding_window_predictor", R + " prediction", "emit_ms duration_ms velocity_mean probability", "sample_count")
+@query("S1_sliding_window_predictor", R + " prediction class", "emit_ms duration_ms velocity_mean score", "sample_count")
 def s1(spark, sf):
-    """Buffers of 1.5 s every 250 ms, the full features of each, and a model trained on whole recordings."""
+    """Buffers of 1.5 s every 250 ms, all features of each, and the score of each class by a model trained on whole recordings."""
     from saccadia.operators.events import label_samples
     from saccadia.operators.features import extract_features
     from saccadia.plans.gaze_view import samples
 
     whole = samples(spark, sf)
-    features = extract_features(whole, label_samples(whole, "thresholds"), include_complexity=False)
+    features = extract_features(whole, label_samples(whole, "thresholds"))
     data = materialize(features.join(recordings(spark, sf).select(R, "trial"), R), "training")
-    names = ["fixation_count", "saccade_count", "velocity_mean", "x_mean", "y_mean", "pupil_mean"]
-    fitted = ml.train_model(data, "trial", model_name="logistic_regression", feature_columns=names)
+    fitted = ml.train_model(data, "trial", model_name="logistic_regression")
 
     def score(batch):
-        scored = ml.predict(fitted, stateful.buffer_features(batch, include_complexity=False))
-        return scored.select(R, "emit_ms", "duration_ms", "sample_count", "velocity_mean", "prediction",
-                             F.array_max(vector_to_array("probability")).alias("probability"))
+        scored = ml.class_scores(fitted, stateful.buffer_features(batch))
+        return scored.select(R, "emit_ms", "duration_ms", "sample_count", "velocity_mean", "prediction", "class", "score")
 
     return windows.run_to_table(stateful.sliding_buffers(windows.with_event_time(stream(spark, sf))), "predictor", transform=score)
 
 
+# from each sample that could be emitted at, the next one 250 ms on; the chain of them from the first
+BUFFERS = ["RECURSIVE " + sql.GAZE, """
+lo AS (SELECT *, min(i) OVER (PARTITION BY recording_id ORDER BY timestamp_ms RANGE BETWEEN 1500 PRECEDING AND CURRENT ROW) AS oldest FROM g),
+rdy AS (SELECT recording_id, timestamp_ms AS t, min(i) AS i FROM lo WHERE i - oldest >= 4 GROUP BY 1, 2),
+nxt AS (SELECT recording_id, i, min(t) OVER later AS t2, min(i) OVER later AS i2 FROM rdy
+  WINDOW later AS (PARTITION BY recording_id ORDER BY t RANGE BETWEEN 250 FOLLOWING AND UNBOUNDED FOLLOWING)),
+em AS (SELECT recording_id, min(t) AS t, min(i) AS i FROM rdy GROUP BY 1
+  UNION ALL SELECT nxt.recording_id, nxt.t2, nxt.i2 FROM em JOIN nxt ON nxt.recording_id = em.recording_id AND nxt.i = em.i WHERE nxt.i2 IS NOT NULL),
+bg AS (SELECT em.recording_id || '|' || em.i AS recording_id, em.recording_id AS stream, em.t AS emit_ms, g.sample_seq, g.timestamp_ms, g.x, g.y, g.pupil,
+    g.valid, CAST(NULL AS VARCHAR) AS event_label, g.i - lo.oldest AS i
+  FROM em JOIN lo ON lo.recording_id = em.recording_id AND lo.i = em.i JOIN g ON g.recording_id = em.recording_id AND g.i BETWEEN lo.oldest AND lo.i)""",
+           sql.velocity("bv", "bg"), sql.runs("br", "bv", sql.kind_of()), sql.events("be", "br"), *sf_.all_features("bf", "bv", "be"),
+           "bo AS (SELECT e.stream AS recording_id, e.emit_ms, bf.* EXCLUDE (recording_id) FROM bf JOIN (SELECT DISTINCT recording_id, stream, emit_ms FROM bg) e "
+           "ON e.recording_id = bf.recording_id)"]
+
+
+@query("S1_buffer_features", R, "emit_ms " + sf_.ALL_NUM, sf_.COUNTS, BUFFERS, "bo")
+def s1_features(spark, sf):
+    """All features of every emitted buffer."""
+    buffers = stateful.sliding_buffers(windows.with_event_time(stream(spark, sf)))
+    return windows.run_to_table(buffers, "buffers", transform=stateful.buffer_features)
+
+
 SLIDING = """
 ww AS (SELECT g.*, floor(timestamp_ms * 1000) AS us, k FROM g, range(6) r(k)),
 sl AS (SELECT recording_id, (floor(us / 250000) - k) * 250.0 AS window_start_ms, count(*) AS sample_count, avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END) AS valid_ratio,
