@@ -66,8 +66,14 @@ def _places(df: DataFrame) -> tuple[Column, Column]:
     return place["file_path"], place["row_index"]
 
 
+def _overlap(paths: list[str]) -> bool:
+    """Whether a path is given twice, or lies in another; then rows are read twice from one place."""
+    folders = sorted(f"{p}/" for p in paths)
+    return any(b.startswith(a) for a, b in zip(folders, folders[1:]))
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """``df`` itself if it reads whole stored files whose rows have places of their own, else a stored copy of it.
+    """``df`` itself if it reads whole stored files, each once, whose rows have places of their own, else a stored copy of it.
 
     Operators number the rows they read and read them again; joins and shuffles may bring rows in another order each time.
     """
@@ -75,7 +81,7 @@ def stable(df: DataFrame) -> DataFrame:
         children = plan.children()
         if plan.nodeName() == "Project" and plan.deterministic():
             return reads_only(children.apply(0))
-        return plan.nodeName() == "LogicalRelation"
+        return plan.nodeName() == "LogicalRelation" and not _overlap(plan.relation().location().rootPaths().mkString("\n").split("\n"))
 
     try:
         df.select(*_places(df))

@@ -1,6 +1,7 @@
 """Row numbers that stay when files are split otherwise between two reads."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from saccadia.llm import jaccard, lines, storage, substrings, token_counts
 
@@ -53,3 +54,20 @@ def test_counts_over_several_files_in_a_task(files, spark):
 def test_stable_copies_what_has_no_places(files, spark):
     assert storage.stable(files) is files
     assert storage.stable(files.filter("doc_id > 5")) is not None and storage.stable(spark.range(3)).count() == 3
+
+
+def test_a_path_given_twice(files, spark):
+    name = files.inputFiles()[0]
+    once = spark.read.parquet(name)
+    folder = name.rsplit("/", 1)[0]
+    for table, rows in ((spark.read.parquet(name, name), 2 * once.count()), (spark.read.parquet(folder, name), files.count() + once.count())):
+        numbers = storage.numbered(storage.stable(table), F.col("text"))
+        assert numbers.count() == numbers.select("row").distinct().count() == rows
+    want = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(once).collect()}
+    got = token_counts.count_tokens(spark.read.parquet(name, name)).collect()
+    assert len(got) == 2 * once.count() and all(r.n_tokens == want[r.doc_id] for r in got)
+
+
+def test_paths_that_overlap():
+    assert storage._overlap(["s3a://a/t", "s3a://a/t"]) and storage._overlap(["/a/t.parquet", "/b", "/a"])
+    assert not storage._overlap(["/a/t", "/a/t2", "/a/t-1"]) and not storage._overlap(["/a"])
