@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saccadia.functions.ordered import is_split, join_recording, ordinal, settle, with_recording_values
 from saccadia.functions.ranks import recording_quantiles
 from saccadia.schema import BLOCK, KEY
 
+#: Maps of one Arrow batch on its way out of a task.
+MAPS_PER_BATCH = 64
+
 
 def gaze_histogram(samples: DataFrame, bins: int = 40) -> DataFrame:
     """Counts of valid samples in equal bins over the recording's own extent; empty cells are absent."""
@@ -52,69 +55,174 @@ def padded_extent(samples: DataFrame) -> DataFrame:
     )
 
 
-def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma: float | None = None) -> DataFrame:
-    """Gaussian sum of weighted seeds on a ``bins`` × ``bins`` grid of every recording with seeds.
-
-    Each batch of seeds is turned into partial grids of its recordings (one matrix product
-    per recording and batch); the partial rows are then added up by Spark, so the seeds of
-    one recording may lie in any number of tasks.
+def _rows(column: pa.Array) -> Iterator[np.ndarray]:
+    for k in range(len(column)):
+        yield column[k].values.to_numpy(zero_copy_only=False)
+
+
+def _packed(keys: list, layers: dict[str, list[np.ndarray]], width: int, name: str = KEY) -> pa.RecordBatch:
+    """Maps as rows: ``width`` and, per layer, the cells of a map one row of it after the other."""
+    columns = {name: pa.array(keys, pa.string()), "width": pa.array([width] * len(keys), pa.int32())}
+    for layer, maps in layers.items():
+        stops = np.cumsum([0, *(m.size for m in maps)])
+        columns[layer] = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate([m.ravel() for m in maps])))
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _summed(parts: Iterator[tuple[str, dict[str, np.ndarray]]], width: int) -> Iterator[pa.RecordBatch]:
+    """Adds up the parts of each map, which follow one another; one map is held, and those of a batch on their way out."""
+    keys, done, current, sums = [], {}, None, None
+    for key, found in parts:
+        if sums is not None and key == current:
+            sums = {n: sums[n] + found[n] for n in sums}
+            continue
+        if sums is not None:
+            keys.append(current)
+            for n, m in sums.items():
+                done.setdefault(n, []).append(m)
+            if len(keys) == MAPS_PER_BATCH:
+                yield _packed(keys, done, width)
+                keys, done = [], {}
+        current, sums = key, found
+    if sums is not None:
+        for n, m in sums.items():
+            done.setdefault(n, []).append(m)
+        yield _packed([*keys, current], done, width)
+
+
+def _together(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a map in one task, one after the other. The number is given as each small row becomes thousands of cells."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma: float | None = None, fixation_sigma: float | None = None) -> DataFrame:
+    """Gaussian sum of weighted seeds on a ``bins`` × ``bins`` grid of every recording with seeds, one row a map.
+
+    Seeds, not cells, are exchanged: those of a recording stream through one task that adds
+    them to its map (one matrix product per recording and batch). In the block layout each
+    block of a long recording gives a partial map, and these are added up after an exchange.
+    ``cells`` holds the map; with ``fixation_sigma`` there are also ``fixation_cells``, the density of seeds of equal
+    weight, and ``hits``, the number of seeds nearest to each cell, for ``map_vs_fixations``.
     """
-    block = [BLOCK] if is_split(seeds) else []
-    placed = join_recording(seeds.select(KEY, *block, "x", "y", "weight"), extent).drop(BLOCK)
-    schema = f"{KEY} string, gy int, cells array<double>"
-
-    def partial_grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gauss(part, w, sx, sy, xs, ys):
+        kx = np.exp(-((xs[None, :] - part["x"].to_numpy()[:, None]) ** 2) / (2 * sx * sx))
+        ky = np.exp(-((ys[None, :] - part["y"].to_numpy()[:, None]) ** 2) / (2 * sy * sy))
+        return (ky * w[:, None]).T @ kx
+
+    def hits(part, x0, x1, y0, y1):
+        gx, gy = ((part[c].to_numpy() - a) / (b - a) * (bins - 1) for c, a, b in (("x", x0, x1), ("y", y0, y1)))
+        known = ~(np.isnan(gx) | np.isnan(gy))
+        found = np.zeros((bins, bins))
+        np.add.at(found, tuple(np.clip(np.rint(g[known]), 0, bins - 1).astype(np.int64) for g in (gy, gx)), 1.0)
+        return found
+
+    def parts_of(batches):
         for batch in batches:
-            for key, part in batch.groupby(KEY, sort=False):
+            frame = batch.to_pandas()
+            for key, part in frame.groupby(KEY, sort=False):
                 x0, x1, y0, y1 = part[["x0", "x1", "y0", "y1"]].iloc[0]
                 xs, ys = np.linspace(x0, x1, bins), np.linspace(y0, y1, bins)
                 sx = sigma or max(max(x1 - x0, 1.0) * 0.032, 24.0)
                 sy = sigma or max(max(y1 - y0, 1.0) * 0.032, 24.0)
-                kx = np.exp(-((xs[None, :] - part["x"].to_numpy()[:, None]) ** 2) / (2 * sx * sx))
-                ky = np.exp(-((ys[None, :] - part["y"].to_numpy()[:, None]) ** 2) / (2 * sy * sy))
-                grid = (ky * part["weight"].to_numpy()[:, None]).T @ kx
-                yield pd.DataFrame({KEY: key, "gy": np.arange(bins), "cells": list(grid)})
-
-    partial = placed.mapInPandas(partial_grids, schema)
-    return (
-        partial.select(KEY, "gy", F.posexplode("cells").alias("gx", "_part"))
-        .groupBy(KEY, "gy", "gx")
-        .agg(F.sum("_part").alias("s"))
-    )
+                maps = {"cells": gauss(part, part["weight"].to_numpy(), sx, sy, xs, ys)}
+                if fixation_sigma:
+                    maps["fixation_cells"] = gauss(part, np.ones(len(part)), fixation_sigma, fixation_sigma, xs, ys)
+                    maps["hits"] = hits(part, x0, x1, y0, y1)
+                yield key, maps
 
+    layers = ["cells", *(["fixation_cells", "hits"] if fixation_sigma else [])]
+    schema = f"{KEY} string, width int, " + ", ".join(f"{n} array<double>" for n in layers)
 
-def attention_density(fixations: DataFrame, samples: DataFrame, bins: int = 140) -> DataFrame:
-    """Attention map per recording, its peak scaled to 1."""
-    grid = kernel_density(fixation_seeds(fixations), padded_extent(samples), bins)
-    peak = F.max("s").over(Window.partitionBy(KEY))
-    return grid.withColumn("s", F.coalesce(F.col("s") / F.nullif(peak, F.lit(0.0)), F.lit(0.0)))
+    def maps_from(df, *keys):
+        found = _together(df.select(KEY, *keys, "x", "y", "weight", "x0", "x1", "y0", "y1"), KEY, *keys)
+        return found.mapInArrow(lambda batches: _summed(parts_of(batches), bins), schema)
 
+    if not is_split(seeds):
+        return maps_from(join_recording(seeds, extent))
+    seeds = settle(seeds)
+    blocks = seeds.groupBy(KEY).agg(F.count_distinct(BLOCK).alias("_blocks"))
+    placed = settle(join_recording(seeds, blocks.join(extent, KEY, "left")))
+    partial = _together(maps_from(placed.filter("_blocks > 1"), BLOCK), KEY)
 
-def smooth_density(grid: DataFrame, passes: int = 3) -> DataFrame:
-    """Binomial blur (1 4 6 4 1)/16 along y, then x, per pass; outside the grid counts as 0.
+    def add_up(batches):
+        read = ((batch.column(0)[k].as_py(), dict(zip(layers, maps))) for batch in batches
+                for k, maps in enumerate(zip(*[_rows(batch.column(n)) for n in layers])))
+        return _summed(read, bins)
 
-    A grid has ``bins``² cells whatever the recording's length, so a recording's grid is
-    one partition key and all passes run after a single exchange.
-    """
-    weights = {-2: 1 / 16, -1: 4 / 16, 0: 6 / 16, 1: 4 / 16, 2: 1 / 16}
-    df = grid.repartition(KEY)
+    return maps_from(placed.filter("_blocks = 1")).union(partial.mapInArrow(add_up, schema))
+
+
+def to_cells(maps: DataFrame, image: str = KEY) -> DataFrame:
+    """One row per cell of each map: ``(image, gy, gx, s)``."""
+    cells = maps.select(image, "width", F.posexplode("cells").alias("_at", "s"))
+    return cells.select(image, F.expr("CAST(_at DIV width AS int)").alias("gy"), (F.col("_at") % F.col("width")).alias("gx"), "s")
+
+
+def to_maps(grid: DataFrame, image: str = KEY) -> DataFrame:
+    """Full grids of cells ``(image, gy, gx, s)`` as one row a map, the form the functions below take."""
+    cells = F.array_sort(F.collect_list(F.struct("gy", "gx", "s")))
+    return grid.groupBy(image).agg((F.max("gx") + 1).cast("int").alias("width"), cells.alias("_c")).select(image, "width", F.col("_c.s").alias("cells"))
+
+
+def _each_map(maps: DataFrame, change) -> DataFrame:
+    """Maps with ``change`` applied to the cells, a matrix; a map is small whatever it was made from."""
+    at = maps.columns.index("cells")
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, MAPS_PER_BATCH):
+                part = batch.slice(first, MAPS_PER_BATCH)
+                widths = part.column("width").to_pylist()
+                done = [change(m.reshape(-1, w)).ravel() for m, w in zip(_rows(part.column("cells")), widths)]
+                stops = np.cumsum([0, *(m.size for m in done)])
+                cells = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(done)))
+                yield part.set_column(at, "cells", cells)
+
+    return maps.mapInArrow(run, maps.schema)
+
+
+def percentile_of(values: np.ndarray, p: float) -> float:
+    """Linearly interpolated percentile of sorted values, as Spark's ``percentile`` computes it."""
+    place = (values.size - 1) * p
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    if low == high or values[low] == values[high]:
+        return values[low]
+    return (high - place) * values[low] + (place - low) * values[high]
+
+
+def attention_density(fixations: DataFrame, samples: DataFrame, bins: int = 140, fixation_sigma: float | None = None) -> DataFrame:
+    """Attention map per recording, its peak scaled to 1; see ``kernel_density`` for ``fixation_sigma``."""
+    def scaled(s):
+        peak = s.max()
+        return s / peak if peak else np.zeros_like(s)
 
-    def blur(w):
-        return sum(F.lit(k) * (F.col("s") if at == 0 else F.lag("s", -at, 0.0).over(w)) for at, k in weights.items())
+    return _each_map(kernel_density(fixation_seeds(fixations), padded_extent(samples), bins, fixation_sigma=fixation_sigma), scaled)
 
-    for _ in range(passes):
-        df = df.withColumn("s", blur(Window.partitionBy(KEY, "gx").orderBy("gy")))
-        df = df.withColumn("s", blur(Window.partitionBy(KEY, "gy").orderBy("gx")))
-    return df
 
+def smooth_density(maps: DataFrame, passes: int = 3) -> DataFrame:
+    """Binomial blur (1 4 6 4 1)/16 along y, then x, per pass; outside the grid counts as 0."""
+    weights = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
 
-def cut_low(grid: DataFrame, percentile: float = 0.18) -> DataFrame:
-    """Cells below the given percentile of the recording's positive cells become 0."""
-    positive = F.when(F.col("s") > 0, F.col("s"))
-    limit = F.percentile(positive, F.lit(percentile)).over(Window.partitionBy(KEY))
-    return grid.withColumn("_limit", limit).withColumn(
-        "s", F.when(F.col("s") < F.col("_limit"), 0.0).otherwise(F.col("s"))
-    ).drop("_limit")
+    def along_y(s):
+        wide = np.pad(s, ((2, 2), (0, 0)))
+        return sum(k * wide[at:at + len(s)] for at, k in enumerate(weights))
+
+    def blur(s):
+        for _ in range(passes):
+            s = along_y(along_y(s).T).T
+        return s
+
+    return _each_map(maps, blur)
+
+
+def cut_low(maps: DataFrame, percentile: float = 0.18) -> DataFrame:
+    """Cells below the given percentile of the map's positive cells become 0."""
+    def cut(s):
+        positive = np.sort(s[~(s <= 0)])
+        return np.where(s < percentile_of(positive, percentile), 0.0, s) if positive.size else s
+
+    return _each_map(maps, cut)
 
 
 def fixation_scanpath(fixations: DataFrame) -> DataFrame:
@@ -133,90 +241,92 @@ def fixation_scanpath(fixations: DataFrame) -> DataFrame:
     )
 
 
-def grid_summary(grid: DataFrame, image: str = KEY) -> DataFrame:
-    """Peak, mean, centre of mass, hotspot share and normalised entropy of each map ``(image, gy, gx, s)``."""
-    mass = F.sum("s")
-    size = F.count(F.lit(1))
-    first = F.struct("s", (-F.col("gy")).alias("a"), (-F.col("gx")).alias("b"))
-    found = grid.groupBy(image).agg(
-        mass.alias("total_mass"),
-        F.avg("s").alias("mean_saliency"),
-        F.max("s").alias("peak_saliency"),
-        F.max_by(F.struct("gy", "gx"), first).alias("_peak"),
-        F.sum(F.col("s") * F.col("gx")).alias("_mx"),
-        F.sum(F.col("s") * F.col("gy")).alias("_my"),
-        ((F.max("gx") + 1) / 2.0).alias("_cx"),
-        ((F.max("gy") + 1) / 2.0).alias("_cy"),
-        F.avg((F.col("s") >= 0.75).cast("double")).alias("hotspot_ratio"),
-        size.alias("_n"),
-    )
-    heavy = F.col("total_mass") > 1e-8
-    maps = grid.join(found.select(image, F.col("total_mass").alias("_total"), "_n"), image)
-    p = F.col("s") / F.nullif("_total", F.lit(0.0))
-    entropy = maps.filter((F.col("_total") > 1e-12) & (F.col("_n") > 1)).groupBy(image).agg(
-        (-F.sum(p * F.log2(p + 1e-12)) / F.log2(F.max("_n"))).alias("entropy")
-    )
-    return found.join(entropy, image, "left").select(
-        image,
-        "total_mass",
-        "mean_saliency",
-        "peak_saliency",
-        F.col("_peak.gy").alias("peak_y"),
-        F.col("_peak.gx").alias("peak_x"),
-        F.when(heavy, F.col("_mx") / F.col("total_mass")).otherwise(F.col("_cx")).alias("attention_center_x"),
-        F.when(heavy, F.col("_my") / F.col("total_mass")).otherwise(F.col("_cy")).alias("attention_center_y"),
-        "hotspot_ratio",
-        F.coalesce("entropy", F.lit(0.0)).alias("entropy"),
-    )
+def _per_map(maps: DataFrame, image: str, columns: list[str], schema: dict[str, str], measure) -> DataFrame:
+    """One row per map: the values that ``measure`` finds in the named layers, or none where it gives None."""
+    def run(batches):
+        for batch in batches:
+            keys, found = [], []
+            for k, layers in enumerate(zip(batch.column("width").to_pylist(), *[_rows(batch.column(c)) for c in columns])):
+                values = measure(*[m.reshape(-1, layers[0]) for m in layers[1:]])
+                if values is not None:
+                    keys.append(k)
+                    found.append(values)
+            rows = {n: pa.array([v[n] for v in found], {"double": pa.float64(), "long": pa.int64()}[kind]) for n, kind in schema.items()}
+            yield pa.RecordBatch.from_pydict({image: batch.column(image).take(pa.array(keys, pa.int64())), **rows})
+
+    wanted = maps.select(image, "width", *columns)
+    out = wanted.select(image).schema
+    for n, kind in schema.items():
+        out = out.add(n, kind)
+    return wanted.mapInArrow(run, out)
+
+
+SUMMARY = {"total_mass": "double", "mean_saliency": "double", "peak_saliency": "double", "peak_y": "long", "peak_x": "long",
+           "attention_center_x": "double", "attention_center_y": "double", "hotspot_ratio": "double", "entropy": "double"}
+
+
+def grid_summary(maps: DataFrame, image: str = KEY) -> DataFrame:
+    """Peak, mean, centre of mass, hotspot share and normalised entropy of each map."""
+    def measure(s):
+        height, width = s.shape
+        mass = s.sum()
+        peak_y, peak_x = np.unravel_index(np.argmax(s), s.shape)
+        heavy = not mass <= 1e-8
+        entropy = 0.0
+        if not mass <= 1e-12 and s.size > 1:
+            p = s / mass
+            entropy = -(p * np.log2(p + 1e-12)).sum() / np.log2(s.size)
+        return {
+            "total_mass": mass, "mean_saliency": mass / s.size, "peak_saliency": s.max(), "peak_y": int(peak_y), "peak_x": int(peak_x),
+            "attention_center_x": (s.sum(axis=0) * np.arange(width)).sum() / mass if heavy else width / 2.0,
+            "attention_center_y": (s.sum(axis=1) * np.arange(height)).sum() / mass if heavy else height / 2.0,
+            "hotspot_ratio": 1.0 - (s < 0.75).mean(), "entropy": entropy,
+        }
+
+    return _per_map(maps, image, ["cells"], SUMMARY, measure)
+
+
+def robust_normalize(maps: DataFrame) -> DataFrame:
+    """Clip each map to its 2nd–98th percentile and scale to 0–1; a flat map is divided by its peak."""
+    def scaled(s):
+        s = np.where(np.isnan(s), 0.0, s)
+        ordered = np.sort(s, axis=None)
+        low, high, peak = percentile_of(ordered, 0.02), percentile_of(ordered, 0.98), ordered[-1]
+        if high - low <= 1e-8:
+            return s / peak if peak > 0 else np.zeros_like(s)
+        return (np.clip(s, low, high) - low) / (high - low)
 
+    return _each_map(maps, scaled)
 
-def robust_normalize(grid: DataFrame, image: str = KEY) -> DataFrame:
-    """Clip each map to its 2nd–98th percentile and scale to 0–1; a flat map is divided by its peak."""
-    df = grid.withColumn("s", F.coalesce(F.nanvl("s", F.lit(0.0)), F.lit(0.0)))
-    # a map has as many values as cells, however much data it was made from
-    limits = df.groupBy(image).agg(
-        F.percentile("s", F.lit(0.02)).alias("_low"), F.percentile("s", F.lit(0.98)).alias("_high"), F.max("s").alias("_peak")
-    )
-    df = df.join(limits, image)
-    span = F.col("_high") - F.col("_low")
-    clipped = F.least(F.greatest("s", F.col("_low")), F.col("_high"))
-    flat = F.when(F.col("_peak") > 0, F.col("s") / F.col("_peak")).otherwise(0.0)
-    return df.withColumn("s", F.when(span <= 1e-8, flat).otherwise((clipped - F.col("_low")) / span)).drop(
-        "_low", "_high", "_peak"
-    )
 
+def map_vs_fixations(maps: DataFrame, fixations: DataFrame | None = None, extent: DataFrame | None = None, bins: int = 140, sigma: float = 28.0) -> DataFrame:
+    """NSS, similarity and KL divergence between a map and the density of fixations on the same grid.
 
-def map_vs_fixations(grid: DataFrame, fixations: DataFrame, extent: DataFrame, bins: int, sigma: float = 28.0) -> DataFrame:
-    """NSS, similarity and KL divergence between a map and the density of fixations on the same grid."""
-    placed = placed_fixations(fixations)
-    weighted = placed.select(KEY, "event_index", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"), F.lit(1.0).alias("weight"), *([BLOCK] if is_split(placed) else []))
-    cell = {
-        g: F.greatest(
-            F.least(F.bround((F.col(c) - F.col(f"{c}0")) / F.nullif(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(0.0)) * (bins - 1)), F.lit(bins - 1.0)),
-            F.lit(0.0),
-        ).cast("int")
-        for g, c in (("gx", "x"), ("gy", "y"))
-    }
-    hits = join_recording(weighted, extent).groupBy(KEY, cell["gy"].alias("gy"), cell["gx"].alias("gx")).agg(
-        F.count(F.lit(1)).alias("hits")
-    )
-    per_map = grid.groupBy(KEY).agg(
-        F.avg("s").alias("_mean"), F.stddev_pop("s").alias("_sd"), F.sum(F.greatest("s", F.lit(1e-12))).alias("_mass")
-    )
-    scored = hits.join(grid, [KEY, "gy", "gx"]).join(per_map, KEY)
-    z = (F.col("s") - F.col("_mean")) / F.nullif("_sd", F.lit(0.0))
-    n = F.sum("hits")
-    nss = scored.groupBy(KEY).agg(
-        (F.sum(z * F.col("hits")) / n).alias("nss_mean"),
-        F.sqrt(F.greatest(F.sum(z * z * F.col("hits")) / n - F.pow(F.sum(z * F.col("hits")) / n, 2), F.lit(0.0))).alias("nss_std"),
-    )
-    density = kernel_density(weighted, extent, bins, sigma).withColumnRenamed("s", "q0")
-    density = density.join(density.groupBy(KEY).agg(F.sum("q0").alias("_q")), KEY)
-    both = grid.join(density, [KEY, "gy", "gx"]).join(per_map, KEY)
-    p = F.greatest("s", F.lit(1e-12)) / F.col("_mass")
-    q = F.col("q0") / F.col("_q")
-    compared = both.groupBy(KEY).agg(
-        F.sum(F.least(p, q)).alias("sim"),
-        F.sum(F.when(q > 0, q * F.ln(q / p)).otherwise(0.0)).alias("kl_divergence"),
-    )
-    return nss.join(compared, KEY)
+    Maps with the layers ``fixation_cells`` and ``hits`` (``kernel_density`` with ``fixation_sigma``)
+    are not exchanged. For maps from elsewhere both layers are made of ``fixations`` and joined.
+    """
+    if "hits" not in maps.columns:
+        placed = placed_fixations(fixations)
+        weighted = placed.select(KEY, *([BLOCK] if is_split(placed) else []), F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"), F.lit(1.0).alias("weight"))
+        maps = maps.join(kernel_density(weighted, extent, bins, sigma, sigma).drop("cells", "width"), KEY)
+
+    def measure(s, density, hits):
+        n = hits.sum()
+        if not n:
+            return None
+        spread = s.std()
+        z = (s - s.mean()) / spread if spread else None
+        nss = None if z is None else (z * hits).sum() / n
+        p = np.maximum(s, 1e-12)
+        p = p / p.sum()
+        q = density / density.sum()
+        some = q > 0
+        return {
+            "nss_mean": nss,
+            "nss_std": None if z is None else np.sqrt(max((z * z * hits).sum() / n - nss**2, 0.0)),
+            "sim": np.minimum(p, q).sum(),
+            "kl_divergence": (q[some] * np.log(q[some] / p[some])).sum(),
+        }
+
+    names = ["nss_mean", "nss_std", "sim", "kl_divergence"]
+    return _per_map(maps, KEY, ["cells", "fixation_cells", "hits"], dict.fromkeys(names, "double"), measure)

@@ -426,11 +426,13 @@ DENSITY = [*sql.BASE_EVENTS, SEEDS, EXTENT, density_sql("kd0", "sd"),
            "kd AS (SELECT recording_id, gy, gx, s / max(s) OVER (PARTITION BY recording_id) AS s FROM kd0)"]
 
 
-def density(spark, sf):
-    return grid.attention_density(fixations(spark, sf), samples(spark, sf), BINS)
+def density(spark, sf, fixation_sigma=None):
+    return grid.attention_density(fixations(spark, sf), samples(spark, sf), BINS, fixation_sigma)
 
 
-query("H3_attention_kde", R, "s", "gy gx", DENSITY, "kd")(density)
+@query("H3_attention_kde", R, "s", "gy gx", DENSITY, "kd")
+def h3(spark, sf):
+    return grid.to_cells(density(spark, sf))
 
 
 def blur_sql(passes):
@@ -447,7 +449,7 @@ def blur_sql(passes):
 
 @query("H4_smooth_density", R, "s", "gy gx", [*DENSITY, *blur_sql(3)], "cu")
 def h4(spark, sf):
-    return grid.cut_low(grid.smooth_density(density(spark, sf), 3))
+    return grid.to_cells(grid.cut_low(grid.smooth_density(density(spark, sf), 3)))
 
 
 SCANPATH = """
@@ -488,7 +490,7 @@ rn AS (SELECT recording_id, gy, gx, CASE WHEN hi <= lo + 1e-8 THEN s / peak ELSE
 
 @query("H7_robust_normalize", R, "s", "gy gx", [*DENSITY, NORMAL], "rn")
 def h7(spark, sf):
-    return grid.robust_normalize(density(spark, sf))
+    return grid.to_cells(grid.robust_normalize(density(spark, sf)))
 
 
 COMPARE = [
@@ -509,5 +511,4 @@ mf AS (SELECT * FROM ns JOIN cm USING (recording_id))""",
 
 @query("H8_map_vs_fixations", R, "nss_mean nss_std sim kl_divergence", "", [*DENSITY, *COMPARE], "mf")
 def h8(spark, sf):
-    s = samples(spark, sf)
-    return grid.map_vs_fixations(density(spark, sf), fixations(spark, sf), grid.padded_extent(s), BINS)
+    return grid.map_vs_fixations(density(spark, sf, fixation_sigma=28.0))
