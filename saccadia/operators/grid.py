@@ -91,9 +91,13 @@ def _summed(parts: Iterator[tuple[str, dict[str, np.ndarray]]], width: int) -> I
 
 
 def _together(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a map in one task, one after the other. The number is given as each small row becomes thousands of cells."""
+    """Rows of a map in one task, one after the other.
+
+    Tasks are as many as the setting says, also over few bytes, as each small row becomes thousands of cells: the hash is an
+    exchange of its own, which Spark neither merges with one by the keys nor makes smaller.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    return df.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys)
 
 
 def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma: float | None = None, fixation_sigma: float | None = None) -> DataFrame:
