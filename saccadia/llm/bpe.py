@@ -16,7 +16,6 @@ are kept; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 
 import ahocorasick
@@ -209,7 +208,7 @@ def normalised(column: pa.Array, name: str) -> pa.Array:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``key``, ``ids`` and ``decoded``, the text that the ids give back."""
+    """``key``, ``ids``, ``decoded``, the text that the ids give back, and ``ids_u32``, the ids as little-endian 32-bit numbers."""
     def run(batches):
         special = tokenizer_files.specials(tokenizer)
         for batch in batches:
@@ -228,26 +227,24 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         labels, entries, bounds = known.labels, entry.tolist(), p.bounds.tolist()
         decoded = [" ".join([labels[j] for j in entries[a:b]]) for a, b in zip(bounds, bounds[1:])]
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.astype(np.int64), pa.int32()))
-        return pa.RecordBatch.from_arrays([keys, lists, pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
+        packed = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((4 * stops).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+        return pa.RecordBatch.from_arrays([keys, lists, pa.array(decoded, pa.string()), packed], names=[key, "ids", "decoded", "ids_u32"])
 
     if tokenizer_files.contents(tokenizer)["decoder"] is not None:
         raise ValueError(f"{tokenizer}: only files whose decoder is blanks between tokens are supported")
-    schema = docs.select(F.col(f"`{key}`")).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    schema = docs.select(F.col(f"`{key}`")).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string").add("ids_u32", "binary")
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_tokens`` and the SHA-256 of the ids as little-endian 32-bit numbers and of the decoded text."""
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            stops = lists.offsets.to_numpy().tolist()
-            values = lists.values.to_numpy().astype("<u4")
-            shas = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(stops, stops[1:])]
-            decoded = [hashlib.sha256(s.encode()).hexdigest() for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(shas), pa.array(decoded)],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = encoded.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return encoded.select(key, "ids", "decoded").mapInArrow(run, schema)
+    """``key``, ``n_tokens`` and the SHA-256 of the ids as little-endian 32-bit numbers and of the decoded text.
+
+    Spark's own functions: a second step in Python would take a second process for each task, and as processes are
+    reused for either step, each of them would come to hold the vocabulary and its memory.
+    """
+    return encoded.select(
+        key,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("ids_u32", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
