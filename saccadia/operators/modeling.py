@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saccadia.functions.ranks import value_counts
+from saccadia.functions.storage import materialize
 
 # Columns of a feature table that are never features.
 METADATA_COLUMNS = {
@@ -33,8 +34,13 @@ def register_model(name: str, task: str, factory: Callable) -> None:
     _models[(task.lower(), name.lower())] = factory
 
 
-def _multiclass(classifier):
-    return OneVsRest(classifier=classifier)
+#: Rows of a task while a model is fitted: each of some hundred rounds starts all tasks anew.
+ROWS_PER_TASK = 20_000
+
+
+def _multiclass(classifier, classes: int):
+    """One model a class, fitted at the same time: the rounds of each are short jobs that follow one another."""
+    return OneVsRest(classifier=classifier, parallelism=min(classes, 8))
 
 
 def build_model(task: str, name: str, seed: int = 42, classes: int = 2, **options):
@@ -53,10 +59,10 @@ def build_model(task: str, name: str, seed: int = 42, classes: int = 2, **option
         return LogisticRegression(**{"maxIter": 2000, "regParam": 1e-3, **options})
     if key == ("classification", "gradient_boosting"):
         one = GBTClassifier(seed=seed, **{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, **options})
-        return one if classes <= 2 else _multiclass(one)
+        return one if classes <= 2 else _multiclass(one, classes)
     if key == ("classification", "svm"):
         one = LinearSVC(**{"maxIter": 100, **options})
-        return one if classes <= 2 else _multiclass(one)
+        return one if classes <= 2 else _multiclass(one, classes)
     if key == ("regression", "random_forest"):
         return RandomForestRegressor(seed=seed, **{"numTrees": 200, **options})
     if key == ("regression", "gradient_boosting"):
@@ -138,8 +144,9 @@ def train_model(
     wanted = feature_columns or [c for c in df.columns if c != target]
     names = [c for c in wanted if isinstance(df.schema[c].dataType, T.NumericType)]
     ready = prepare(df, target, names, task)
-    split = stratified_split(ready, "_target" if task == "classification" else None, ids, test_size, seed)
+    split = materialize(stratified_split(ready, "_target" if task == "classification" else None, ids, test_size, seed), "split")
     train, test = split.filter("NOT is_test"), split.filter("is_test")
+    train = train.coalesce(-(-split.count() // ROWS_PER_TASK) or 1)
     labels = class_labels(ready) if task == "classification" else []
     if task == "classification" and len(labels) < 2:
         raise ValueError("the target has a single class")
