@@ -4,7 +4,7 @@ Runs of ``m`` and ``m + 1`` neighbouring values are points. A point's neighbours
 so they lie in its own cell or next to it when points are dealt to cells at least a tolerance wide by their first values. The
 cells of a series are as many as it has points for, the points next to a cell are copied into it, and a cell with too many points
 is cut in pieces that meet each other one by one. Every piece is counted by itself, so none holds a series; neighbours in several
-pieces are summed up by Spark.
+pieces are summed up by Spark. Recordings of few samples are counted whole instead, many of them at once.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ CELL_POINTS_CONF, MOST_POINTS_CONF = "spark.saccadia.entropyPointsPerCell", "spa
 CELL_POINTS, MOST_POINTS = 16_000, 60_000
 #: Points compared at once with all points of a piece.
 STRIDE = 128
+#: The most samples of a recording that is counted whole, as one row; and pairs compared at once.
+SHORT_CONF, SHORT, PAIRS = "spark.saccadia.entropyShort", 512, 1 << 20
 
 SERIES = [KEY, "signal"]
 PIECE = [*SERIES, "_ca", "_cb", "_i", "_j"]
@@ -218,8 +220,84 @@ def group_edges(table: pa.Table, keys: list[str]) -> list[int]:
     return [*np.flatnonzero(change).tolist(), table.num_rows]
 
 
+def _packed(df: DataFrame, signals: tuple[str, ...], most: int) -> DataFrame:
+    """One row for up to ``most`` neighbouring samples of a recording, with their spread; a recording's only row holds all of it."""
+    rows = F.collect_list(F.struct(INDEX, *[F.col(c).cast("double").alias(c) for c in signals])).alias("_rows")
+    spread = [F.stddev_pop(c).alias(f"_sd_{c}") for c in signals]
+    return df.groupBy(KEY, F.floor(F.col(INDEX) / most).alias("_nth")).agg(rows, *spread).drop("_nth")
+
+
+def _short_and_long(df: DataFrame, signals: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Short recordings as one row each, and the samples of the others."""
+    most = int(df.sparkSession.conf.get(SHORT_CONF, str(SHORT)))
+    if is_split(df):
+        marked = with_recording_values(df, {"_last": F.max(INDEX)})
+        return _packed(marked.filter(F.col("_last") < most), signals, most), marked.filter(F.col("_last") >= most).drop("_last")
+    # both sides read the packed rows of one exchange, so that what leads to the samples is done once
+    counted = _packed(df, signals, most).repartition(KEY).withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy(KEY)))
+    return counted.filter("_of = 1").drop("_of"), counted.filter("_of > 1").select(KEY, F.inline("_rows"))
+
+
+def whole_entropies(values: np.ndarray, lengths: np.ndarray, tolerance: np.ndarray, m: int) -> np.ndarray:
+    """Entropy of each of many short series, given one after the other; all pairs of points of a series are compared."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    found = np.empty(len(lengths))
+    wide = -(-lengths // 8) * 8
+    for size in np.unique(wide):
+        alike = np.flatnonzero(wide == size)
+        step = max(1, PAIRS // int(size * size))
+        for at in range(0, len(alike), step):
+            some = alike[at : at + step]
+            n, place = lengths[some, None], np.arange(size)[None, :]
+            table = np.where(place < n, values[np.minimum(starts[some, None] + place, len(values) - 1)], np.nan)
+            close = np.abs(table[:, :, None] - table[:, None, :]) <= tolerance[some, None, None]
+            met = close
+            phi = []
+            for order in range(1, m + 2):
+                if order > 1:
+                    met = met[:, :-1, :-1] & close[:, order - 1 :, order - 1 :]
+                if order >= m:
+                    points = n - order + 1
+                    own = place[:, : met.shape[1]] < points
+                    with np.errstate(divide="ignore"):
+                        logs = np.log(np.where(own, np.count_nonzero(met, axis=2), points) / points)
+                    phi.append(logs.sum(axis=1) / points[:, 0])
+            with np.errstate(invalid="ignore"):
+                found[some] = phi[0] - phi[1]
+    return found
+
+
+def _whole(signals: tuple[str, ...], m: int, r: float):
+    """Entropies of recordings that are one row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = batch.column(KEY), batch.column("_rows")
+            samples = rows.flatten()
+            row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((samples.field(INDEX).to_numpy(zero_copy_only=False), row))
+            row = row[order]
+            for name in signals:
+                field = samples.field(name)
+                known = field.is_valid().to_numpy(zero_copy_only=False)[order]
+                values, owner = field.to_numpy(zero_copy_only=False)[order][known], row[known]
+                lengths = np.bincount(owner, minlength=len(rows))
+                enough = lengths >= MIN_POINTS
+                spread = batch.column(f"_sd_{name}").fill_null(0.0).to_numpy(zero_copy_only=False)
+                found = whole_entropies(values[enough[owner]], lengths[enough], np.maximum(r * spread[enough], 1e-6), m)
+                kept = keys.filter(pa.array(enough))
+                yield pa.RecordBatch.from_arrays([kept, pa.array([name] * len(kept), pa.string()), pa.array(found, pa.float64())], names=[*SERIES, "apen"])
+
+    return run
+
+
 def entropies(df: DataFrame, signals: tuple[str, ...], m: int = 2, r: float = 0.2) -> DataFrame:
     """(recording, signal, ``apen``) for series of at least ``MIN_POINTS`` values; rows are in the order of the sample index."""
+    short, long = _short_and_long(df, signals)
+    whole = short.mapInArrow(_whole(signals, m, r), f"{KEY} string, signal string, apen double")
+    return whole.union(_long_entropies(long, signals, m, r))
+
+
+def _long_entropies(df: DataFrame, signals: tuple[str, ...], m: int, r: float) -> DataFrame:
     points = settle(_points(_with_following(df, signals, m), m, r))
     dealt = _pieces(points, m).repartition(*PIECE).sortWithinPartitions(*PIECE)
     schema = f"{KEY} string, signal string, n long, at long, few long, more long, log_few double, log_more double"
