@@ -21,6 +21,7 @@ from saccadia.operators.features import extract_features
 from saccadia.operators.quality import fixed, quality_grade
 from saccadia.schema import KEY
 from saccadia.sources import readers
+from saccadia.sources.readers import uri
 
 EMPTY_RECORDING = "recording contains no samples"
 
@@ -69,11 +70,18 @@ def batch_analyze(
 
 
 def analyze_files(
-    spark: SparkSession, paths: list[str], areas: Sequence[areas_.Area] | None = None, **options
+    spark: SparkSession, paths: list[str], areas: Sequence[areas_.Area] | None = None, folders: Sequence[str] = (), **options
 ) -> DataFrame:
-    """``batch_analyze`` over files; missing and unreadable files become error rows keyed by path."""
+    """``batch_analyze`` over files; missing and unreadable files become error rows keyed by path.
+
+    ``folders`` stand for all files in them: the driver gets the kinds of files found there, not their names.
+    """
     requested = spark.createDataFrame([(p,) for p in paths], "file_path string").select(uri("file_path").alias("file_path"))
-    listed = _listed(spark, sorted({p.rsplit("/", 1)[0] for p in paths}))
+    listed = _listed(spark, sorted({p.rsplit("/", 1)[0] for p in paths})) if paths else None
+    if folders:
+        inside = readers.existing_files(spark, list(folders)).select(uri("file_path").alias("file_path")).distinct()
+        inside = inside.withColumn("kind", F.regexp_extract("file_path", r"\.(\w+)$", 1))
+        requested = requested.join(inside, "file_path", "left_anti")
     if listed is None:
         present, missing = [], requested
     else:
@@ -81,17 +89,28 @@ def analyze_files(
         present = [r[0] for r in requested.join(listed, "file_path", "left_semi").collect()]
         missing = requested.join(listed, "file_path", "left_anti")
     gone = missing.select(F.col("file_path").alias(KEY), F.concat(F.lit("file not found: "), "file_path").alias("error"))
-    if not present:
+    kinds = sorted(r[0] for r in inside.select("kind").distinct().collect()) if folders else []
+    if "" in kinds:  # no pattern fits only names without an ending
+        present += [r[0] for r in inside.filter("kind = ''").select("file_path").collect()]
+        kinds.remove("")
+    if not present and not kinds:
         return gone
     by_format: dict[str, list[str]] = {}
     for p in present:
         by_format.setdefault(readers.file_format(p, None), []).append(p)
-    parts, broken = [], []
+    parts, broken, read = [], [], []
     for name, files in by_format.items():
         try:
             parts.append(readers.read_recordings(spark, files, name, strict=False))
         except ValueError as e:
             broken += [(f, str(e)) for f in files]
+    for kind in kinds:
+        ours = inside.filter(F.col("kind") == kind).select(F.col("file_path").alias(KEY))
+        try:
+            parts.append(readers.read_recordings(spark, list(folders), readers.file_format(f".{kind}", kind), strict=False, pattern=f"*.{kind}"))
+            read.append(ours)
+        except ValueError as e:
+            gone = gone.union(ours.withColumn("error", F.lit(str(e))))
     if broken:
         gone = gone.union(spark.createDataFrame(broken, gone.schema))
     if not parts:
@@ -101,15 +120,12 @@ def analyze_files(
         samples = samples.unionByName(part)
     done = {f for f, _ in broken}
     rows = spark.createDataFrame([(p,) for p in present if p not in done], f"{KEY} string")
+    for ours in read:
+        rows = rows.union(ours)
     samples = samples.withColumn(KEY, uri(KEY))
     return batch_analyze(samples, rows, areas, **options).unionByName(gone, allowMissingColumns=True)
 
 
-def uri(path: str) -> Column:
-    """One spelling for local paths; other schemes stay as they are."""
-    return F.regexp_replace(path, "^(file:)?/+", "file:///")
-
-
 def _listed(spark: SparkSession, folders: list[str]) -> DataFrame | None:
     """Files of the folders that exist: all at once, and by halves where one is missing."""
     try:

@@ -30,9 +30,8 @@ def batch(spark, sf):
         "x", "y", "pupil", "valid", "marker", "event_label", "trial",
     )
     base = readers.scratch_dir(spark, "batch")
-    out.repartition(8, "rec").write.partitionBy("rec").csv(base, header=True)
-    files = [r[0] for r in readers.existing_files(spark, [base]).select("file_path").collect()]
-    found = insight.analyze_files(spark, [*files, f"{base}/rec=absent/none.csv"], window_ms=500.0)
+    readers.writer_by(out, "rec").csv(base, header=True)
+    found = insight.analyze_files(spark, [f"{base}/rec=absent/none.csv"], folders=[base], window_ms=500.0)
     name = F.regexp_extract(R, r"rec=(\w+)", 1)
     return found.withColumn("error", F.regexp_extract("error", r"^(file not found|[^:]+)", 1)).withColumn(R, name)
 

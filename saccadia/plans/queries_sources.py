@@ -33,8 +33,8 @@ def n1(spark, sf):
         "rec", F.col("y").alias("gaze_y"), F.col("x").alias("gaze_x"), F.col("timestamp_ms").alias("time"),
         F.col("pupil").alias("pupil_size"), F.col("valid").cast("int").alias("is_valid"), F.col("marker").alias("trigger"),
     )
-    one.repartition(4, "rec").write.partitionBy("rec").csv(f"{base}/comma", header=True)
-    two.repartition(4, "rec").write.partitionBy("rec").csv(f"{base}/semicolon", header=True, sep=";")
+    readers.writer_by(one, "rec").csv(f"{base}/comma", header=True)
+    readers.writer_by(two, "rec").csv(f"{base}/semicolon", header=True, sep=";")
     raw = readers.read_tabular(spark, [f"{base}/comma", f"{base}/semicolon"])
     return _name_from_path(normalize.validate_samples(raw))
 
@@ -88,7 +88,7 @@ def n6(spark, sf):
     )
     lines = F.array(line, F.concat_ws(" ", F.lit("MSG"), "timestamp_ms", F.lit("SYNC")))
     base = readers.scratch_dir(spark, "asc")
-    df.select(F.col(R).alias("rec"), F.explode(lines).alias("value")).repartition(4, "rec").write.partitionBy("rec").text(base)
+    readers.writer_by(df.select(F.col(R).alias("rec"), F.explode(lines).alias("value")), "rec").text(base)
     return _name_from_path(readers.read_eyelink_asc(spark, [base]))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,8 @@ from saccadia.sources.normalize import flatten_pixel_samples, normalize_columns,
 
 SEPARATORS = [",", ";", "\t", "|"]
 TEXT_FORMATS = ("csv", "tsv", "txt")
+#: Folders that each file's path is compared with.
+MOST_FOLDERS = 100
 
 Loader = Callable[[SparkSession, list[str], dict], DataFrame]
 _loaders: dict[str, Loader] = {}
@@ -35,15 +38,42 @@ def file_position():
     return F.col("_metadata.file_block_start") + in_task
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def uri(path) -> Column:
+    """One spelling for local paths; other schemes stay as they are."""
+    return F.regexp_replace(path, "^(file:)?/+", "file:///")
+
+
+def _options(pattern: str | None) -> dict:
+    return {"recursiveFileLookup": True, **({"pathGlobFilter": pattern} if pattern else {})}
+
+
+def first_lines(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
     """``file_path`` and first line of every file."""
-    lines = spark.read.text(paths, recursiveFileLookup=True).select(
+    lines = spark.read.text(paths, **_options(pattern)).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_start"),
         file_position().alias("_at"), "value",
     )
     return lines.filter("_start = 0").groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
 
 
+def header_groups(spark: SparkSession, paths: list[str], pattern: str | None = None) -> dict[tuple[str, str], list[str]]:
+    """Paths by separator and header line. A folder whose files are all alike stands for them; other files are listed one by one."""
+    spelt = [re.sub("^(file:)?/+", "file:///", p).rstrip("/") + "/" for p in paths]
+    apart = len(paths) <= MOST_FOLDERS and not any(a.startswith(b) for i, a in enumerate(spelt) for j, b in enumerate(spelt) if i != j)
+    folder = F.coalesce(*[F.when(F.startswith(uri("file_path"), F.lit(p)), k) for k, p in enumerate(spelt) if apart], F.lit(None).cast("int"))
+    first = materialize(first_lines(spark, paths, pattern).select("file_path", "header", separator(F.col("header")).alias("sep"), folder.alias("folder")), "headers")
+    alike = first.filter("folder IS NOT NULL").groupBy("folder").agg(
+        F.min("sep").alias("sep"), F.min("header").alias("header"), F.max("header").alias("_last")).filter("header = _last").drop("_last")
+    groups: dict[tuple[str, str], list[str]] = {}
+    whole = alike.collect()
+    for r in whole:
+        groups.setdefault((r["sep"], r["header"]), []).append(paths[r["folder"]])
+    rest = first.filter(~F.coalesce(F.col("folder").isin([r["folder"] for r in whole]), F.lit(False)))
+    for r in rest.collect():
+        groups.setdefault((r["sep"], r["header"]), []).append(r["file_path"])
+    return groups
+
+
 def separator(header) -> F.Column:
     """The candidate that occurs most in a line (a comma if none does)."""
     counts = [F.struct(F.regexp_count(header, F.lit("\\" + s if s == "|" else s)).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("sep"))
@@ -52,22 +82,19 @@ def separator(header) -> F.Column:
 
 
 def read_tabular(
-    spark: SparkSession, paths: list[str], sampling_rate_hz: float | None = None, column_map: dict[str, str] | None = None
+    spark: SparkSession, paths: list[str], sampling_rate_hz: float | None = None, column_map: dict[str, str] | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """Delimited text files; each file is a recording.
+    """Delimited text files (of folders, those whose name fits ``pattern``); each file is a recording.
 
     Files are grouped by separator and header line, as one reader applies one header to
     all its files; the groups are read side by side and united by column name.
     """
-    # one row per file, as many as Spark's own file index keeps on the driver
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in first_lines(spark, paths).select("file_path", "header", separator(F.col("header")).alias("sep")).collect():
-        groups.setdefault((r["sep"], r["header"]), []).append(r["file_path"])
     parts = []
-    for (sep, header), files in sorted(groups.items()):
+    for (sep, header), files in sorted(header_groups(spark, paths, pattern).items()):
         names = [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).csv(files, sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        raw = spark.read.schema(schema).options(**_options(pattern)).csv(files, sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         raw = raw.withColumns({KEY: F.col("_metadata.file_path"), "sample_seq": file_position()})
         parts.append(synthesize_timestamps(normalize_columns(raw, column_map), sampling_rate_hz))
     if not parts:
@@ -95,9 +122,9 @@ def parse_asc_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_eyelink_asc(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_eyelink_asc(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
     """Sample lines of ASC files; everything else in them is skipped."""
-    lines = spark.read.text(paths, recursiveFileLookup=True).select(
+    lines = spark.read.text(paths, **_options(pattern)).select(
         F.col("_metadata.file_path").alias(KEY), file_position().alias("sample_seq"), "value"
     )
     return parse_asc_lines(lines)
@@ -116,8 +143,9 @@ def read_recordings(
     sampling_rate_hz: float | None = None,
     column_map: dict[str, str] | None = None,
     strict: bool = True,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """Validated samples of many files of any known format."""
+    """Validated samples of many files of any known format; of folders, the files whose name fits ``pattern``."""
     by_format: dict[str, list[str]] = {}
     for p in paths:
         by_format.setdefault(file_format(p, format), []).append(p)
@@ -127,9 +155,9 @@ def read_recordings(
             raw = _loaders[name](spark, files, {"sampling_rate_hz": sampling_rate_hz, "column_map": column_map})
             raw = synthesize_timestamps(normalize_columns(raw, column_map), sampling_rate_hz)
         elif name in TEXT_FORMATS:
-            raw = read_tabular(spark, files, sampling_rate_hz, column_map)
+            raw = read_tabular(spark, files, sampling_rate_hz, column_map, pattern)
         elif name == "asc":
-            raw = read_eyelink_asc(spark, files)
+            raw = read_eyelink_asc(spark, files, pattern)
         else:
             raise ValueError(f"unsupported format: {name}")
         parts.append(validate_samples(raw, strict))
@@ -156,6 +184,13 @@ def scenario_aois(aois: DataFrame, scenario: str, task_id: str) -> DataFrame:
     return found.withColumn("_one", F.lit(1)).join(F.broadcast(known), F.col("_one") == F.col("_ok"), "right").drop("_one", "_ok")
 
 
+def writer_by(df: DataFrame, key: str) -> DataFrameWriter:
+    """Writes a folder for each key, by as many tasks as rows are shuffled to; each task moves its own files to their place."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key)
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Samples, events, features or reports as parquet, CSV or JSON folders."""
     writer = df.write.mode(mode).partitionBy(*(partition_by or []))
