@@ -47,6 +47,8 @@ ROOM = 2
 MOST_LEVELS = 100
 #: Ids that are read or passed on at once.
 READ_IDS = 1 << 20
+#: Bytes of text that are encoded at once, and pre-tokens that a process remembers: tasks of a machine share its memory with Spark's sort.
+ENCODE_BYTES, MOST_PRETOKENS = 1 << 18, 400_000
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -156,7 +158,7 @@ def write_shards(ordered: DataFrame, folder: str, tokenizer: str, end_id: int, w
         special, out, counts = tokenizer_files.specials(tokenizer), None, [np.zeros(1, np.int64)]
         done = 0
         for batch in batches:
-            for t in arrays.texts(batch.column(2)):
+            for t in arrays.texts(batch.column(2), ENCODE_BYTES):
                 if out is None:
                     system, path = _open(folder)
                     out = system.open_output_stream(f"{path}/{name}")
@@ -180,7 +182,7 @@ def write_shards(ordered: DataFrame, folder: str, tokenizer: str, end_id: int, w
 def _encoded(t: arrays.Texts, special: dict[bytes, int], tokenizer: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a slice, each text's closed by ``end_id``, and how many each text has."""
     p = pretokens.pieces(t, pretokens.BYTE_LEVEL, special)
-    known = packing.vocabulary(tokenizer)
+    known = packing.vocabulary(tokenizer, MOST_PRETOKENS)
     entry = known.lookup(t, p)
     flat, starts, lengths = known.arrays()
     ids = flat[arrays.expand(starts[entry], lengths[entry])]

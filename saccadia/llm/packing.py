@@ -25,13 +25,21 @@ from saccadia.llm import arrays, pretokens, storage, tokenizer_files
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
 END_ID = 0
+#: Pre-tokens that the library encodes at once.
+AT_ONCE = 1000
 
 
 @functools.cache
-def vocabulary(tokenizer: str) -> pretokens.Vocabulary:
-    """The ids of pre-tokens as the library gives them."""
+def vocabulary(tokenizer: str, most: int = 800_000) -> pretokens.Vocabulary:
+    """The ids of pre-tokens as the library gives them; ``most`` are remembered."""
     lib = tokenizer_files.library(tokenizer)
-    return pretokens.Vocabulary(lambda found: [e.ids for e in lib.encode_batch_fast(found, add_special_tokens=False)])
+
+    def encode(found: list[str]) -> list[list[int]]:
+        """The library's results take about a kilobyte each, so only a few are held at once."""
+        parts = (found[k:k + AT_ONCE] for k in range(0, len(found), AT_ONCE))
+        return [e.ids for part in parts for e in lib.encode_batch_fast(part, add_special_tokens=False)]
+
+    return pretokens.Vocabulary(encode, most=most)
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:

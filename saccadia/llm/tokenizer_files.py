@@ -36,5 +36,5 @@ def contents(name: str) -> dict:
 
 @functools.cache
 def specials(name: str) -> dict[bytes, int]:
-    """Special strings and their ids."""
-    return {x["content"].encode(): x["id"] for x in contents(name)["added_tokens"] if x["special"]}
+    """Special strings and their ids, as the library has them: the file, read for them alone, would stay in memory beside it."""
+    return {x.content.encode(): i for i, x in library(name).get_added_tokens_decoder().items() if x.special}
