@@ -134,6 +134,13 @@ def known_counts(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _among(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among sorted ones; ``np.isin`` would sort all of these again each time."""
+    if not len(seen):
+        return np.zeros(len(keys), bool)
+    return seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] == keys
+
+
 def other_pretokens(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """The pre-tokens that are no vocabulary entries, each once."""
     def run(batches):
@@ -142,13 +149,13 @@ def other_pretokens(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             for t in arrays.texts(batch.column(0)):
                 p, key, _, rest = _known(t, tokenizer)
                 distinct, first = np.unique(key[rest], return_index=True)
-                new = ~np.isin(distinct, seen)
+                new = ~_among(seen, distinct)
                 first = first[new]
                 held.append(distinct[new])
-                if sum(map(len, held)) > REMEMBERED:
+                if len(seen) + sum(map(len, held)) > REMEMBERED:
                     seen, held = np.zeros(0, np.uint64), []
                 elif len(held) > 20 or not len(seen):
-                    seen, held = np.concatenate([seen, *held]), []
+                    seen, held = np.sort(np.concatenate([seen, *held]), kind="stable"), []
                 strings = pretokens.span_values(t.data, p.starts[rest][first], p.ends[rest][first], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string())], names=["pretoken"])
 
