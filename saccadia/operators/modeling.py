@@ -337,10 +337,15 @@ def run_experiment(df: DataFrame, target: str, task: str = "classification", mod
 
 def cross_predictions(df: DataFrame, target: str, names: Sequence[str], model_name: str, folds: int, seed: int = 42,
                       ids: Sequence[str] = ("recording_id",), standardize: bool = True, **options) -> DataFrame:
-    """Out-of-fold predictions; as many folds as rows leaves one out."""
+    """Out-of-fold predictions; as many folds as rows leaves one out.
+
+    Folds are stored, as each fit reads them several times, and a fit has a task for ``ROWS_PER_TASK`` rows.
+    """
     ready = prepare(df, target, names, "classification")
-    labels = class_labels(ready)
-    placed = hash_order(ready, ids, seed).withColumn("fold", F.col("_place") % folds).drop("_place", "_of")
+    placed = hash_order(ready.select(*dict.fromkeys([*ids, "_target", *names])), ids, seed)
+    placed = materialize(placed.withColumn("fold", F.col("_place") % folds).drop("_place", "_of"), "folds")
+    labels = class_labels(placed)
+    tasks = -(-placed.count() // ROWS_PER_TASK) or 1
     parts = []
     for k in range(folds):
         stages = [
@@ -350,7 +355,7 @@ def cross_predictions(df: DataFrame, target: str, names: Sequence[str], model_na
         if standardize:
             stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
         stages.append(build_model("classification", model_name, seed, len(labels), **options))
-        model = Pipeline(stages=stages).fit(placed.filter(F.col("fold") != k))
+        model = Pipeline(stages=stages).fit(placed.filter(F.col("fold") != k).coalesce(tasks))
         scored = model.transform(placed.filter(F.col("fold") == k))
         parts.append(scored.select(*ids, "fold", F.col("_target").alias("y_true"), _label_of(F.col("prediction"), labels).alias("y_pred")))
     out = parts[0]
