@@ -124,7 +124,10 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple
     lengths = np.asarray(ends - starts, np.int64)
     stops = np.cumsum(lengths)
     place = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - lengths, lengths)
-    values = data[place + np.repeat(starts, lengths)]
+    if len(starts) and np.array_equal(starts[1:], ends[:-1]):  # spans that follow one another without gaps
+        values = data[starts[0]:ends[-1]]
+    else:
+        values = data[place + np.repeat(starts, lengths)]
     place = place.astype(np.uint64) * _STEP
     return tuple(_span_sums(values, place, stops, lengths, _CODES[k]) for k in which)
 

@@ -29,6 +29,16 @@ END_ID = 0
 AT_ONCE = 1000
 
 
+@functools.cache
+def token_bytes(tokenizer: str) -> np.ndarray:
+    """How many bytes each id stands for: byte-level vocabularies write a letter for a byte."""
+    vocab = tokenizer_files.library(tokenizer).get_vocab()
+    sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+    for token, i in vocab.items():
+        sizes[i] = len(token)
+    return sizes
+
+
 @functools.cache
 def vocabulary(tokenizer: str, most: int = 800_000) -> pretokens.Vocabulary:
     """The ids of pre-tokens as the library gives them; ``most`` are remembered."""
@@ -39,7 +49,29 @@ def vocabulary(tokenizer: str, most: int = 800_000) -> pretokens.Vocabulary:
         parts = (found[k:k + AT_ONCE] for k in range(0, len(found), AT_ONCE))
         return [e.ids for part in parts for e in lib.encode_batch_fast(part, add_special_tokens=False)]
 
-    return pretokens.Vocabulary(encode, most=most)
+    def encode_row(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Many pre-tokens in one text cost the library half of what each alone does. No id reaches over a place where it cuts
+        pre-tokens, so the bytes of the ids tell which are whose; texts where they don't are encoded one by one.
+        """
+        size, stops = token_bytes(tokenizer), np.concatenate([[0], np.cumsum(lengths)])
+        found, counts = [], []
+        for k in range(0, len(lengths), AT_ONCE):
+            bounds = stops[k:k + AT_ONCE + 1]
+            text = raw[bounds[0]:bounds[-1]]
+            ids = np.array(lib.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            bounds = bounds - bounds[0]
+            place = np.searchsorted(ends, bounds)
+            if ends[-1] != len(text) or not np.array_equal(ends[place], bounds):
+                each = encode([text[a:b].decode() for a, b in zip(bounds.tolist(), bounds[1:].tolist())])
+                ids = np.array([i for part in each for i in part], np.uint32)
+                place = np.cumsum([0, *map(len, each)])
+            found.append(ids)
+            counts.append(np.diff(place))
+        return np.concatenate(found), np.concatenate(counts)
+
+    blank_inside = any(b" " in s for s in tokenizer_files.specials(tokenizer))
+    return pretokens.Vocabulary(encode, most=most, encode_row=None if blank_inside else encode_row)
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
