@@ -18,8 +18,6 @@ are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
@@ -31,6 +29,8 @@ from saccadia.llm import arrays, storage
 
 WINDOW = 50
 GRAM = 8
+#: Bytes of text that a task works on at once: a machine's tasks share its memory with Spark's sorts.
+SLICE_BYTES = 1 << 18
 
 
 def numbered(docs: DataFrame, text: str = "text", carry: list[str] = []) -> DataFrame:  # noqa: B006
@@ -69,7 +69,7 @@ def seed_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for t in arrays.texts(batch.column(1)):
+            for t in arrays.texts(batch.column(1), SLICE_BYTES):
                 found = _seed_runs(t, window, gram)
                 if found:
                     row, low, count, seed, extension = found
@@ -82,12 +82,10 @@ def seed_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 def _lists(column: pa.Array, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Bounds and fields of a column of lists of structs; a null list is an empty one."""
-    if column.null_count:
-        column = pa.array([x if x is not None else [] for x in column.to_pylist()], column.type)
-    offsets = column.offsets.to_numpy()
-    values = column.values
-    lo, hi = int(offsets[0]), int(offsets[-1])
-    return offsets - lo, [values.field(k).to_numpy()[lo:hi].astype(np.int64) for k in range(fields)]
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    at = arrays.expand(offsets[:-1], lengths)
+    return np.concatenate([[0], np.cumsum(lengths)]), [column.values.field(k).to_numpy()[at].astype(np.int64) for k in range(fields)]
 
 
 def single_windows(chosen: DataFrame, window: int) -> DataFrame:
@@ -100,7 +98,7 @@ def single_windows(chosen: DataFrame, window: int) -> DataFrame:
             batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_numpy()
             bounds, (low, count) = _lists(batch.column(2), 2)
-            for t in arrays.texts(batch.column(1)):
+            for t in arrays.texts(batch.column(1), SLICE_BYTES):
                 w, h, second = _word_hashes(t)
                 mine = slice(bounds[t.first], bounds[t.first + t.rows])
                 r = np.repeat(np.arange(t.rows), np.diff(bounds[t.first:t.first + t.rows + 1]))
@@ -163,7 +161,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     def run(batches):
         for batch in batches:
             bounds, (low, count) = _lists(batch.column(2), 2)
-            for t in arrays.texts(batch.column(1)):
+            for t in arrays.texts(batch.column(1), SLICE_BYTES):
                 w = arrays.words(t)
                 cuts = [slice(bounds[t.first + r], bounds[t.first + r + 1]) for r in range(t.rows)]
                 out = [one(t, r, w, low[c], count[c]) for r, c in enumerate(cuts)]
@@ -177,16 +175,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
 
 
 def digests(results: DataFrame) -> DataFrame:
-    """Results with the SHA-256 of the kept words, one blank between two, in place of the kept text."""
-    def run(batches):
-        for batch in batches:
-            kept = batch.column(3).to_pylist()
-            shas = [hashlib.sha256(b" ".join(x.encode().split())).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shas)], names=["carry", "n_words", "n_removed", "kept_sha256"])
+    """Results with the SHA-256 of the kept words, one blank between two, in place of the kept text.
 
-    picked = results.select("carry", "n_words", "n_removed", "kept_text")
-    schema = StructType([picked.schema["carry"], *StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
-    return picked.mapInArrow(run, schema).select("carry.*", "n_words", "n_removed", "kept_sha256")
+    Spark's own functions: a second step in Python would take a second process for each task beside Spark's sorts.
+    """
+    words = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
+    return results.select("carry.*", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
 def clean_documents(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
