@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +94,66 @@ def _at(value: Column, corner: str, size: str) -> Column:
     return F.floor((value - F.col(corner)) / F.col(size))
 
 
+#: Areas of a cell that are compared at once, and earlier ones that each is held against at most.
+SEEN_AT_ONCE, SEEN_MOST = 256, 2048
+#: Fewer areas of a cell than this stay as they are.
+SEEN_FEW = 8
+
+
+def _unseen(boxes: np.ndarray, fronts: np.ndarray) -> np.ndarray:
+    """For each box (x0, y0, x1, y1) and each of those in front whether the latter holds all of it."""
+    return (fronts[None, :, :2] <= boxes[:, None, :2]).all(axis=2) & (fronts[None, :, 2:] >= boxes[:, None, 2:]).all(axis=2)
+
+
+def _seen(boxes: np.ndarray, whole: np.ndarray, fronts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a cell's areas, in their order, are not wholly behind an earlier one, and the boxes in front of the next ones."""
+    seen = np.ones(len(boxes), bool)
+    for k in range(0, len(boxes), SEEN_AT_ONCE):
+        part, full = boxes[k:k + SEEN_AT_ONCE], whole[k:k + SEEN_AT_ONCE]
+        open_ = np.flatnonzero(~_unseen(part, fronts).any(axis=1))
+        behind = (_unseen(part[open_], part[open_]) & full[open_][None, :] & np.tri(len(open_), k=-1, dtype=bool)).any(axis=1)
+        left = open_[~behind]
+        seen[k:k + SEEN_AT_ONCE] = False
+        seen[k + left] = True
+        fronts = np.concatenate([fronts, part[left[full[left]]]])[:SEEN_MOST]
+    return seen, fronts
+
+
+def _seen_areas(batches):
+    """Rows sorted by cell and order without areas that are in their cell wholly behind an earlier one, so never the first.
+
+    Areas that overlap much hide each other, so a cell keeps few however many there are. Only boxes in front are held.
+    """
+    none = np.zeros((0, 4))
+    now, fronts = None, none
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("aoi_set").to_pylist()
+        cx, cy = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_cx", "_cy"))
+        boxes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x0", "_y0", "_x1", "_y1")], axis=1).astype(float)
+        whole = batch.column("_whole").to_numpy(zero_copy_only=False).astype(bool)
+        other_set = np.array([a != b for a, b in zip(names, names[1:])], bool)
+        edges = [0, *(np.flatnonzero(other_set | (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])) + 1).tolist(), batch.num_rows]
+        keep = np.ones(batch.num_rows, bool)
+        for a, b in zip(edges, edges[1:]):
+            cell = names[a], cx[a], cy[a]
+            if cell != now:
+                now, fronts = cell, none
+            if b - a >= SEEN_FEW or len(fronts) or b == batch.num_rows:
+                keep[a:b], fronts = _seen(boxes[a:b], whole[a:b], fronts)
+        yield batch.filter(pa.array(keep))
+
+
 def index_areas(aois: DataFrame) -> DataFrame:
     """One row for each area and grid cell that it may touch; a cell that a polygon's edges pass by outside of is left out.
 
-    ``covers`` says that the cell lies wholly inside, so its points need no further test.
+    ``covers`` says that the cell lies wholly inside, so its points need no further test. Areas that earlier ones hide in a
+    cell are left out there.
     """
-    df = aois.join(_grids(aois), "aoi_set")
+    # a small file is read by one task, and each area becomes several rows that are compared with its edges
+    tasks = int(aois.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = aois.join(_grids(aois), "aoi_set").repartition(tasks, "aoi_set", "aoi_order", "name")
     span = lambda low, high, corner, size: F.explode(F.sequence(_at(F.col(low), corner, size), _at(F.col(high), corner, size)))
     df = df.withColumn("_cx", span("x_min", "x_max", "_gx", "_w")).withColumn("_cy", span("y_min", "y_max", "_gy", "_h"))
     x0, y0 = F.col("_gx") + F.col("_cx") * F.col("_w"), F.col("_gy") + F.col("_cy") * F.col("_h")
@@ -118,10 +174,16 @@ def index_areas(aois: DataFrame) -> DataFrame:
     touched = F.when(is_polygon, edge | middle).otherwise(F.lit(True))
     covers = F.when(is_polygon, ~edge & middle & inner).otherwise(inner)
     df = df.withColumn("covers", covers).filter(touched)
-    # behind the first area that covers a cell no other one is ever the first there
-    cell = Window.partitionBy("aoi_set", "_cx", "_cy")
-    df = df.withColumn("_first", F.min(F.when(F.col("covers"), F.col("aoi_order"))).over(cell))
-    df = df.filter(F.col("_first").isNull() | (F.col("aoi_order") <= F.col("_first")))
+    # what a covering area holds of a cell is all of it; else a point of the area lies in its box and in the cell
+    corner = lambda area, cell, more: F.when(F.col("covers"), cell).otherwise(more(area, cell))
+    df = df.withColumns({
+        "_x0": corner(F.col("x_min"), x0, F.greatest), "_y0": corner(F.col("y_min"), y0, F.greatest),
+        "_x1": corner(F.col("x_max"), x1, F.least), "_y1": corner(F.col("y_max"), y1, F.least),
+        "_whole": F.col("covers") | (F.col("region_type") == "rectangle")})
+    cell, order = ["aoi_set", "_cx", "_cy"], ["aoi_set", "_cx", "_cy", "aoi_order", "name"]
+    # first in each task, so that few rows are exchanged
+    df = df.sortWithinPartitions(*order).mapInArrow(_seen_areas, df.schema)
+    df = df.repartition(*cell).sortWithinPartitions(*order).mapInArrow(_seen_areas, df.schema)
     return df.select("aoi_set", "_cx", "_cy", "aoi_order", "name", "region_type", "x_min", "y_min", "x_max", "y_max", "covers",
                      F.when(~F.col("covers"), F.col("vertices")).alias("vertices"))
 
