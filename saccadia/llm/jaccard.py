@@ -43,7 +43,7 @@ RING = 1.3
 #: N-grams that one task holds; larger families are dealt to blocks of half of it.
 WEIGHT = 3_000_000
 LEAF, PIVOTS = 48, 6
-#: In place of a text's number: several texts.
+#: In place of a set's fingerprint: several sets.
 SEVERAL = np.int64(-1)
 #: Rows of three numbers that are sent to all machines at most, about 50 MB.
 FEW = 2_000_000
@@ -199,26 +199,26 @@ def _share(percent: int) -> float:
 
 
 def lone_grams(rows: DataFrame, n: int, share: float) -> DataFrame:
-    """(row, lone): how many n-grams of a text no other text has, among those with hashes in the given share of all.
+    """(a, lone): how many n-grams of a set no other set has, among those with hashes in the given share of all.
 
-    An n-gram that several texts of a batch have is sent once, without a text, so what very many texts share does not gather in one
-    task. Hashes are sent with 48 bits: two n-grams that meet by chance count as shared, which never takes a text out.
+    Texts with equal sets are one set, told by its fingerprint ``a``, so copies don't share their n-grams with each other. An n-gram
+    that several sets of a batch have is sent once, without a set, so what very many texts share does not gather in one
+    task. Hashes are sent with 48 bits: two n-grams that meet by chance count as shared, which never takes a set out.
     """
     def emit(batches):
         for batch in batches:
             grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            numbers = batch.column(0).to_numpy()
-            for t in arrays.texts(batch.column(1)):
+            for t in arrays.texts(batch.column(0)):
                 r, g = shingles(t, n)
+                sets = _sums(g, np.searchsorted(r, np.arange(t.rows + 1)))[0]
                 g = arrays.mix(g ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(16)
                 looked_at = g < np.uint64(share * (1 << 48))
                 grams.append(g[looked_at])
-                owners.append(numbers[t.first:t.first + t.rows][r[looked_at]])
+                owners.append(sets[r[looked_at]])
             gram, owner = np.concatenate(grams), np.concatenate(owners)
             order = np.argsort(gram, kind="stable")
-            gram, owner = gram[order].astype(np.int64), owner[order]
-            first, several = _runs(gram)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(np.where(several, SEVERAL, owner[first]))], names=["gram", "row"])
+            first, heads = _owners(gram[order].astype(np.int64), owner[order])
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(heads)], names=["gram", "a"])
 
     def lone(batches):
         gram, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the n-gram that the next batch may go on with
@@ -226,40 +226,43 @@ def lone_grams(rows: DataFrame, n: int, share: float) -> DataFrame:
             gram, owner = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((gram, owner)))
             if not len(gram):
                 continue
-            first, several = _runs(gram)
-            heads = np.where(several, SEVERAL, owner[first])
-            yield found(heads[:-1])
-            gram, owner = gram[first[-1:]], heads[-1:]
+            gram, owner = _owners(gram, owner)
+            yield found(owner[:-1])
+            gram, owner = gram[-1:], owner[-1:]
         yield found(owner)
 
     def found(owner):
-        row, count = np.unique(owner[owner != SEVERAL], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(count)], names=["row", "lone"])
+        sets, count = np.unique(owner[owner != SEVERAL], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(sets), pa.array(count)], names=["a", "lone"])
 
-    sent = rows.select("row", "text").mapInArrow(emit, "gram long, row long")
-    counted = sent.repartition("gram").sortWithinPartitions("gram").mapInArrow(lone, "row long, lone long")
-    return counted.groupBy("row").agg(F.sum("lone").alias("lone"))
+    sent = rows.select("text").mapInArrow(emit, "gram long, a long")
+    counted = sent.repartition("gram").sortWithinPartitions("gram").mapInArrow(lone, "a long, lone long")
+    return counted.groupBy("a").agg(F.sum("lone").alias("lone"))
 
 
-def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of equal values starts, and whether it has several."""
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(sorted_))) > 1
+def _owners(gram: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted n-grams, and the one set that has each, or ``SEVERAL``."""
+    if not len(gram):
+        return gram, owner
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+    return gram[first], np.where(least == most, least, SEVERAL)
 
 
 def sift(found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The points (row, a, b, size) of ``found`` that can have a partner, one row of each.
 
     Linked sets x and y have ``100 |x & y| >= percent |x | y| >= percent |x|``, so x has at least ``percent`` of a hundred of its
-    n-grams in common with others. The first pass looks at a share of all n-grams, the second at all n-grams of what is left.
+    n-grams in common with others. The first pass looks at a share of all n-grams, the second at all n-grams of what is left,
+    in one text of each set.
     """
-    left = found.filter("size > 0")
+    left = found.filter("size > 0").groupBy("a", "b", "size").agg(F.min("row").alias("row"))
     for share in dict.fromkeys((_share(percent), 1.0)):
-        counted = left.select("row", "size", "a", "b").join(lone_grams(rows, n, share), "row", "left")
+        counted = left.select("row", "size", "a", "b").join(lone_grams(rows, n, share), "a", "left")
         left = storage.written(counted.filter(100 * F.coalesce("lone", F.lit(0)) <= (100 - percent) * F.col("size")).drop("lone"), "left")
         storage.let_go(rows.sparkSession)
         rows = with_few(rows, left.select("row"), "row")
-    return storage.written(left.groupBy("a", "b", "size").agg(F.min("row").alias("row")), "left")
+    return left
 
 
 def with_few(big: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -411,6 +414,8 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one text of each component, and all texts without words; the columns stay."""
     docs = storage.stable(docs)
-    others = storage.written(join_texts(docs, key, text, n, percent).filter(F.col("row") != F.col("first")).select("row"), "others")
+    labels = storage.written(join_texts(docs, key, text, n, percent).select("row", (F.col("row") != F.col("first")).alias("goes")), "labels")
+    goes, stays = labels.filter("goes").select("row"), labels.filter("NOT goes").select("row")
     whole = storage.numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return with_few(whole, others, "row", "left_anti").select("doc.*")
+    found = with_few(whole, goes, "row", "left_anti") if goes.count() <= stays.count() else with_few(whole, stays, "row", "left_semi")
+    return found.select("doc.*")
