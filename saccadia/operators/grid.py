@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,27 @@ def _together(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys)
 
 
+def _mapped(parts: list[tuple[DataFrame, Callable]], schema) -> DataFrame:
+    """Maps made of each source by its function, one below the other, with a note of how, for ``_then``."""
+    frames = [source.mapInArrow(run, schema) for source, run in parts]
+    out = functools.reduce(DataFrame.union, frames)
+    out._made_by = parts
+    return out
+
+
+def _then(maps: DataFrame, step: Callable, schema) -> DataFrame:
+    """``step`` after what made the maps, in the same pass if that was one of these operators.
+
+    A map is some 150 KB: between passes of their own, batches of tens of MB would be held by Spark and by two Python processes
+    at each step and core. In one pass only seeds go in, and a task holds some ``MAPS_PER_BATCH`` maps at each step.
+    """
+    def after(run):
+        return lambda batches: step(run(batches))
+
+    made_by = vars(maps).get("_made_by")
+    return _mapped([(source, after(run)) for source, run in made_by] if made_by else [(maps, step)], schema)
+
+
 def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma: float | None = None, fixation_sigma: float | None = None) -> DataFrame:
     """Gaussian sum of weighted seeds on a ``bins`` × ``bins`` grid of every recording with seeds, one row a map.
 
@@ -140,21 +162,21 @@ def kernel_density(seeds: DataFrame, extent: DataFrame, bins: int = 140, sigma:
 
     def maps_from(df, *keys):
         found = _together(df.select(KEY, *keys, "x", "y", "weight", "x0", "x1", "y0", "y1"), KEY, *keys)
-        return found.mapInArrow(lambda batches: _summed(parts_of(batches), bins), schema)
+        return found, lambda batches: _summed(parts_of(batches), bins)
 
     if not is_split(seeds):
-        return maps_from(join_recording(seeds, extent))
+        return _mapped([maps_from(join_recording(seeds, extent))], schema)
     seeds = settle(seeds)
     blocks = seeds.groupBy(KEY).agg(F.count_distinct(BLOCK).alias("_blocks"))
     placed = settle(join_recording(seeds, blocks.join(extent, KEY, "left")))
-    partial = _together(maps_from(placed.filter("_blocks > 1"), BLOCK), KEY)
+    partial = _together(_mapped([maps_from(placed.filter("_blocks > 1"), BLOCK)], schema), KEY)
 
     def add_up(batches):
         read = ((batch.column(0)[k].as_py(), dict(zip(layers, maps))) for batch in batches
                 for k, maps in enumerate(zip(*[_rows(batch.column(n)) for n in layers])))
         return _summed(read, bins)
 
-    return maps_from(placed.filter("_blocks = 1")).union(partial.mapInArrow(add_up, schema))
+    return _mapped([maps_from(placed.filter("_blocks = 1")), (partial, add_up)], schema)
 
 
 def to_cells(maps: DataFrame, image: str = KEY) -> DataFrame:
@@ -183,7 +205,7 @@ def _each_map(maps: DataFrame, change) -> DataFrame:
                 cells = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(done)))
                 yield part.set_column(at, "cells", cells)
 
-    return maps.mapInArrow(run, maps.schema)
+    return _then(maps, run, maps.schema)
 
 
 def percentile_of(values: np.ndarray, p: float) -> float:
@@ -249,6 +271,7 @@ def _per_map(maps: DataFrame, image: str, columns: list[str], schema: dict[str,
     """One row per map: the values that ``measure`` finds in the named layers, or none where it gives None."""
     def run(batches):
         for batch in batches:
+            batch = batch.select([image, "width", *columns])
             keys, found = [], []
             for k, layers in enumerate(zip(batch.column("width").to_pylist(), *[_rows(batch.column(c)) for c in columns])):
                 values = measure(*[m.reshape(-1, layers[0]) for m in layers[1:]])
@@ -258,11 +281,10 @@ def _per_map(maps: DataFrame, image: str, columns: list[str], schema: dict[str,
             rows = {n: pa.array([v[n] for v in found], {"double": pa.float64(), "long": pa.int64()}[kind]) for n, kind in schema.items()}
             yield pa.RecordBatch.from_pydict({image: batch.column(image).take(pa.array(keys, pa.int64())), **rows})
 
-    wanted = maps.select(image, "width", *columns)
-    out = wanted.select(image).schema
+    out = maps.select(image).schema
     for n, kind in schema.items():
         out = out.add(n, kind)
-    return wanted.mapInArrow(run, out)
+    return _then(maps if "_made_by" in vars(maps) else maps.select(image, "width", *columns), run, out)
 
 
 SUMMARY = {"total_mass": "double", "mean_saliency": "double", "peak_saliency": "double", "peak_y": "long", "peak_x": "long",

@@ -55,3 +55,12 @@ def test_flat_and_empty_maps(spark):
     assert (found["a"]["attention_center_x"], found["a"]["attention_center_y"], found["a"]["entropy"]) == (1.5, 1.0, 0.0)
     assert (found["b"]["attention_center_x"], found["b"]["attention_center_y"]) == (1.0, 0.5)
     assert found["b"]["hotspot_ratio"] == 1.0 and abs(found["b"]["entropy"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["H3_attention_kde", "H4_smooth_density", "H6_grid_summary", "H7_robust_normalize", "H8_map_vs_fixations"])
+def test_maps_are_made_and_changed_in_one_pass(spark, name):
+    """Each pass of its own would hold batches of whole maps in Spark and in two Python processes."""
+    from saccadia.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1
