@@ -15,7 +15,7 @@ R = "recording_id"
 
 
 def _name_from_path(df):
-    """The recording key that the file's folder carries."""
+    """The recording key that the name of the file or its folder carries."""
     return df.withColumn(KEY, F.regexp_extract(KEY, r"rec=(\d+)", 1))
 
 
@@ -33,8 +33,8 @@ def n1(spark, sf):
         "rec", F.col("y").alias("gaze_y"), F.col("x").alias("gaze_x"), F.col("timestamp_ms").alias("time"),
         F.col("pupil").alias("pupil_size"), F.col("valid").cast("int").alias("is_valid"), F.col("marker").alias("trigger"),
     )
-    readers.writer_by(one, "rec").csv(f"{base}/comma", header=True)
-    readers.writer_by(two, "rec").csv(f"{base}/semicolon", header=True, sep=";")
+    readers.write_recordings(one, "rec", f"{base}/comma")
+    readers.write_recordings(two, "rec", f"{base}/semicolon", ";")
     raw = readers.read_tabular(spark, [f"{base}/comma", f"{base}/semicolon"])
     return _name_from_path(normalize.validate_samples(raw))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from saccadia.functions.storage import materialize, scratch_dir  # noqa: F401
 from saccadia.schema import KEY
+from saccadia.sources import files
 from saccadia.sources.normalize import flatten_pixel_samples, normalize_columns, synthesize_timestamps, validate_samples
 
 SEPARATORS = [",", ";", "\t", "|"]
@@ -81,6 +82,42 @@ def separator(header) -> F.Column:
     return F.greatest(*counts)["sep"]
 
 
+def _names(header: str, sep: str) -> list[str]:
+    return [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
+
+
+#: How lines are read, by Spark's reader of files and by its function for lines.
+CSV = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+
+
+def _split_rows(spark: SparkSession, header: str, sep: str, paths: list[str], pattern: str | None = None) -> DataFrame:
+    """Rows of files with one header, by Spark's reader, which splits large files."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in _names(header, sep)])
+    raw = spark.read.schema(schema).options(**_options(pattern)).csv(paths, sep=sep, header=True, **CSV)
+    return raw.withColumns({KEY: F.col("_metadata.file_path"), "sample_seq": file_position()})
+
+
+def _rows_of_files(spark: SparkSession, found: DataFrame) -> list[DataFrame]:
+    """Rows of listed files, one table for each separator and header line; the driver gets these and the names of large files."""
+    found = materialize(found, "files")
+    first = found.filter("NOT by_spark").select("file_path", "place")
+    first = files.headers(first).join(found.select("file_path", "length"), "file_path")
+    first = materialize(first.withColumn("sep", separator(F.col("header"))), "headers")
+    raws = {}
+    for r in first.groupBy("sep", "header").agg(F.sum("length").alias("size")).collect():
+        names = _names(r["header"], r["sep"])
+        ours = first.filter((F.col("sep") == r["sep"]) & (F.col("header") == r["header"]))
+        columns = [f"_c{k}" for k in range(len(names))]
+        values = F.from_csv("value", ", ".join(f"{c} string" for c in columns), {"sep": r["sep"], **{k: str(v) for k, v in CSV.items()}})
+        parsed = files.lines(ours, r["size"]).select(F.col("file_path").alias(KEY), F.col("at").alias("sample_seq"), values.alias("_v"))
+        taken = [k for k, n in enumerate(names) if n.lower() not in (KEY, "sample_seq")]
+        raws[r["sep"], r["header"], ""] = parsed.select(*[F.col(f"_v.{columns[k]}").alias(names[k]) for k in taken], KEY, "sample_seq")
+    large = [r[0] for r in found.filter("by_spark").select("place").collect()]
+    for (sep, header), group in header_groups(spark, large).items() if large else ():
+        raws[sep, header, "large"] = _split_rows(spark, header, sep, group)
+    return [raws[k] for k in sorted(raws)]
+
+
 def read_tabular(
     spark: SparkSession, paths: list[str], sampling_rate_hz: float | None = None, column_map: dict[str, str] | None = None,
     pattern: str | None = None,
@@ -88,15 +125,15 @@ def read_tabular(
     """Delimited text files (of folders, those whose name fits ``pattern``); each file is a recording.
 
     Files are grouped by separator and header line, as one reader applies one header to
-    all its files; the groups are read side by side and united by column name.
+    all its files; the groups are read side by side and united by column name. Small files
+    are opened by tasks (``files``), large ones are split by Spark's reader.
     """
-    parts = []
-    for (sep, header), files in sorted(header_groups(spark, paths, pattern).items()):
-        names = [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).options(**_options(pattern)).csv(files, sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        raw = raw.withColumns({KEY: F.col("_metadata.file_path"), "sample_seq": file_position()})
-        parts.append(synthesize_timestamps(normalize_columns(raw, column_map), sampling_rate_hz))
+    found = files.listed(spark, paths, pattern)
+    if found is None:
+        raws = [_split_rows(spark, header, sep, group, pattern) for (sep, header), group in sorted(header_groups(spark, paths, pattern).items())]
+    else:
+        raws = _rows_of_files(spark, files.for_spark(found))
+    parts = [synthesize_timestamps(normalize_columns(raw, column_map), sampling_rate_hz) for raw in raws]
     if not parts:
         raise ValueError("no files to read")
     out = parts[0]
@@ -150,14 +187,14 @@ def read_recordings(
     for p in paths:
         by_format.setdefault(file_format(p, format), []).append(p)
     parts = []
-    for name, files in by_format.items():
+    for name, group in by_format.items():
         if name in _loaders:
-            raw = _loaders[name](spark, files, {"sampling_rate_hz": sampling_rate_hz, "column_map": column_map})
+            raw = _loaders[name](spark, group, {"sampling_rate_hz": sampling_rate_hz, "column_map": column_map})
             raw = synthesize_timestamps(normalize_columns(raw, column_map), sampling_rate_hz)
         elif name in TEXT_FORMATS:
-            raw = read_tabular(spark, files, sampling_rate_hz, column_map, pattern)
+            raw = read_tabular(spark, group, sampling_rate_hz, column_map, pattern)
         elif name == "asc":
-            raw = read_eyelink_asc(spark, files, pattern)
+            raw = read_eyelink_asc(spark, group, pattern)
         else:
             raise ValueError(f"unsupported format: {name}")
         parts.append(validate_samples(raw, strict))
@@ -169,6 +206,9 @@ def read_recordings(
 
 def existing_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     """``file_path`` and ``length`` of the files under folders; contents are not read."""
+    found = files.listed(spark, folders)
+    if found is not None:
+        return found.select(F.col("place").alias("file_path"), "length")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
     return listed.select(F.col("path").alias("file_path"), "length")
 
@@ -191,6 +231,12 @@ def writer_by(df: DataFrame, key: str) -> DataFrameWriter:
     return df.repartition(tasks, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key)
 
 
+def write_recordings(df: DataFrame, key: str, folder: str, sep: str = ",") -> None:
+    """A comma file (or one with another separator) for each key, under ``folder``; its name tells the key."""
+    if not files.write_csv(df, key, folder, sep):
+        writer_by(df, key).csv(folder, header=True, sep=sep)
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Samples, events, features or reports as parquet, CSV or JSON folders."""
     writer = df.write.mode(mode).partitionBy(*(partition_by or []))
