@@ -80,7 +80,7 @@ def analyze_files(
     listed = _listed(spark, sorted({p.rsplit("/", 1)[0] for p in paths})) if paths else None
     if folders:
         inside = readers.existing_files(spark, list(folders)).select(uri("file_path").alias("file_path")).distinct()
-        inside = inside.withColumn("kind", F.regexp_extract("file_path", r"\.(\w+)$", 1))
+        inside = readers.materialize(inside.withColumn("kind", F.regexp_extract("file_path", r"\.(\w+)$", 1)), "inside")
         requested = requested.join(inside, "file_path", "left_anti")
     if listed is None:
         present, missing = [], requested
@@ -122,7 +122,7 @@ def analyze_files(
     rows = spark.createDataFrame([(p,) for p in present if p not in done], f"{KEY} string")
     for ours in read:
         rows = rows.union(ours)
-    samples = samples.withColumn(KEY, uri(KEY))
+    samples = readers.materialize(samples.withColumn(KEY, uri(KEY)), "samples")  # else each step that reads them opens all files
     return batch_analyze(samples, rows, areas, **options).unionByName(gone, allowMissingColumns=True)
 
 

@@ -30,7 +30,7 @@ def batch(spark, sf):
         "x", "y", "pupil", "valid", "marker", "event_label", "trial",
     )
     base = readers.scratch_dir(spark, "batch")
-    readers.writer_by(out, "rec").csv(base, header=True)
+    readers.write_recordings(out, "rec", base)
     found = insight.analyze_files(spark, [f"{base}/rec=absent/none.csv"], folders=[base], window_ms=500.0)
     name = F.regexp_extract(R, r"rec=(\w+)", 1)
     return found.withColumn("error", F.regexp_extract("error", r"^(file not found|[^:]+)", 1)).withColumn(R, name)

@@ -83,3 +83,17 @@ def test_places_that_only_spark_knows(spark, tmp_path):
     assert files.listed(spark, ["viewfs://store/in"]) is None
     assert files.listed(spark, [str(tmp_path / "gone")]) is None and files.listed(spark, [f"{tmp_path}/*.csv"]) is None
     assert not files.write_csv(spark.range(1), "id", "viewfs://store/out")
+
+
+def test_a_batch_opens_its_files_once(spark, tmp_path):
+    """Before, each step that read the samples opened all files again."""
+    from saccadia.operators import insight
+
+    for k in range(4):
+        (tmp_path / f"rec={k}.csv").write_text("timestamp_ms,x,y\n0,1,2\n10,3,4\nbroken,5,6\n"[:None if k == 3 else 30])
+    found = insight.analyze_files(spark, [], folders=[str(tmp_path)])
+    for f in tmp_path.iterdir():
+        f.unlink()
+    rows = {r["recording_id"].rsplit("/", 1)[1]: (r["sample_count"], r["error"]) for r in found.collect()}
+    assert {k: v for k, v in rows.items() if "3" not in k} == {f"rec={k}.csv": (2, None) for k in range(3)}
+    assert rows["rec=3.csv"] == (None, "sample without a valid timestamp")
